@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import line_dedup, mixing, url_filter
+from parlance.llm import decontaminate, exact_dedup, line_dedup, mixing, token_counts, url_filter
 from parlance.llm.common import table
 
 
@@ -16,6 +17,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, "contaminated")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(spark, table(spark, sf_dir, "documents"), report=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -26,10 +37,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.dedup_exact(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
+    "op7_exact_dedup": op7_exact_dedup,
 }
 
 _SITES = ", ".join(f"('{h}{p}')" for h, p, _ in url_filter.BLOCKED_SITES)
@@ -49,6 +68,21 @@ bad AS (SELECT DISTINCT page_id FROM h JOIN b ON (h.host || '/' = b.key OR ends_
 SELECT h.page_id, h.host, h.path, best.rule,
        coalesce(best.action, CASE WHEN bad.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN best ON h.page_id = best.page_id LEFT JOIN bad ON h.page_id = bad.page_id""",
+    "op3_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT item, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS g FROM (SELECT item, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM p)),
+dw AS (SELECT rid, n, i, array_to_string(w[i + 1 : i + n], ' ') AS g
+       FROM (SELECT rid, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM p) s WHERE len(w) >= n)),
+h AS (SELECT rid, item, i, dw.n FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+x AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM h) GROUP BY rid),
+y AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN x ON d.rid = x.rid LEFT JOIN y ON d.rid = y.rid""",
     "op4_line_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
 l AS (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
@@ -81,4 +115,9 @@ SELECT q.doc_id, q.size, q.source_size, q.target,
        (q.size * CASE WHEN q.target > 0 AND q.size > 0 THEN (SELECT count(*) FROM (VALUES (0), (1), (2)) v(n)
                  WHERE (n * q.source_size + q.reach)::DOUBLE / q.target <= cut.f) ELSE 0 END)::BIGINT AS taken
 FROM q, cut""",
+    "op7_exact_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+k AS (SELECT *, first_value(rid) OVER w AS keep_rid, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text) AS group_size
+      FROM d WINDOW w AS (PARTITION BY text ORDER BY doc_id DESC NULLS LAST, rid DESC))
+SELECT doc_id, keep_id, group_size, rid = keep_rid AS kept, sha256(text) AS text_sha256 FROM k""",
 }
