@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, secret_scan, token_counts, url_filter
+from parlance.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, mixing, secret_scan, token_counts, url_filter
 from parlance.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.join_similar(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
@@ -116,6 +122,19 @@ m AS (SELECT k.*, x.bare IS NOT NULL AS gone FROM k LEFT JOIN x ON k.source IS N
 g AS (SELECT rid, count(*) AS n_lines, count_if(gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY rid)
 SELECT d.doc_id, coalesce(g.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(g.text, '')) AS text_sha256
 FROM d LEFT JOIN g ON d.rid = g.rid""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT rid, w, least(5, len(w)) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT rid, array_to_string(w[i + 1 : i + n], ' ') AS g FROM (SELECT rid, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM p)),
+z AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS x, b.rid AS y, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN z zx ON zx.rid = x JOIN z zy ON zy.rid = y WHERE 10 * c.n >= 8 * (zx.n + zy.n - c.n)),
+r(x, y) AS (SELECT rid, rid FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+m AS (SELECT r.x AS rid, min(e.doc_id) AS class_id, count(*) AS class_size, arg_min(e.rid, (e.doc_id, e.rid)) AS head FROM r JOIN d e ON r.y = e.rid GROUP BY r.x),
+k AS (SELECT x AS rid, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, m.class_id, m.class_size, coalesce(k.n_links, 0) AS n_links, m.head = d.rid AS kept
+FROM d JOIN m ON d.rid = m.rid LEFT JOIN k ON d.rid = k.rid""",
     "op6_mixing": r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5('6:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
