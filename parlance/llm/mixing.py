@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import written
+from parlance.llm.common import fresh, written
 
 #: Characters that part words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,8 +76,9 @@ def mix_sources(
     seed: int = 6,
 ) -> DataFrame:
     """Returns id_col, size, source_size, target, taken (words, repeats counted), copies, finish
-    (virtual finish time of the first copy, null if the source has no words)."""
+    (virtual finish time of the first copy, null if the source has no words), row (number in docs)."""
     rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
@@ -104,7 +105,7 @@ def mix_sources(
     )
     reach = F.col("start") + F.col("upto")
     finish = [F.when(F.col("target") > 0, (F.lit(e) * F.col("source_size") + reach).cast("double") / F.col("target")) for e in range(max_repeat)]
-    placed = placed.select("id", "size", "source_size", "target", "key", "tie", "source", F.array(*finish).alias("finish"))
+    placed = placed.select("row", "id", "size", "source_size", "target", "key", "tie", "source", F.array(*finish).alias("finish"))
     placed = written(spark, placed, "mix-placed")
 
     # each source's queue would end at max_repeat * source_size / target, the budget ends near 1
@@ -131,9 +132,20 @@ def mix_sources(
         (F.col("size") * F.when(F.col("size") > 0, done).otherwise(F.lit(0))).cast("long").alias("taken"),
         F.when(F.col("size") > 0, done).otherwise(F.lit(0)).alias("copies"),
         F.get("finish", F.lit(0)).alias("finish"),
+        "row",
     )
 
 
+def apply_mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken, with a column ``copy`` from 1
+    on (docs must not have one). Documents not taken, and those without words, are left out."""
+    plan = mix_sources(spark, docs, **options).filter("copies > 0").select(F.col("row").alias("at"), "copies")
+    number = fresh(docs.columns, "_row")
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    out = numbered.join(written(spark, plan, "mix-plan"), F.col(number) == F.col("at"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+
+
 def _cut_within(spark: SparkSession, copies: DataFrame, room: int, depth: int = 0) -> float:
     """The last virtual time up to which copies of one slice fit into room words. Slices are cut
     into SLICES again until one holds a single time (or few words), so no task sorts a whole slice."""
