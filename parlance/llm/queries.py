@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, mixing, secret_scan, token_counts, url_filter
+from parlance.llm import decontaminate, exact_dedup, hmm_score, jaccard_join, language_id, line_dedup, mixing, secret_scan, token_counts, url_filter
 from parlance.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_score.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "held_out", "lang_pred", "score", "entropy")
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_lm_score": op9_lm_score,
     "op10_language_id": op10_language_id,
 }
 
