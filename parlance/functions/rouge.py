@@ -20,25 +20,57 @@ def rouge_tokens(text: Column, stem: bool = False) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection."""
-    return F.aggregate(
-        F.array_intersect(a, b), F.lit(0), lambda n, g: n + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g)))
-    )
+
+    def common(both: Column) -> Column:
+        def times(side: str, gram: Column) -> Column:
+            return F.size(F.filter(both[side], lambda x: x == gram))
+
+        return F.aggregate(F.array_intersect(both["a"], both["b"]), F.lit(0), lambda n, g: n + F.least(times("a", g), times("b", g)))
+
+    return X.let(F.struct(a.alias("a"), b.alias("b")), common)
 
 
 def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: a fold over a of rows of the classic table. Rows are
-    rebuilt per word, so b should be the shorter side."""
-    zero = F.transform(F.concat(F.array(F.lit("")), b), lambda x: F.lit(0))
+    """Length of the longest common subsequence; b should be the shorter side."""
+    return X.let(F.struct(a.alias("a"), b.alias("b")), lambda both: _lcs(both["a"], both["b"]))
+
+
+#: Tokens per machine word of the bit-parallel table; sums of two words and a carry stay below 2^63.
+BITS = 60
+
+
+def _lcs(a: Column, b: Column) -> Column:
+    """Bit-parallel dynamic programming: a row of the classic table is one bit per token of b, in words
+    of BITS bits; a token of a updates a row with one addition per word. Zeros count the length."""
+    words = F.ceil(F.size(b) / BITS).cast("int")
+    full = F.lit((1 << BITS) - 1)
+
+    def mask(token: Column) -> Column:
+        def word(w: Column) -> Column:
+            hits = F.transform(F.slice(b, w * BITS + 1, BITS), lambda t, i: F.when(t == token, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+            return F.aggregate(hits, F.lit(0).cast("long"), lambda x, y: x + y)
+
+        return F.transform(F.sequence(F.lit(0), words - 1), word)
+
+    def update(row: Column, masks: Column) -> Column:
+        first = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+        def step(acc: Column, w: Column) -> Column:
+            v, m = F.get(row, w), F.get(masks, w)
+            total = v + v.bitwiseAND(m) + acc["carry"]
+            new = total.bitwiseAND(full).bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))
+            return F.struct(F.shiftright(total, BITS).alias("carry"), F.concat(acc["out"], F.array(new)).alias("out"))
 
-    def row(previous: Column, word: Column) -> Column:
-        def cell(new: Column, at: Column) -> Column:
-            same = F.get(b, at) == word
-            return F.concat(new, F.array(F.when(same, F.get(previous, at) + 1).otherwise(F.greatest(F.get(previous, at + 1), F.element_at(new, -1)))))
+        return F.aggregate(F.sequence(F.lit(0), words - 1), first, step, lambda acc: acc["out"])
 
-        places = F.transform(b, lambda x, i: i)
-        return F.aggregate(places, F.array(F.lit(0)), cell)
+    def run(common: Column) -> Column:
+        known = F.map_from_arrays(common, F.transform(common, mask))
+        start = F.transform(F.sequence(F.lit(0), words - 1), lambda w: full)
+        return X.let(known, lambda masks: F.aggregate(F.filter(a, lambda t: F.array_contains(common, t)), start, lambda row, t: update(row, F.element_at(masks, t))))
 
-    return F.element_at(F.aggregate(a, zero, row), -1)
+    rows = X.let(F.array_intersect(a, b), run)
+    ones = F.aggregate(rows, F.lit(0), lambda n, v: n + F.bit_count(v))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(words * BITS - ones)
 
 
 def scores(shared: Column, reference: Column, prediction: Column) -> Column:

@@ -17,6 +17,11 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it, also within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, rf"(?U)^{L.SPACE}+|{L.SPACE}+\z", "")

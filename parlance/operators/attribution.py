@@ -31,6 +31,10 @@ def evidence(dialogue: Column, speakers: Column, names: Column) -> Column:
         ),
     )
 
+    return X.let(said, lambda lines: _by_speaker(lines, speakers))
+
+
+def _by_speaker(said: Column, speakers: Column) -> Column:
     def of(name: Column) -> Column:
         addressed = F.concat(F.lit(r"(?iU)^\s*\Q"), name, F.lit(r"\E" + L.DIRECTIVES))
         mine = F.filter(said, lambda x: x["owner"].eqNullSafe(name) | F.rlike(x["utterance"], addressed))

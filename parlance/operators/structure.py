@@ -21,17 +21,29 @@ def collapse(turns: Column, text: Column, least: int = 4) -> Column:
     """struct<text, provenance map<int, array<int>>>. If the lines are two or more copies of one block
     of ``least`` lines at least, the (smallest) block and all source lines of each of its lines; else
     the stripped text and each line's own source."""
-    n = F.size(turns)
     lines = F.transform(turns, lambda t: t["line"])
-    sizes = F.when(F.floor(n / 2) >= least, F.sequence(F.lit(least), F.floor(n / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(sizes, lambda k: F.when(n % k == 0, F.forall(places, lambda p: F.get(lines, p) == F.get(lines, p % k))).otherwise(False))
-    size = F.get(fits, F.lit(0))
-    own = F.when(size.isNull(), n).otherwise(size)
-    keys = F.when(own > 0, F.sequence(F.lit(0), own - 1)).otherwise(F.array().cast("array<int>"))
-    sources = F.transform(keys, lambda p: F.transform(F.filter(turns, lambda t, q: q % own == p), lambda t: t["idx"]))
+    bound = F.struct(turns.alias("turns"), lines.alias("lines"), F.size(turns).alias("n"))
+    return X.let(X.let(bound, lambda x: F.struct(x["turns"].alias("turns"), x["lines"].alias("lines"), x["n"].alias("n"), _block(x["lines"], x["n"], least).alias("size"))), lambda x: _collapsed(x, text))
+
+
+def _upto(first: Column, last: Column) -> Column:
+    """first..last as integers, empty if last is less (``sequence`` alone would count down)."""
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _block(lines: Column, n: Column, least: int) -> Column:
+    """The smallest size of a block that the lines repeat, or null."""
+    sizes = F.filter(_upto(F.lit(least), F.floor(n / 2).cast("int")), lambda k: n % k == 0)
+    fits = F.filter(sizes, lambda k: F.forall(_upto(F.lit(0), n - 1), lambda p: F.get(lines, p) == F.get(lines, p % k)))
+    return F.get(fits, F.lit(0))
+
+
+def _collapsed(x: Column, text: Column) -> Column:
+    own = F.coalesce(x["size"], x["n"])
+    keys = _upto(F.lit(0), own - 1)
+    sources = F.transform(keys, lambda p: F.transform(F.filter(x["turns"], lambda t, q: q % own == p), lambda t: t["idx"]))
     return F.struct(
-        F.when(size.isNull(), X.strip(text)).otherwise(F.array_join(F.slice(lines, 1, own), "\n")).alias("text"),
+        F.when(x["size"].isNull(), X.strip(text)).otherwise(F.array_join(F.slice(x["lines"], 1, own), "\n")).alias("text"),
         F.map_from_arrays(keys, sources).alias("provenance"),
     )
 
@@ -123,7 +135,10 @@ def format_prompt(instruction: str, text: Column) -> Column:
 def direct_prompt(text: Column, budget: int = L.PROMPT_TOKENS) -> Column:
     """struct<prompt, truncated, coverage>; null where no truncation fits. The kept length starts at
     80 % (200 at least) and shrinks by a fifth while above 200; 70 % of it is the head."""
-    clean = X.strip(text)
+    return X.let(X.strip(text), lambda clean: _direct(clean, budget))
+
+
+def _direct(clean: Column, budget: int) -> Column:
     whole = format_prompt(L.DIRECT_INSTRUCTION, clean)
     n = F.length(clean)
 
