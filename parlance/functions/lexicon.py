@@ -12,9 +12,10 @@ NUMBER = r"(?U)(?<!\w)(?:[$£€])?\s*\d+(?:[.,:]\d+)*(?:\s*(?:am|pm|AM|PM|%|dol
 CAPITALISED = r"(?U)\b[A-Z][A-Za-z'-]{1,30}\b"
 WORD = r"[A-Za-z][A-Za-z'-]*"
 SPACE = r"[\s\x1c-\x1f]"
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 SENTENCE_BREAK = rf"(?U)(?<=[.!?]){SPACE}+"
-SENTENCE_UNIT = r"[^.!?]+[.!?]"
+SENTENCE_UNIT = r"[^.!?]++[.!?]"
 COMPLETE_SENTENCE = r"""(?dU).+?[.!?](?:["')\]]?)(?:\s+|$)"""
 ENDED = r"""(?U)[.!?]["')\]]?\s*$"""
 OWNER_LINE = r"(?dU)^\s*([^:]{1,40}):\s*(.+)$"

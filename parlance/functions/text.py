@@ -24,7 +24,7 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{L.SPACE}+|{L.SPACE}+\z", "")
+    return F.btrim(text, F.lit(L.WHITE))
 
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -50,14 +50,20 @@ def sentences(text: Column) -> Column:
     return _not_blank(F.split(strip(text), L.SENTENCE_BREAK, -1))
 
 
+def _ended(parts: Column) -> Column:
+    return F.filter(parts, lambda x: x.rlike(L.ENDED))
+
+
 def sentence_units(text: Column) -> Column:
-    """Runs up to exactly one stop. Splits 3.30 in two and drops an unfinished tail."""
-    return _not_blank(find_all(strip(text), L.SENTENCE_UNIT))
+    """Runs up to exactly one stop. Splits 3.30 in two and drops an unfinished tail. (The tail is
+    matched as a whole and filtered out; searched for a stop from each of its characters, a long one
+    would take quadratic time.)"""
+    return _not_blank(F.filter(find_all(strip(text), L.SENTENCE_UNIT + "|[^.!?]+"), lambda x: x.rlike(r"[.!?]\z")))
 
 
 def complete_sentences(text: Column) -> Column:
-    """The finished sentences, joined by one blank."""
-    return F.array_join(F.transform(find_all(strip(text), L.COMPLETE_SENTENCE), strip), " ")
+    """The finished sentences, joined by one blank. (Lines' unfinished ends: as above.)"""
+    return F.array_join(_ended(F.transform(find_all(strip(text), L.COMPLETE_SENTENCE + "|.+"), strip)), " ")
 
 
 def is_incomplete(text: Column) -> Column:

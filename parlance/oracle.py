@@ -142,7 +142,7 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_pack": f"""WITH RECURSIVE {DIALOGUES}, s AS (SELECT conv_id, string_split(dialogue, chr(10)) AS l FROM dialogues),
         r AS (SELECT conv_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS idx FROM s),
         t AS (SELECT conv_id, idx, {strip('line')} AS line, len({tokens('line')}) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS pos FROM r WHERE {strip('line')} <> ''),
-        f AS (SELECT conv_id, pos, 0 AS k, n AS total FROM t WHERE pos = 1
+        f AS (SELECT conv_id, pos, 0::BIGINT AS k, n AS total FROM t WHERE pos = 1
               UNION ALL SELECT t.conv_id, t.pos, CASE WHEN f.total + t.n > {L.CHUNK_TOKENS} THEN f.k + 1 ELSE f.k END, CASE WHEN f.total + t.n > {L.CHUNK_TOKENS} THEN t.n ELSE f.total + t.n END
               FROM f JOIN t ON t.conv_id = f.conv_id AND t.pos = f.pos + 1)
         SELECT t.conv_id, f.k, sum(t.n)::BIGINT AS token_count, string_agg(t.idx::VARCHAR, ',' ORDER BY t.pos) AS turn_indices, string_agg(t.line, chr(10) ORDER BY t.pos) AS chunk

@@ -16,8 +16,7 @@ def quoted(pattern: str) -> str:
 
 def register(spark: SparkSession) -> list[str]:
     """Temporary SQL functions, each a plain SQL expression, so that Catalyst sees through them."""
-    space = quoted(rf"(?U)^{L.SPACE}+|{L.SPACE}+\z")
-    strip = "regexp_replace({}, " + space + ", '')"
+    strip = "btrim({}, '" + "".join(f"\\u{ord(c):04x}" for c in L.WHITE) + "')"
     made = {
         "text_strip(t STRING) RETURNS STRING": strip.format("t"),
         "text_sentences(t STRING) RETURNS ARRAY<STRING>": f"filter(transform(split({strip.format('t')}, {quoted(L.SENTENCE_BREAK)}), x -> {strip.format('x')}), x -> x <> '')",

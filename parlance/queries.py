@@ -25,7 +25,8 @@ def _rows(df: DataFrame, *keys: str, pos: str | None = None, **value: Column) ->
     (name, array), = value.items()
     if pos is None:
         return df.select(*keys, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
-    return df.select(*keys, F.posexplode_outer(array).alias(pos, name)).filter(F.col(pos).isNotNull())
+    out = df.select(*keys, F.posexplode_outer(array).alias(pos, name)).filter(F.col(pos).isNotNull())
+    return out.withColumn(pos, F.col(pos).cast("long"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def dialogue_assembly(spark, sf_dir):
 
 
 def dialogue_lines(spark, sf_dir):
-    return _rows(dialogues(spark, sf_dir), "conv_id", t=X.turns(F.col("dialogue"))).select("conv_id", "t.idx", "t.line")
+    return _rows(dialogues(spark, sf_dir), "conv_id", t=X.turns(F.col("dialogue"))).select("conv_id", F.col("t.idx").cast("long").alias("idx"), "t.line")
 
 
 def speaker_facts(spark, sf_dir):
@@ -144,18 +145,18 @@ def primary_speaker(spark, sf_dir):
 
 def route_mode(spark, sf_dir):
     work = dialogues(spark, sf_dir).withColumn("prompt_tokens", X.token_count(structure.format_prompt(L.DIRECT_INSTRUCTION, X.strip(F.col("dialogue")))))
-    return work.select("conv_id", "prompt_tokens", structure.route("auto", F.col("prompt_tokens")).alias("mode"))
+    return work.select("conv_id", F.col("prompt_tokens").cast("long").alias("prompt_tokens"), structure.route("auto", F.col("prompt_tokens")).alias("mode"))
 
 
 def long_filter(spark, sf_dir):
     rows = documents(spark, sf_dir).withColumnRenamed("text", "input")
-    return evaluation.long_dialogues(rows).select("doc_id", "input_tokens", "eval_type")
+    return evaluation.long_dialogues(rows).select("doc_id", F.col("input_tokens").cast("long").alias("input_tokens"), "eval_type")
 
 
 def collapse_repeated(spark, sf_dir):
     work = dialogues(spark, sf_dir).withColumn("dialogue", F.array_join(F.array_repeat("dialogue", (F.col("conv_id") % 3 + 1).cast("int")), "\n"))
     work = work.withColumn("c", structure.collapse(X.turns(F.col("dialogue")), F.col("dialogue")))
-    return work.select("conv_id", F.col("c.text").alias("block"), structure.deduplicated_turns(F.col("c.provenance")).alias("deduplicated_turns"))
+    return work.select("conv_id", F.col("c.text").alias("block"), structure.deduplicated_turns(F.col("c.provenance")).cast("long").alias("deduplicated_turns"))
 
 
 def token_windows(spark, sf_dir):
@@ -165,19 +166,19 @@ def token_windows(spark, sf_dir):
 
 def chunk_pack(spark, sf_dir):
     work = _rows(structure.chunk_dialogues(dialogues(spark, sf_dir)), "conv_id", pos="k", c=F.col("chunks"))
-    return work.select("conv_id", "k", F.col("c.token_count").alias("token_count"), F.array_join("c.turn_indices", ",").alias("turn_indices"), F.col("c.text").alias("chunk"))
+    return work.select("conv_id", "k", F.col("c.token_count").cast("long").alias("token_count"), F.array_join("c.turn_indices", ",").alias("turn_indices"), F.col("c.text").alias("chunk"))
 
 
 def chunk_coverage(spark, sf_dir):
     work = structure.chunk_dialogues(dialogues(spark, sf_dir), budget=100)
     seen = F.array_distinct(F.flatten(F.transform("chunks", lambda c: c["turn_indices"])))
     most = F.array_max(F.transform("chunks", lambda c: c["token_count"]))
-    return work.select("conv_id", F.size(seen).alias("n_turns"), (most <= 100).alias("within_budget"), F.col("error_code").isNull().alias("covered"))
+    return work.select("conv_id", F.size(seen).cast("long").alias("n_turns"), (most <= 100).alias("within_budget"), F.col("error_code").isNull().alias("covered"))
 
 
 def direct_truncate(spark, sf_dir):
     work = documents(spark, sf_dir).withColumn("p", structure.direct_prompt(F.col("text")))
-    return work.select("doc_id", F.col("p.truncated").alias("truncated"), F.round("p.coverage", 9).alias("coverage"), F.length("p.prompt").alias("prompt_chars"))
+    return work.select("doc_id", F.col("p.truncated").alias("truncated"), F.round("p.coverage", 9).alias("coverage"), F.length("p.prompt").cast("long").alias("prompt_chars"))
 
 
 # ---- reliability ---------------------------------------------------------------------------
@@ -210,13 +211,13 @@ def number_support(spark, sf_dir):
 
 def duplicate_pairs(spark, sf_dir):
     reasons = _rows(_assessed(spark, sf_dir), "o", r=F.col("reliability.reasons")).filter("r.code = 'duplicate_event'")
-    return reasons.select("o", F.explode("r.pairs").alias("p")).select("o", F.col("p")[0].alias("i"), F.col("p")[1].alias("j"))
+    return reasons.select("o", F.explode("r.pairs").alias("p")).select("o", F.col("p")[0].cast("long").alias("i"), F.col("p")[1].cast("long").alias("j"))
 
 
 def attribution_conflicts(spark, sf_dir):
     reasons = _rows(_assessed(spark, sf_dir), "o", r=F.col("reliability.reasons")).filter("r.code = 'possible_attribution_conflict'")
     c = reasons.select("o", F.explode("r.conflicts").alias("c"))
-    return c.select("o", F.col("c.sentences")[0].alias("i"), F.col("c.sentences")[1].alias("j"), F.col("c.people")[0].alias("a"), F.col("c.people")[1].alias("b"))
+    return c.select("o", F.col("c.sentences")[0].cast("long").alias("i"), F.col("c.sentences")[1].cast("long").alias("j"), F.col("c.people")[0].alias("a"), F.col("c.people")[1].alias("b"))
 
 
 #: (name, dialogue, summary, repaired, records as reason:sentence numbers)
@@ -339,7 +340,7 @@ def poisson_bootstrap_ci(spark, sf_dir):
 
 
 def topk_longest(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", X.token_count(F.col("text")).alias("input_tokens"))
+    rows = documents(spark, sf_dir).select("doc_id", X.token_count(F.col("text")).cast("long").alias("input_tokens"))
     return evaluation.longest(rows, 15, key="doc_id")
 
 
