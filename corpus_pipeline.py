@@ -10,17 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parlance.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from parlance.llm.common import crc_bucket, table, written
+from parlance.llm.common import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or no letter) go. Learns outside the held-out fold."""
-    parser = language_id.fit_parser(docs.filter(crc_bucket("doc_id", 4) != 2))
-    found = language_id.predict(spark, docs, parser, keep=docs.columns)
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return language_id.keep_identified(spark, docs)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

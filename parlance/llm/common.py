@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,13 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df, if it is rows of tables, filtered and projected at most: those come in the same order each
+    time they are read, so that row numbers agree. What holds a shuffle is written first."""
+    nodes = re.findall(r"^[\s:+-]*([A-Za-z]+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    return df if set(nodes) <= {"Project", "Filter", "Relation", "LocalRelation"} else written(spark, df, "rows")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
@@ -67,3 +78,25 @@ def fresh(taken: list[str], stem: str) -> str:
     while stem.lower() in lower:
         stem += "_"
     return stem
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text (a longer text is a slice alone), so that what
+    a task holds does not follow the length of its rows. The same batch gives the same slices."""
+    sizes = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in batch.column(column)])
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def carried(columns: list[str], but: str) -> Column:
+    """A struct of these columns without one, which travels beside it."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns if c != but], F.lit(0).alias(fresh(columns, "_none")))
+
+
+def restored(columns: list[str], text_col: str) -> list[Column]:
+    """The columns again, from ``row`` (see carried) and ``text``."""
+    return [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of the training documents.
 
-A shard is a batch of documents of one task. Its words become symbols: the words that benchmark
+A shard is a slice of documents of one task, of SLICE_BYTES of text (a longer text alone). Its words become symbols: the words that benchmark
 items use, and one symbol for all others, which no test phrase holds. Runs of benchmark words too
 short for the shortest phrase cannot hold one and are left out of the shard's text; the rest is
 indexed. All phrases (windows of ``window`` consecutive item words; an item of fewer words is one
@@ -27,9 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.llm.common import carried, restored, text_slices
 from parlance.llm.fm_index import FMIndex
 
 WINDOW = 13
+#: Bytes of text of one shard.
+SLICE_BYTES = 8 << 20
 #: Symbols of one FM-index: bounds a task's memory at about 100 bytes a symbol.
 SHARD_SYMBOLS = 1_000_000
 #: Benchmark words whose phrases are held at once.
@@ -150,31 +153,34 @@ def find_contamination(
     """Per document: id_col, n_words, n_hit, items (ids found, as strings, sorted), spans (merged,
     of word positions, end exclusive), contaminated (n_hit > 0 and share * n_hit >= n_words).
 
-    keep: these columns of docs come along under a struct ``row``; else id_col alone does.
+    keep: these columns of docs come along, in place of id_col: the text as ``text``, the others in the
+    struct ``row``.
     """
     pieces = _pieces(spark, benchmark, item_col, item_text_col, window, max_benchmark_words)
-    carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep is not None else F.col(id_col)
-    source = docs.select(carried.alias("row"), F.col(text_col).cast("binary").alias("text"))
+    row = F.col(id_col) if keep is None else carried(keep, text_col)
+    source = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType(
-        [T.StructField("row", source.schema["row"].dataType)]
+        source.schema.fields[: 1 if keep is None else 2]
         + [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", span), ("contaminated", T.BooleanType()))]
     )
 
+    names, carry = schema.names, 1 if keep is None else 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = search_texts(batch.column(1).to_pylist(), (p.value for p in pieces))
+        for part in (p for b in batches for p in text_slices(b, 1, SLICE_BYTES)):
+            found = search_texts(part.column(1).cast(pa.binary()).to_pylist(), (p.value for p in pieces))
             hits = [sum(b - a for a, b in s) for _, s, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *part.columns[:carry],
                     pa.array([n for n, _, _ in found], pa.int64()),
                     pa.array(hits, pa.int64()),
                     pa.array([i for _, _, i in found], pa.list_(pa.string())),
                     pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([h > 0 and share * h >= n for h, (n, _, _) in zip(hits, found)], pa.bool_()),
                 ],
-                ["row", "n_words", "n_hit", "items", "spans", "contaminated"],
+                names,
             )
 
     out = source.mapInArrow(run, schema)
@@ -184,4 +190,4 @@ def find_contamination(
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones; all columns as they were."""
     found = find_contamination(spark, docs, benchmark, keep=docs.columns, **options)
-    return found.filter(~F.col("contaminated")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return found.filter(~F.col("contaminated")).select(*restored(docs.columns, options.get("text_col", "text")))

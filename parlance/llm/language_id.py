@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import crc_bucket
+from parlance.llm.common import carried, crc_bucket, restored, text_slices
 
 SAMPLE_CHARS = 24_000
 #: Documents per language from which the sample is taken.
@@ -169,6 +169,8 @@ class Parser:
         return out
 
 
+#: Bytes of text that are coded at once.
+SLICE_BYTES = 8 << 20
 #: Characters that documents of one lockstep group hold, padding included.
 LANE_CELLS = 2 << 20
 
@@ -216,20 +218,20 @@ def fit_parser(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def predict(spark: SparkSession, docs: DataFrame, parser: Parser, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Returns id_col (or, with keep, the struct ``row`` of these columns), lang_pred, score, entropy."""
+    """Returns id_col, lang_pred, score, entropy. keep: these columns come along in place of id_col, the
+    text as ``text``, the others in the struct ``row``."""
     shared = spark.sparkContext.broadcast((parser, parser.codes()))
-    carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep is not None else F.col(id_col)
-    source = docs.select(carried.alias("row"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("row", source.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType())])
+    row = F.col(id_col) if keep is None else carried(keep, text_col)
+    source = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    carry = 1 if keep is None else 2
+    schema = T.StructType([*source.schema.fields[:carry], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, codes = shared.value
-        for batch in batches:
-            found = []
-            for k in range(0, batch.num_rows, 2000):  # bounds the arrays of code points
-                found += predict_texts(own, codes, batch.column(1).slice(k, 2000).to_pylist())
+        for part in (p for b in batches for p in text_slices(b, 1, SLICE_BYTES)):
+            found = predict_texts(own, codes, part.column(1).to_pylist())
             columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "lang_pred", "score", "entropy"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:carry], *columns], schema.names)
 
     out = source.mapInArrow(run, schema)
     return out if keep is not None else out.withColumnRenamed("row", id_col)
@@ -239,5 +241,13 @@ def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     """Learns from the rows outside the held-out fold and judges every row. Returns id_col, held_out,
     lang_pred, score, entropy."""
     parser = fit_parser(docs.filter(crc_bucket(id_col, folds) != held_out), id_col, text_col, lang_col, **options)
-    out = predict(spark, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (crc_bucket(id_col, folds) == held_out).alias("fold")), parser, "id", "text", keep=["id", "fold"])
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), (crc_bucket(id_col, folds) == held_out).alias("fold")).alias("row"), F.col(text_col).alias("text"))
+    out = predict(spark, rows, parser, "row", "text")
     return out.select(F.col("row.id").alias(id_col), F.col("row.fold").alias("held_out"), "lang_pred", "score", "entropy")
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, **options) -> DataFrame:
+    """docs without those that have no language; all columns as they were."""
+    parser = fit_parser(docs.filter(crc_bucket(id_col, folds) != held_out), id_col, text_col, lang_col, **options)
+    found = predict(spark, docs, parser, id_col, text_col, keep=docs.columns)
+    return found.filter(F.col("lang_pred") != UNKNOWN).select(*restored(docs.columns, text_col))
