@@ -12,8 +12,7 @@ mapped back with integers alone. Names depend on the set of blocks a task gets,
 so a task that is run again gives the same names. Each round's names are written to the shared
 folder.
 
-The documents must come from a table or another source that gives the same rows in the same order
-when a task is run again (row numbers are Spark's ``monotonically_increasing_id``).
+Rows are numbered by their place in a table; other sources are written as one first.
 
 Cases: a null text counts as empty; the empty text is one empty block. Repeated rows, ids included,
 are documents of their own: of equal texts the row of the largest id stays (a null id is the
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import written
+from parlance.llm.common import stable, written
 
 BLOCK_BYTES = 8192
 #: Bytes of blocks that one naming task should sort.
@@ -114,7 +113,7 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     normalise: a function of the text column, applied before texts are compared (none: as it is).
     """
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (normalise(text) if normalise else text).cast("binary").alias("text"))
+    rows = stable(spark, docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (normalise(text) if normalise else text).cast("binary").alias("text"))
     facts, names = name_documents(spark, rows, block_bytes)
     whole = written(spark, facts.join(names, "row").select("row", "id", "n_blocks", "name", "sha"), "dedup-whole")
     groups = whole.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")

@@ -14,9 +14,8 @@ a group of thousands of near copies costs a row per text and block, and loses no
 
 Cases: a null or wordless text has no shingles: it is similar to nothing and a class of its own.
 Repeated rows, ids included, are copies of one another. Very long texts are taken whole. An empty
-table gives an empty result. Only the id and text columns are read, so others cannot clash. The
-documents must come from a table or another source that gives the same rows in the same order when
-a task is run again.
+table gives an empty result. Only the id and text columns are read, so others cannot clash. Rows are
+numbered by their place in a table; other sources are written as one first.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import fresh, written
+from parlance.llm.common import fresh, stable, written
 from parlance.llm.components import components
 from parlance.llm.decontaminate import words_of
 
@@ -248,7 +247,7 @@ def join_similar(
     n_links (other documents of this similarity or more), n_texts (other texts), kept (one document
     of each class: of the least id, then the first row), row (its number among docs)."""
     depth = prefix_depth(trees, max_depth, similarity, recall)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts = stable(spark, docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     added = T.StructType([T.StructField("set_key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("prefixes", T.ArrayType(T.LongType()))])
     signed = texts.mapInArrow(_sign(words, trees, depth), T.StructType([*texts.schema.fields[:2], *added.fields]))
     signed = written(spark, signed, "join-signed")
@@ -300,6 +299,7 @@ def join_similar(
 
 def drop_similar(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class; all columns as they were."""
+    docs = stable(spark, docs)
     gone = written(spark, join_similar(spark, docs, **options).filter("not kept").select(F.col("row").alias("gone")), "join-gone")
     number = fresh(docs.columns, "_row")
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
