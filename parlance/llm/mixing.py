@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import fresh, written
+from parlance.llm.common import written
 
 #: Characters that part words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, cycle: int = 3, max_repeat: int = 3) -> DataFrame:
     return w.select("source", "source_size", F.when(open_, share).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix_sources(
+def _placed(
     spark: SparkSession,
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -75,10 +75,9 @@ def mix_sources(
     max_repeat: int = 3,
     seed: int = 6,
 ) -> DataFrame:
-    """Returns id_col, size, source_size, target, taken (words, repeats counted), copies, finish
-    (virtual finish time of the first copy, null if the source has no words), row (number in docs)."""
+    """The queues: id, source, size, source_size, target, finish (virtual finish times of the copies),
+    done (copies within the budget), and key and tie, which with id are a queue's order."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
@@ -99,13 +98,13 @@ def mix_sources(
     starts = written(spark, starts, "mix-starts").withColumnsRenamed({"source": "s_source", "bucket": "s_bucket"})
 
     # a hot source has many buckets, so this key is even; ids, sizes and keys only, no texts
-    within = Window.partitionBy("source", "bucket").orderBy("key", F.col("id"), "tie").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("key", F.col("id"), "tie").rangeBetween(Window.unboundedPreceding, 0)  # rows alike end together
     placed = rows.withColumn("upto", F.sum("size").over(within)).join(
         starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket"))
     )
     reach = F.col("start") + F.col("upto")
     finish = [F.when(F.col("target") > 0, (F.lit(e) * F.col("source_size") + reach).cast("double") / F.col("target")) for e in range(max_repeat)]
-    placed = placed.select("row", "id", "size", "source_size", "target", "key", "tie", "source", F.array(*finish).alias("finish"))
+    placed = placed.select("id", "size", "source_size", "target", "key", "tie", "source", F.array(*finish).alias("finish"))
     placed = written(spark, placed, "mix-placed")
 
     # each source's queue would end at max_repeat * source_size / target, the budget ends near 1
@@ -123,27 +122,40 @@ def mix_sources(
         cut = 2.0
     else:
         cut = _cut_within(spark, copies.filter(slot == at), budget - spent)
-    done = F.size(F.filter("finish", lambda f: f <= F.lit(cut)))
+    done = F.when(F.col("size") > 0, F.size(F.filter("finish", lambda f: f <= F.lit(cut)))).otherwise(F.lit(0))
+    return placed.withColumn("done", done)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Returns id_col, size, source_size, target, taken (words, repeats counted), copies, finish
+    (virtual finish time of the first copy, null if the source has no words). Options: as _placed."""
+    placed = _placed(spark, docs, id_col, **options)
     return placed.select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * F.when(F.col("size") > 0, done).otherwise(F.lit(0))).cast("long").alias("taken"),
-        F.when(F.col("size") > 0, done).otherwise(F.lit(0)).alias("copies"),
-        F.get("finish", F.lit(0)).alias("finish"),
-        "row",
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("done")).cast("long").alias("taken"), F.col("done").alias("copies"), F.get("finish", F.lit(0)).alias("finish")
     )
 
 
-def apply_mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+def apply_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeat: int = 3, seed: int = 6, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with a column ``copy`` from 1
-    on (docs must not have one). Documents not taken, and those without words, are left out."""
-    plan = mix_sources(spark, docs, **options).filter("copies > 0").select(F.col("row").alias("at"), "copies")
-    number = fresh(docs.columns, "_row")
-    numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    out = numbered.join(written(spark, plan, "mix-plan"), F.col(number) == F.col("at"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    on (docs must not have one). Documents not taken, and those without words, are left out.
+
+    The budget's end cuts each source's queue at one place. So the mix is a row per source, the copies
+    that all its documents have and the last document that has one more, and no text is shuffled.
+    """
+    placed = _placed(spark, docs, id_col, text_col, source_col, max_repeat=max_repeat, seed=seed, **options).filter("size > 0")
+    at = F.struct("key", "id", "tie")
+    ends = [F.max(F.when(F.col("done") > k, at)).alias(f"end{k}") for k in range(max_repeat)]
+    cuts = placed.groupBy("source").agg(F.min("done").alias("all"), *ends)
+    last = F.coalesce(*[F.when(F.col("all") == k, F.col(f"end{k}")) for k in range(max_repeat)])
+    cuts = written(spark, cuts.select(F.col("source").alias("cut_source"), "all", last.alias("last")), "mix-cuts")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(shuffle_key(id_col, seed).alias("key"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie")).alias("at"),
+    ).filter(F.col(f"row.`{text_col}`").rlike(WORD))
+    joined = rows.join(cuts, F.col(f"row.`{source_col}`").eqNullSafe(F.col("cut_source")))
+    copies = F.col("all") + F.when(F.col("last").isNotNull() & (F.col("at") <= F.col("last")), 1).otherwise(0)
+    taken = joined.withColumn("copies", copies).filter("copies > 0")
+    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
 
 def _cut_within(spark: SparkSession, copies: DataFrame, room: int, depth: int = 0) -> float:
