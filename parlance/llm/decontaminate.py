@@ -32,7 +32,7 @@ from parlance.llm.fm_index import FMIndex
 
 WINDOW = 13
 #: Bytes of text of one shard.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Symbols of one FM-index: bounds a task's memory at about 100 bytes a symbol.
 SHARD_SYMBOLS = 1_000_000
 #: Benchmark words whose phrases are held at once.

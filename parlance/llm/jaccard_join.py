@@ -38,7 +38,7 @@ TREES, MAX_DEPTH, RECALL = 20, 8, 0.999
 #: Texts of one block of a candidate set.
 BLOCK = 256
 #: Words whose hashes a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _SEED = 20240229
 
 

@@ -175,25 +175,41 @@ SLICE_BYTES = 8 << 20
 LANE_CELLS = 2 << 20
 
 
+#: Characters whose code points are held at once while texts are coded.
+CODED_CHARS = 1 << 20
+
+
+def code_texts(codes: np.ndarray, texts: list[str | None]) -> list[np.ndarray]:
+    """Each text as one byte per letter, runs of other characters as one blank. Only the codes of all
+    texts are kept; code points and places are held for CODED_CHARS characters (or one text) at a time."""
+    out: list[np.ndarray] = []
+    sizes = np.cumsum([len(t) if t else 0 for t in texts])
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CODED_CHARS, side="right")))
+        part = [t or "" for t in texts[at:stop]]
+        coded = codes[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        owner = np.repeat(np.arange(len(part), dtype=np.int32), [len(t) for t in part])
+        keep = coded != _DROP
+        coded, owner = coded[keep], owner[keep]
+        if len(coded):
+            begins = np.concatenate(([True], owner[1:] != owner[:-1]))
+            after_blank = np.concatenate(([True], coded[:-1] == _BLANK))
+            keep = ~((coded == _BLANK) & (after_blank | begins))
+            coded, owner = coded[keep], owner[keep]
+        ends = np.searchsorted(owner, np.arange(len(part) + 1))
+        out += [coded[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        at = stop
+    return out
+
+
 def predict_texts(parser: Parser, codes: np.ndarray, texts: list[str | None]) -> list[tuple[str, float, float]]:
     """(language, score, least entropy) of each text. The score is 1 - least / next entropy."""
-    lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
-    points = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
-    coded = codes[points]
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    keep = coded != _DROP
-    coded, owner = coded[keep], owner[keep]
-    fresh = np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, bool)
-    blank_before = np.concatenate(([True], coded[:-1] == _BLANK)) if len(coded) else np.zeros(0, bool)
-    keep = ~((coded == _BLANK) & (blank_before | fresh))
-    coded, owner = coded[keep], owner[keep]
-    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-    letters = np.concatenate(([0], np.cumsum(coded != _BLANK)))
-    parts = [coded[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-    has = letters[ends[1:]] > letters[ends[:-1]]
+    parts = code_texts(codes, texts)
+    has = [bool((p != _BLANK).any()) for p in parts]
     if not parser.langs:
         return [(UNKNOWN, 0.0, 0.0)] * len(texts)
-    entropy = parser.phrases(parts) * parser.scale / np.maximum(1, np.diff(ends))[:, None]
+    entropy = parser.phrases(parts) * parser.scale / np.maximum(1, [len(p) for p in parts])[:, None]
     best = entropy.argmin(axis=1)
     least = entropy[np.arange(len(texts)), best]
     rest = np.sort(entropy, axis=1)[:, 1] if len(parser.langs) > 1 else np.full(len(texts), np.inf)
