@@ -330,9 +330,8 @@ def group_counts(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    """The published method over an evaluation set: one row per nation, as a set of 25 paired deltas."""
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source_index"), F.lit("real_long").alias("eval_type"), (F.col("n_nationkey") % 7 / 8.0 - 0.25).alias("d"))
-    return evaluation.bootstrap_ci(rows, "d")
+    """The published method over the paired deltas of all orders."""
+    return evaluation.bootstrap_ci(evaluation.paired(_scored(spark, sf_dir)), "d_critical")
 
 
 def poisson_bootstrap_ci(spark, sf_dir):

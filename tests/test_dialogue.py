@@ -16,6 +16,8 @@ from parlance.plans import sql, summarize
 from parlance.sources import files
 from parlance.streaming import dialogues as streaming
 
+DATA = "/root/testdata/sf0.001"
+
 
 def chunked(spark, dialogue, budget):
     row = structure.chunk_dialogues(spark.createDataFrame([(dialogue,)], "dialogue string"), budget=budget).head()
@@ -190,6 +192,26 @@ def test_bootstrap_equals_numpy(spark):
     assert p.low < x.mean() < p.high and abs(p.low - low) < 0.15
 
 
+def test_bootstrap_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "DRAWN", 64)  # blocks of 1 to 5 of the 200 resamples
+    rows = [(f"{i:02d}", "a" if i < 13 else "b", i % 5 / 7.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "source_index string, eval_type string, d double")
+    got = evaluation.bootstrap_ci(df, "d", groups=("a", "b"), samples=200).collect()
+    rng = np.random.default_rng(42)
+    for r, x in zip(got, (np.array([v for _, g, v in rows if g == "a"]), np.array([v for _, g, v in rows if g == "b"]))):
+        low, high = np.quantile(x[rng.integers(0, len(x), size=(200, len(x)))].mean(1), [0.025, 0.975])
+        assert (r.n, r.low, r.high) == (len(x), low, high)
+
+
+def test_bootstrap_query_takes_all_orders(spark):
+    pairs = evaluation.paired(Q._scored(spark, DATA)).select(F.col("source_index").cast("string").alias("k"), "d_critical").toPandas()
+    x = pairs.sort_values("k")["d_critical"].to_numpy()
+    rng, n = np.random.default_rng(42), spark.read.parquet(f"{DATA}/orders.parquet").count()
+    low, high = np.quantile([x[rng.integers(0, len(x), size=len(x))].mean() for _ in range(10000)], [0.025, 0.975])
+    r = Q.bootstrap_ci(spark, DATA).head()
+    assert (r.n, r.low, r.high) == (n, low, high)
+
+
 def test_blinded_sheet(spark):
     rows = [(i, "real_long" if i < 20 else "synthetic_stress", 500 + i, "d", "r", f"D{i}", f"H{i}") for i in range(40)]
     df = spark.createDataFrame(rows, "source_index int, eval_type string, input_tokens int, dialogue string, reference string, direct_summary string, hierarchical_summary string")
