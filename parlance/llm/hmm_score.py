@@ -7,9 +7,9 @@ the probability (c + 1) / (C + V + 1), c its training count, C and V the bucket'
 distinct words, the last 1 left for unseen words. So the model is a proper distribution over all
 words, its parameters are bounded (states x buckets), and counts of all words enter exactly.
 
-Training is Baum-Welch: a start is fitted on a bounded sample (``start_docs`` documents), then each
-iteration runs the scaled forward and backward recursions over every training document in its task
-and sums the expected counts per bucket across partitions. The score is the scaled forward
+Training is Baum-Welch: each of the ``rounds`` iterations, the first included, runs the scaled forward
+and backward recursions over every training document in its task and sums the expected counts per
+bucket across partitions. The documents are coded as buckets once and read by every round. The score is the scaled forward
 recursion's log10 likelihood of the whole text, end token included.
 
 Word counts never meet in one place. Each slice of documents (``SLICE_BYTES`` of text) sends one row
@@ -40,7 +40,7 @@ from parlance.llm.common import crc_bucket, stable, written
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 END = b""  # no word is empty
 TOP_WORDS, TAIL_BUCKETS, STATES = 4096, 4096, 8
-START_DOCS, START_ROUNDS, ROUNDS = 600, 12, 2
+ROUNDS = 14
 SLICE_BYTES = 16 << 20
 #: Cells (documents x steps) of one lockstep group: bounds the recursion's arrays.
 CELLS = 1 << 18
@@ -73,6 +73,11 @@ class Buckets:
     def n(self) -> int:
         return 1 + len(self.top) + self.tails
 
+    @property
+    def kind(self) -> type:
+        """Of the numbers that hold a bucket in written codes."""
+        return np.uint16 if self.n <= 1 << 16 else np.int32
+
     def of(self, word: bytes) -> int:
         if word == END:
             return 0
@@ -218,16 +223,28 @@ def _texts_by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array([piece] * part.num_rows, pa.int64()), *part.columns[1:]], ["piece", "id", "text", "train"])
 
 
+def _code_map(buckets):
+    """Map over (text): its buckets, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, kind = Reader(buckets.value), buckets.value.kind
+        for batch in batches:
+            for part in slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array([read(x.as_py()).astype(kind).tobytes() for x in part.column(0)], pa.binary())], ["codes"])
+
+    return run
+
+
 def _train_map(model, buckets):
-    """Map over (text): one row per bucket of the task's expected counts; rows below 0 hold the
+    """Map over (codes): one row per bucket of the task's expected counts; rows below 0 hold the
     first states (-1) and the moves (-2 - state)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, read = model.value, Reader(buckets.value)
+        own, kind = model.value, buckets.value.kind
         total = None
         for batch in batches:
             for part in slices(batch, 0):
-                found = expected_counts(own, [read(x.as_py()) for x in part.column(0)])
+                found = expected_counts(own, [np.frombuffer(x.as_buffer(), kind) for x in part.column(0)])
                 total = found if total is None else tuple(a + b for a, b in zip(total, found))
         if total is not None:
             start, move, emit = total
@@ -239,19 +256,14 @@ def _train_map(model, buckets):
     return run
 
 
-def train(spark: SparkSession, texts: DataFrame, buckets, weight: np.ndarray, states: int, rounds: int, start_docs: int, start_rounds: int) -> Hmm:
-    """texts: row, text of the training documents."""
+def train(spark: SparkSession, texts: DataFrame, buckets, weight: np.ndarray, states: int, rounds: int) -> Hmm:
+    """texts: text of the training documents, all of which every round takes."""
     model = Hmm.draw(weight, states)
-    chosen = texts.select("row", F.xxhash64("row").alias("key")).orderBy("key", "row").limit(start_docs)
-    sample = texts.join(F.broadcast(chosen.select(F.col("row").alias("at"))), F.col("row") == F.col("at")).orderBy("row").collect()  # start_docs rows at most
-    read = Reader(buckets.value)
-    first = [read(bytes(r["text"])) for r in sample]
-    for _ in range(start_rounds if first else 0):
-        model = model.learn(*expected_counts(model, first), weight)
+    coded = written(spark, texts.mapInArrow(_code_map(buckets), "codes binary"), "lm-coded")
     names = [f"s{k}" for k in range(states)]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        counts = texts.select("text").mapInArrow(_train_map(shared, buckets), "key long, " + ", ".join(f"{n} double" for n in names))
+        counts = coded.mapInArrow(_train_map(shared, buckets), "key long, " + ", ".join(f"{n} double" for n in names))
         rows = counts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).collect()  # a row per bucket and state
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
         for r in rows:
@@ -321,8 +333,6 @@ def score_documents(
     top_words: int = TOP_WORDS,
     tails: int = TAIL_BUCKETS,
     rounds: int = ROUNDS,
-    start_docs: int = START_DOCS,
-    start_rounds: int = START_ROUNDS,
 ) -> DataFrame:
     """Learns from the documents outside the held-out fold and scores every one. Returns id_col,
     held_out, n_tokens, n_known, train_tokens, base_score (unigram, add one), score (the model's)."""
@@ -345,7 +355,7 @@ def score_documents(
     shared = np.arange(buckets.value.n) > len(top)
     room = spark.sparkContext.broadcast(np.log10(np.maximum(1.0, tokens + words + shared)))
     weight = (tokens + 1) / (tokens + 1).sum()
-    model = train(spark, rows.filter("train").select("row", "text"), buckets, weight, states, rounds, start_docs, start_rounds)
+    model = train(spark, rows.filter("train").select("text"), buckets, weight, states, rounds)
     schema = T.StructType(
         [T.StructField("id", rows.schema["id"].dataType), T.StructField("train", T.BooleanType())]
         + [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]

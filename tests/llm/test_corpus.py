@@ -279,6 +279,26 @@ def test_scores(spark, odd):
     assert hmm_score.score_documents(spark, empty(odd), states=2).count() == 0
 
 
+def test_all_rounds_take_all_documents(spark):
+    """More documents than any sample of the start: the scores are those of 14 rounds over them all."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.choice('xy')}{rng.randint(0, 5)}" for _ in range(rng.randint(1, 6)))) for i in range(900)]
+    out = {r.doc_id: r.score for r in hmm_score.score_documents(spark, spark.createDataFrame(rows, "doc_id int, text string").repartition(3), states=2, top_words=16, tails=8).collect()}
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in t.split())
+    at = {w: k + 1 for k, w in enumerate(sorted(c, key=lambda w: (-c[w], w)))}  # a bucket per word
+    counts = np.array([len(train), *[c[w] for w in at], *[0] * 8]) + 1.0
+    weight = counts / counts.sum()
+
+    def coded(texts):
+        return [np.array([*[at[w] for w in t.split()], 0], np.int32) for t in texts]
+
+    model = hmm_score.Hmm.draw(weight, 2)
+    for _ in range(14):
+        model = model.learn(*hmm_score.expected_counts(model, coded(train)), weight)
+    assert [out[i] for i, _ in rows] == pytest.approx(list(hmm_score.log10_likelihoods(model, coded(t for _, t in rows))), rel=1e-9)
+
+
 def test_model_is_a_distribution(spark):
     """The probabilities of all next tokens, unseen ones as one, sum to 1: exp-sum over one-token texts."""
     buckets = hmm_score.Buckets({b"a": 1, b"b": 2}, 4)
