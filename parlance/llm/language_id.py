@@ -8,8 +8,9 @@ text, and the language of the least wins (ties: the first by name).
 The automata are built on the driver from a bounded sample of labelled rows: of each language the
 documents of the least hash, until ``sample_chars`` characters. They become one table of transitions
 in which a broken match already leads on from the root, so that many documents, in all languages,
-advance by one character with one array lookup. The table's size follows the parameters and the
-number of languages only, and is checked.
+advance by one character with one array lookup. The table has columns for the ``DENSE`` most frequent
+letters; the edges of the others are looked up by state and letter in one sorted list. The table's
+size follows the parameters and the number of languages only, and is checked.
 
 Letters are compared in lower case; what is no letter counts as one blank, combining marks as
 nothing. Cases: a null text, or one without letters, is ``und`` with score 0. Letters that no sample
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +41,9 @@ SAMPLE_CHARS = 24_000
 SAMPLE_DOCS = 48
 MAX_TABLE_BYTES = 256 << 20
 UNKNOWN = "und"
-_BLANK, _OTHER, _DROP = 0, 1, 255
+_BLANK, _OTHER = 0, 1
+#: Letters that have a column of the table.
+DENSE = 250
 
 
 def normal(text: str) -> str:
@@ -89,7 +93,8 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Parser:
-    """table[state * width + code]: next state of any language, doubled, plus 1 if a phrase ended."""
+    """table[state * width + code]: next state of any language, doubled, plus 1 if a phrase ended. Codes
+    from width on: goals at the place of state * span + code in keys, or else begins[language, code - width]."""
 
     langs: list[str]
     scale: np.ndarray  # log2 of each sample's length
@@ -97,37 +102,50 @@ class Parser:
     roots: np.ndarray
     width: int
     table: np.ndarray
+    span: int
+    keys: np.ndarray
+    goals: np.ndarray
+    begins: np.ndarray
 
     @staticmethod
     def fit(samples: dict[str, str], max_bytes: int = MAX_TABLE_BYTES) -> Parser:
         langs = sorted(samples)
         texts = [normal(samples[x]) for x in langs]
-        letters = {c: k + 2 for k, c in enumerate(sorted(set("".join(texts)) - {" "}))}
-        if len(letters) > 250:  # codes are bytes: the most frequent letters have codes of their own
-            often = sorted(letters, key=lambda c: (-sum(t.count(c) for t in texts), c))[:250]
-            letters = {c: k + 2 for k, c in enumerate(sorted(often))}
-        width = len(letters) + 2
-        roots, parts, size = [], [], 0
-        for text in texts:
-            follow = suffix_automaton([letters.get(c, _BLANK if c == " " else _OTHER) for c in text])
+        letters = sorted(set("".join(texts)) - {" "})
+        if len(letters) > DENSE:  # the most frequent letters come first
+            seen = Counter("".join(texts))
+            often = set(sorted(letters, key=lambda c: (-seen[c], c))[:DENSE])
+            letters.sort(key=lambda c: (c not in often, c))
+        letters = {c: k + 2 for k, c in enumerate(letters)}
+        span = len(letters) + 2
+        width = min(span, DENSE + 2)
+        begins = np.zeros((len(langs), span - width), np.int32)
+        roots, parts, edges_of, size = [], [], {}, 0
+        for lang, text in enumerate(texts):
+            follow = suffix_automaton([letters.get(c, _BLANK) for c in text])
             roots.append(size)
-            begin = np.full(width, size * 2 + 1, np.int32)
-            begin[[c for c in follow[0] if c != _OTHER]] = [(size + s) * 2 + 1 for c, s in follow[0].items() if c != _OTHER]
-            part = np.tile(begin, (len(follow), 1))
+            begin = np.full(span, size * 2 + 1, np.int32)
+            begin[list(follow[0])] = [(size + s) * 2 + 1 for s in follow[0].values()]
+            begins[lang] = begin[width:]
+            part = np.tile(begin[:width], (len(follow), 1))
             for state, edges in enumerate(follow):
                 for code, to in edges.items():
-                    if code != _OTHER:
+                    if code < width:
                         part[state, code] = (size + to) * 2
+                    else:
+                        edges_of[(size + state) * span + code] = (size + to) * 2
             parts.append(part)
             size += len(follow)
             if size * width * 4 > max_bytes:
                 raise ValueError(f"the table of {len(langs)} languages is over {max_bytes} bytes; take smaller samples")
+        keys = np.array(sorted(edges_of), np.int64)
+        goals = np.array([edges_of[k] for k in keys.tolist()], np.int32)
         scale = np.array([math.log2(max(2, len(t))) for t in texts])
-        return Parser(langs, scale, letters, np.array(roots, np.int64), width, np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32))
+        return Parser(langs, scale, letters, np.array(roots, np.int64), width, np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32), span, keys, goals, begins)
 
     def codes(self) -> np.ndarray:
-        """The code of every code point."""
-        out = np.full(0x110000, _BLANK, np.uint8)
+        """The code of every code point; the type's largest number for what is dropped."""
+        out = np.full(0x110000, _BLANK, np.uint8 if self.span <= 255 else np.uint16 if self.span <= 65_535 else np.uint32)
         for point in range(0x110000):
             if 0xD800 <= point < 0xE000:
                 continue
@@ -136,7 +154,7 @@ class Parser:
             if low.isalpha():
                 out[point] = self.letters.get(low, _OTHER)
             elif unicodedata.category(c).startswith("M"):
-                out[point] = _DROP
+                out[point] = np.iinfo(out.dtype).max
         return out
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -148,7 +166,7 @@ class Parser:
         while k < len(order) and lengths[k]:
             stop = k + max(1, min(len(order) - k, LANE_CELLS // int(lengths[k])))
             lanes = lengths[k:stop]
-            padded = np.zeros((int(lanes[0]), stop - k), np.uint8)
+            padded = np.zeros((int(lanes[0]), stop - k), texts[order[k]].dtype)
             for j, i in enumerate(order[k:stop].tolist()):
                 padded[: lanes[j], j] = texts[i]
             active = np.searchsorted(-lanes, -np.arange(int(lanes[0])), side="left")  # lanes longer than t
@@ -161,7 +179,17 @@ class Parser:
                 if n < state.shape[1]:
                     out[order[k + n : k + state.shape[1]]] = count[:, n:].T
                     state, count = np.ascontiguousarray(state[:, :n]), np.ascontiguousarray(count[:, :n])
-                step = table.take(state * width + padded[t, :n])
+                code = padded[t, :n]
+                rare = np.flatnonzero(code >= width) if len(self.keys) else ()
+                if len(rare):
+                    of = code[rare].astype(np.int64)
+                    key = state[:, rare] * self.span + of
+                    at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                    code = np.where(code < width, code, _OTHER)
+                    step = table.take(state * width + code)
+                    step[:, rare] = np.where(self.keys[at] == key, self.goals[at], self.begins[:, of - width])
+                else:
+                    step = table.take(state * width + code)
                 count += step & 1
                 state = (step >> 1).astype(np.int64)
             out[order[k : k + state.shape[1]]] = count.T
@@ -180,9 +208,10 @@ CODED_CHARS = 1 << 20
 
 
 def code_texts(codes: np.ndarray, texts: list[str | None]) -> list[np.ndarray]:
-    """Each text as one byte per letter, runs of other characters as one blank. Only the codes of all
+    """Each text as one code per letter, runs of other characters as one blank. Only the codes of all
     texts are kept; code points and places are held for CODED_CHARS characters (or one text) at a time."""
     out: list[np.ndarray] = []
+    drop = np.iinfo(codes.dtype).max
     sizes = np.cumsum([len(t) if t else 0 for t in texts])
     at = 0
     while at < len(texts):
@@ -190,7 +219,7 @@ def code_texts(codes: np.ndarray, texts: list[str | None]) -> list[np.ndarray]:
         part = [t or "" for t in texts[at:stop]]
         coded = codes[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
         owner = np.repeat(np.arange(len(part), dtype=np.int32), [len(t) for t in part])
-        keep = coded != _DROP
+        keep = coded != drop
         coded, owner = coded[keep], owner[keep]
         if len(coded):
             begins = np.concatenate(([True], owner[1:] != owner[:-1]))

@@ -216,6 +216,27 @@ def test_automaton_and_phrases():
         assert entropy == pytest.approx(min(want.values())) and want[lang] == pytest.approx(entropy) and 0 <= score <= 1
 
 
+def test_every_sample_letter_tells_languages_apart():
+    rng = random.Random(5)
+    han = [chr(0x4E00 + k) for k in range(900)]
+    samples = {x: "".join(rng.choice(han[a : a + 600]) for _ in range(3000)) + " plain" for x, a in (("ja", 0), ("zh", 300))}
+    parser = language_id.Parser.fit(samples)
+    texts = [samples["ja"][40:90], samples["zh"][700:760], samples["zh"][5:9] + " plain " + samples["ja"][9:30], "한국 plain", "".join(rng.choices(han, k=80)), "plain"]
+
+    def phrases(s, sample):
+        n, match = 1, ""
+        for c in s:
+            if match + c in sample:
+                match += c
+            else:
+                n, match = n + 1, c if c in sample else ""
+        return n
+
+    got = parser.phrases(language_id.code_texts(parser.codes(), texts))
+    assert got.tolist() == [[phrases(language_id.normal(s), language_id.normal(samples[x])) for x in ("ja", "zh")] for s in texts]
+    assert [x[0] for x in language_id.predict_texts(parser, parser.codes(), texts[:2])] == ["ja", "zh"]
+
+
 def test_language_id(spark, odd):
     rng = random.Random(6)
     words = {"aa": ["the", "cat", "and", "house"], "bb": ["der", "hund", "und", "haus"], "cc": ["il", "gatto", "e", "casa"]}
