@@ -360,8 +360,7 @@ def _records(spark, sf_dir) -> DataFrame:
 
 def blinded_sheet(spark, sf_dir):
     records = _records(spark, sf_dir)
-    few = records.filter(F.col("eval_type") == "real_long").unionByName(evaluation.hash_sample(records.filter(F.col("eval_type") == "synthetic_stress"), 30))
-    sheet, key = evaluation.blinded_sheet(few, evaluation.review_sample(spark, few))
+    sheet, key = evaluation.blinded_sheet(records, evaluation.review_sample(spark, records))
     return sheet.join(key.withColumnsRenamed({"candidate_a": "mode_a", "candidate_b": "mode_b"}), "item_id").select("item_id", "eval_type", "candidate_a", "candidate_b", "mode_a", "mode_b")
 
 

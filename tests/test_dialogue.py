@@ -223,6 +223,13 @@ def test_blinded_sheet(spark):
     assert {s[i].source_index for i in s if s[i].eval_type == "real_long"} == set(range(5, 20))
 
 
+def test_blinded_sheet_query_chooses_from_all_records(spark):
+    keys = sorted(r[0] for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey").distinct().collect() if r[0] % 2)
+    random.Random(42).shuffle(keys)
+    got = {int(r.candidate_a.split()[1]) for r in Q.blinded_sheet(spark, DATA).collect() if r.eval_type == "synthetic_stress"}
+    assert got == set(keys[:15])
+
+
 def test_error_proxies(spark):
     e = spark.range(1).select(evaluation.error_proxies(F.lit("Ann: 5 PM\nBo: ok"), F.lit("Ann at 5 PM"), F.lit("Bob at 5 pm"), F.lit(0.25)).alias("e")).head().e
     assert (e.speaker, e.number, e.omission, e.critical) == (1, 1, 0.75, 2.75)
