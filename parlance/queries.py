@@ -335,7 +335,7 @@ def bootstrap_ci(spark, sf_dir):
 
 
 def poisson_bootstrap_ci(spark, sf_dir):
-    return evaluation.poisson_bootstrap_ci(evaluation.paired(_scored(spark, sf_dir)), "d_critical", samples=100)
+    return evaluation.poisson_bootstrap_ci(evaluation.paired(_scored(spark, sf_dir)), "d_critical")
 
 
 def topk_longest(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Structure, reliability, repair, generation and evaluation on golden rows."""
 
+import inspect
 import json
 import random
 
@@ -212,6 +213,19 @@ def test_bootstrap_query_takes_all_orders(spark):
     assert (r.n, r.low, r.high) == (n, low, high)
 
 
+def test_poisson_query_takes_the_default_samples(spark, monkeypatch):
+    real, seen = evaluation.poisson_bootstrap_ci, []
+
+    def spy(*args, **options):
+        call = inspect.signature(real).bind(*args, **options)
+        call.apply_defaults()
+        seen.append(call.arguments["samples"])
+        return real(*args, **options)
+
+    monkeypatch.setattr(evaluation, "poisson_bootstrap_ci", spy)
+    assert Q.poisson_bootstrap_ci(spark, DATA).columns == ["mean", "low", "high"] and seen == [1000]
+
+
 def test_blinded_sheet(spark):
     rows = [(i, "real_long" if i < 20 else "synthetic_stress", 500 + i, "d", "r", f"D{i}", f"H{i}") for i in range(40)]
     df = spark.createDataFrame(rows, "source_index int, eval_type string, input_tokens int, dialogue string, reference string, direct_summary string, hierarchical_summary string")
