@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash LSH: bands of a fixed depth, in place of an LSH forest.
 
 A text's set is that of its shingles of ``words`` consecutive words (a text of fewer words is one
-shingle). Texts with the same set are copies: one of them stands for all. Each tree of the forest
-sorts the representatives by the prefix of a MinHash signature of its own; the matched prefix is
-shortened from ``max_depth`` until pairs at the threshold meet in some tree with the target recall
-(``prefix_depth``). Texts that meet in a tree hang on the least of them, and connected texts form a
+shingle). Texts with the same set are copies: one of them stands for all. Each tree
+groups the representatives by the prefix of a MinHash signature of its own; its depth is the largest,
+up to ``max_depth``, at which pairs at the threshold meet in some tree with the target recall
+(``prefix_depth``). It follows from the parameters alone. Texts that meet in a tree hang on the least of them, and connected texts form a
 candidate set. Within it, every pair is verified exactly on the shingle sets.
 
 No pairs are emitted. A candidate set is cut into blocks by hash, and a task holds two blocks at
