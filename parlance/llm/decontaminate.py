@@ -1,15 +1,16 @@
 """Benchmark decontamination with an FM-index per shard of the training documents.
 
-A shard is a slice of documents of one task, of SLICE_BYTES of text (a longer text alone). Its words become symbols: the words that benchmark
-items use, and one symbol for all others, which no test phrase holds. Runs of benchmark words too
-short for the shortest phrase cannot hold one and are left out of the shard's text; the rest is
-indexed. All phrases (windows of ``window`` consecutive item words; an item of fewer words is one
-phrase) are searched backwards through the wavelet ranks, occurrences are located by sampled
-suffix positions, and overlapping occurrences merge into removal spans.
-
-There is no shuffle: each document is read once, and only the phrases are sent to the tasks. The
-benchmark is checked against ``max_benchmark_words``; a larger one is searched in pieces of that
-size, each of its own broadcast, that a task loads one after another.
+A shard is a slice of documents of one task, of SLICE_BYTES of text (a longer text alone, in shards
+that overlap by a phrase). All its words are indexed: the words that benchmark items use as symbols of
+their own, any other as one symbol, which no test phrase holds. All phrases (windows of ``window``
+consecutive item words; an item of fewer words is one phrase) are searched backwards through the
+wavelet ranks, occurrences are located by sampled suffix positions, and overlapping occurrences merge
+into removal spans.
+
+There is no shuffle: each document is read once, and only the phrases are sent to the tasks. A
+benchmark of more than ``max_benchmark_words`` is taken in pieces of that size, read one after another:
+each is a pass over the documents that merges its finds into those before and is written, and its
+phrases leave driver and tasks before the next.
 
 Cases: a null or wordless text has no words and no hits; a null or wordless item has no phrase; a
 null item_id counts as the empty string. Items that share an id count once. Repeated rows are
@@ -19,6 +20,7 @@ texts are searched whole. Only the id and text columns are read, so others canno
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import carried, restored, text_slices
+from parlance.llm.common import carried, restored, text_slices, written
 from parlance.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -35,8 +37,8 @@ WINDOW = 13
 SLICE_BYTES = 4 << 20
 #: Symbols of one FM-index: bounds a task's memory at about 100 bytes a symbol.
 SHARD_SYMBOLS = 1_000_000
-#: Benchmark words whose phrases are held at once.
-MAX_BENCHMARK_WORDS = 2_000_000
+#: Benchmark words whose phrases are held at once (about 100 bytes each).
+MAX_BENCHMARK_WORDS = 500_000
 #: Word bytes: digits, a-z, and all of UTF-8 beyond ASCII; A-Z are lower-cased, the rest parts words.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -47,94 +49,114 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).translate(_BYTES).split()
 
 
+def plain_parts(text: bytes | None, most: int) -> Iterator[bytes]:
+    """The text with words of ``words_of`` parted by spaces, in parts of about ``most`` bytes that end at
+    a space (a longer word is a part alone)."""
+    plain, at = text.translate(_BYTES) if text else b"", 0
+    while at < len(plain):
+        stop = len(plain)
+        if at + most < stop:
+            cut = plain.rfind(b" ", at, at + most)
+            stop = cut + 1 if cut >= 0 else plain.find(b" ", at + most)
+            stop = stop if stop >= 0 else len(plain)
+        yield plain[at:stop]
+        at = stop
+
+
 class Phrases:
-    """The windows of benchmark items as rows of symbols, by length; symbol 0 is any other word."""
+    """The windows of benchmark items as rows of symbols, by length; symbol 0 is any other word.
+    A group: its distinct phrases, and for phrase k the items owners[starts[k]:starts[k + 1]]."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.symbols: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, words in items:
-            row = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words]
-            size = min(window, len(row))
-            for k in range(len(row) - size + 1 if row else 0):
-                by_length.setdefault(size, {}).setdefault(tuple(row[k : k + size]), set()).add(item)
-        self.groups = [(np.array(list(found), np.int64).reshape(-1, size), [sorted(x) for x in found.values()]) for size, found in sorted(by_length.items())]
-        self.shortest = min(by_length, default=0)
-
-
-def _runs(symbols: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of benchmark words of at least the shortest phrase."""
-    edge = np.diff(np.concatenate(([0], (symbols > 0).astype(np.int8), [0])))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long = end - start >= shortest
-    return start[long], end[long]
-
-
-def _occurrences(symbols: np.ndarray, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, list[list[str]], np.ndarray]]:
-    """For each shard index and phrase length: positions, length, items by phrase, phrase of each."""
-    if not phrases.shortest:
-        return
-    start, end = _runs(symbols, phrases.shortest)
-    k = 0
-    while k < len(start):
-        size = np.cumsum(end[k:] - start[k:] + 1)
-        stop = k + max(1, int(np.searchsorted(size, SHARD_SYMBOLS, side="right")))
-        lengths = end[k:stop] - start[k:stop] + 1  # a 0 after each run
-        shift = start[k:stop] - np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        origin = np.arange(int(lengths.sum())) + np.repeat(shift, lengths)
-        text = symbols[np.minimum(origin, len(symbols) - 1)]
-        text[np.cumsum(lengths) - 1] = 0
-        index = FMIndex(text)
-        for rows, items in phrases.groups:
+        self.names = sorted({name for name, words in items if words})
+        place = {name: k for k, name in enumerate(self.names)}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for name, words in items:
+            if words:
+                row = np.array([self.symbols.setdefault(w, len(self.symbols) + 1) for w in words], np.int32)
+                size = min(window, len(row))
+                by_length.setdefault(size, []).append((place[name], np.lib.stride_tricks.sliding_window_view(row, size)))
+        self.groups = []
+        for _, found in sorted(by_length.items()):
+            owner = np.repeat([k for k, _ in found], [len(w) for _, w in found])
+            rows, which = np.unique(np.concatenate([w for _, w in found]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((which.ravel(), owner), axis=1), axis=0)
+            self.groups.append((rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1]))
+        self.longest = max(by_length, default=0)
+
+
+def _occurrences(symbols: np.ndarray, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
+    """For each shard index and phrase length: positions, length, phrase of each, number of the group."""
+    at = 0
+    while phrases.groups and at < len(symbols):
+        stop = min(at + SHARD_SYMBOLS, len(symbols))
+        index = FMIndex(symbols[at:stop])
+        for number, (rows, _, _) in enumerate(phrases.groups):
             low, high = index.search(rows)
             count = high - low
             which = np.repeat(np.arange(len(rows)), count)
             ranks = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-            yield origin[index.locate(ranks)], rows.shape[1], items, which
-        k = stop
+            yield at + index.locate(ranks), rows.shape[1], which, number
+        # a phrase that begins before the next shard ends within this one
+        at = stop if stop == len(symbols) else max(at + 1, stop - phrases.longest + 1)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch, as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def search_texts(texts: list[bytes | None], pieces) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+def search_texts(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """Per text: number of words, merged hit spans (of words), sorted ids of items found."""
-    split = [words_of(t) for t in texts]
-    starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in split]))).astype(np.int64)
-    delta = np.zeros(int(starts[-1]) + 1, np.int32)
-    items: list[set[str]] = [set() for _ in texts]
-    for phrases in pieces:
-        get, flat = phrases.symbols.get, []
-        for w in split:
-            flat += [get(x, 0) for x in w]
-            flat.append(0)
-        for places, size, names, which in _occurrences(np.array(flat, np.int64), phrases):
-            np.add.at(delta, places, 1)
-            np.add.at(delta, places + size, -1)
-            doc = np.searchsorted(starts, places, side="right") - 1
-            for d, p in set(zip(doc.tolist(), which.tolist())):
-                items[d].update(names[p])
+    get, parts, starts, at = phrases.symbols.get, [], [], 0
+    for text in texts:
+        starts.append(at)
+        for part in plain_parts(text, SLICE_BYTES):
+            words = part.split()
+            parts.append(np.fromiter(map(get, words, itertools.repeat(0)), np.int32, len(words)))
+            at += len(words)
+        parts.append(np.zeros(1, np.int32))  # parts the documents
+        at += 1
+    starts = np.array([*starts, at], np.int64)
+    delta = np.zeros(at + 1, np.int32)
+    items: list[set[int]] = [set() for _ in texts]
+    for places, size, which, number in _occurrences(np.concatenate(parts) if parts else np.zeros(0, np.int32), phrases):
+        np.add.at(delta, places, 1)
+        np.add.at(delta, places + size, -1)
+        doc = np.searchsorted(starts, places, side="right") - 1
+        _, first, owners = phrases.groups[number]
+        for d, p in np.unique(np.stack((doc, which), axis=1), axis=0).tolist():
+            items[d].update(owners[first[p] : first[p + 1]].tolist())
     hit = np.cumsum(delta) > 0
     edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     for a, b, d in zip(first.tolist(), last.tolist(), (np.searchsorted(starts, first, side="right") - 1).tolist()):
         spans[d].append((a - int(starts[d]), b - int(starts[d])))
-    return [(len(w), s, sorted(i)) for w, s, i in zip(split, spans, items)]
+    return [(int(n), s, [phrases.names[k] for k in sorted(i)]) for n, s, i in zip(np.diff(starts) - 1, spans, items)]
 
 
-def _pieces(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int) -> list:
-    """Broadcast phrases, in pieces of at most ``most`` words (a longer item is a piece alone)."""
-    pieces, items, n = [], [], 0
+def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[Phrases]:
+    """Phrases of at most ``most`` words (a longer item is a piece alone); of an empty benchmark one, empty."""
+    items, n, any_yet = [], 0, False
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).toLocalIterator()
     for item, text in rows:
         words = words_of(text)
         if items and n + len(words) > most:
-            pieces.append(spark.sparkContext.broadcast(Phrases(items, window)))
-            items, n = [], 0
+            yield Phrases(items, window)
+            items, n, any_yet = [], 0, True
         if words:
             items.append((item, words))
             n += len(words)
-    if items:
-        pieces.append(spark.sparkContext.broadcast(Phrases(items, window)))
-    return pieces
+    if items or not any_yet:
+        yield Phrases(items, window)
 
 
 def find_contamination(
@@ -156,35 +178,43 @@ def find_contamination(
     keep: these columns of docs come along, in place of id_col: the text as ``text``, the others in the
     struct ``row``.
     """
-    pieces = _pieces(spark, benchmark, item_col, item_text_col, window, max_benchmark_words)
     row = F.col(id_col) if keep is None else carried(keep, text_col)
-    source = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType(
-        source.schema.fields[: 1 if keep is None else 2]
-        + [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", span), ("contaminated", T.BooleanType()))]
-    )
-
-    names, carry = schema.names, 1 if keep is None else 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in text_slices(b, 1, SLICE_BYTES)):
-            found = search_texts(part.column(1).cast(pa.binary()).to_pylist(), (p.value for p in pieces))
-            hits = [sum(b - a for a, b in s) for _, s, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *part.columns[:carry],
-                    pa.array([n for n, _, _ in found], pa.int64()),
-                    pa.array(hits, pa.int64()),
-                    pa.array([i for _, _, i in found], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([h > 0 and share * h >= n for h, (n, _, _) in zip(hits, found)], pa.bool_()),
-                ],
-                names,
-            )
-
-    out = source.mapInArrow(run, schema)
-    return out if keep is not None else out.withColumnRenamed("row", id_col)
+    now = docs.select(row.alias("row"), F.col(text_col).alias("text"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = T.StructType([*now.schema.fields[:2], *[T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", span), ("contaminated", T.BooleanType()))]])
+    names, kind = schema.names, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def judge(shared, carry: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases = shared.value
+            for part in (p for b in batches for p in text_slices(b, 1, SLICE_BYTES)):
+                found = search_texts([x.as_buffer().to_pybytes() if x.is_valid else None for x in part.column(1)], phrases)
+                spans = [merged([*((x["start"], x["end"]) for x in before), *s]) for before, (_, s, _) in zip(part.column(2).to_pylist(), found)]
+                items = [sorted({*before, *i}) for before, (_, _, i) in zip(part.column(3).to_pylist(), found)]
+                hits = [sum(b - a for a, b in s) for s in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns[:carry],
+                        pa.array([n for n, _, _ in found], pa.int64()),
+                        pa.array(hits, pa.int64()),
+                        pa.array(items, pa.list_(pa.string())),
+                        pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind),
+                        pa.array([h > 0 and share * h >= n for h, (n, _, _) in zip(hits, found)], pa.bool_()),
+                    ],
+                    names[:carry] + names[2:],
+                )
+
+        return run
+
+    before = None
+    for phrases in _pieces(benchmark, item_col, item_text_col, window, max_benchmark_words):
+        if before is not None:  # there is another piece
+            now = written(spark, now.mapInArrow(judge(before, 2), schema), "contamination").select("row", "text", "spans", "items")
+            before.destroy()
+        before = spark.sparkContext.broadcast(phrases)
+    if keep is not None:
+        return now.mapInArrow(judge(before, 2), schema)
+    return now.mapInArrow(judge(before, 1), T.StructType(schema.fields[:1] + schema.fields[2:])).withColumnRenamed("row", id_col)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -21,27 +21,27 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     for j in range(packed):
         key <<= bits
         key[: n - j] |= plus[j:]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    first = np.flatnonzero(new)
+    tied = np.flatnonzero(np.repeat(np.diff(np.append(first, n)) > 1, np.diff(np.append(first, n))))
     reach = packed
-    while True:
-        first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, n))
-        tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
-        if not len(tied) or reach >= n:
-            return order
+    while len(tied) and reach < n:
         at = order[tied]
         after = at + reach
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         key = rank[at] * (n + 1) + second
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[tied], key = at[by], key[by]
-        new[tied] = np.concatenate(([True], key[1:] != key[:-1]))
-        rank[order[tied]] = np.maximum.accumulate(np.where(new[tied], tied, 0))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
+        sizes = np.diff(np.append(np.flatnonzero(new), len(tied)))
+        tied = tied[np.repeat(sizes > 1, sizes)]
         reach *= 2
+    return order
 
 
 class WaveletMatrix:
@@ -52,12 +52,14 @@ class WaveletMatrix:
         self.levels = max(1, int(seq.max(initial=0)).bit_length())
         self.ones: list[np.ndarray] = []
         self.zeros: list[int] = []
-        cur = seq.astype(np.int64)
+        cur = seq.astype(np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            bit = (cur >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
-            self.zeros.append(int(self.n - bit.sum()))
-            cur = np.concatenate((cur[bit == 0], cur[bit == 1]))
+            bit = (cur & cur.dtype.type(1 << level)) != 0
+            ones = np.zeros(self.n + 1, np.int32)
+            np.cumsum(bit, dtype=np.int32, out=ones[1:])
+            self.ones.append(ones)
+            self.zeros.append(int(self.n - ones[-1]))
+            cur = np.concatenate((cur[~bit], cur[bit]))
 
     def _down(self, k: int, bit: np.ndarray, i: np.ndarray) -> np.ndarray:
         ones = self.ones[k][i]
