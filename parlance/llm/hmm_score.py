@@ -5,63 +5,91 @@ the ``top_words`` most frequent training words has its own, the end token has on
 words share buckets by their last letters. Latent states emit buckets; within a bucket a word has
 the probability (c + 1) / (C + V + 1), c its training count, C and V the bucket's training tokens and
 distinct words, the last 1 left for unseen words. So the model is a proper distribution over all
-words, its parameters are bounded (states x buckets), and counts of all words enter exactly.
+words: every training word is emitted with its own count, and the parameters that the states learn
+(states x buckets) are bounded, whatever the vocabulary's size.
 
 Training is Baum-Welch: each of the ``rounds`` iterations, the first included, runs the scaled forward
 and backward recursions over every training document in its task and sums the expected counts per
-bucket across partitions. The documents are coded as buckets once and read by every round. The score is the scaled forward
-recursion's log10 likelihood of the whole text, end token included.
+bucket across partitions. The score is the scaled forward recursion's log10 likelihood of the whole
+text, end token included. Training recurses in single precision and sums in double; scoring is in
+double precision throughout.
 
-Word counts never meet in one place. Each slice of documents (``SLICE_BYTES`` of text) sends one row
-per distinct word, the counts are summed per word (a word has at most one row per slice, however
-frequent it is), and go back to the slices that have the word, where its documents are scored.
+Texts are split into words twice: once to count the training words, combined per task before they are
+shuffled, and once to code slices of documents (``SLICE_BYTES`` of text) as numbers. The codes are written
+as lockstep blocks that all rounds and the scoring read. Words without a bucket of their own are
+listed once per slice; only these meet their counts in a shuffled join, so no frequent word is a hot
+key, and go back to their slice as numbers.
 
 Cases: a null or blank text is the end token alone. Words never seen in training count as c = 0.
-Repeated rows are trained on and scored alike. Without training rows every count is 0 and the model
-is the unigram base over one bucket set. Very long texts are read whole. An empty table gives an
-empty result. Only the id and text columns are read, so others cannot clash. Rows are numbered by
-their place in a table; other sources are written as one first.
+Repeated rows, ids included, are trained on and scored alike, each with a row of its own. Without
+training rows every count is 0 and the model is the unigram base over one bucket set. A text longer
+than a slice is a block alone; its recursions keep ``CELLS`` steps at a time. An empty table gives an
+empty result. Only the id and text columns are read, so others cannot clash. Rows need no numbers.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import crc_bucket, stable, written
+from parlance.llm.common import crc_bucket, text_slices, written
 
 #: Bytes: A-Z lower-cased, the six blanks to a space.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 END = b""  # no word is empty
-TOP_WORDS, TAIL_BUCKETS, STATES = 4096, 4096, 8
+TOP_WORDS, TAIL_BUCKETS, STATES = 16_384, 4096, 8
 ROUNDS = 14
+#: Bytes of text of a slice, whose documents run in lockstep.
 SLICE_BYTES = 16 << 20
-#: Cells (documents x steps) of one lockstep group: bounds the recursion's arrays.
-CELLS = 1 << 18
+#: Bytes of text that are split into words at once.
+PART_BYTES = 4 << 20
+#: Words that a task counts before it sends them on.
+COUNTED = 500_000
+#: Steps x lanes whose recursion values are held at once.
+CELLS = 3 << 20
+#: Of these, how many are summed at once.
+PART_CELLS = 1 << 16
+#: Steps between two scalings of the recursions in training: bounds what single precision must span.
+_SCALED = 4
 _SEED = 9
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_BYTES).split() if text else []
-
-
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE_BYTES of text; the same batch gives the same slices."""
-    sizes = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in batch.column(column)])
+def word_parts(text: bytes | None, most: int = PART_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about ``most`` bytes, cut at blanks."""
+    plain = text.translate(_BYTES) if text else b""
     at = 0
-    while at < batch.num_rows:
-        done = sizes[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right")))
-        yield batch.slice(at, stop - at)
+    while at < len(plain):
+        stop = len(plain)
+        if at + most < stop:
+            cut = plain.rfind(b" ", at, at + most)
+            stop = cut if cut >= 0 else plain.find(b" ", at + most)
+            stop = stop + 1 if stop >= 0 else len(plain)
+        yield plain[at:stop].split()
         at = stop
 
 
+def tails_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tails: int) -> np.ndarray:
+    """A number below ``tails`` for each word, data[start:end], from its last three bytes."""
+    x = np.full(len(starts), 2166136261, np.uint32)
+    for back in (3, 2, 1):
+        at = ends - back
+        has = at >= starts
+        x = np.where(has, (x ^ data[np.where(has, at, 0)]) * np.uint32(16777619), x)
+    return (x ^ (x >> np.uint32(15))) % np.uint32(tails)
+
+
+def word_tails(words: list[bytes], tails: int) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return tails_of(np.frombuffer(b"".join(words) or b"\0", np.uint8), np.concatenate(([0], ends[:-1])), ends, tails) if words else np.zeros(0, np.uint32)
+
+
 @dataclass
 class Buckets:
     """Bucket 0 is the end token's; then the most frequent words'; then those shared by last letters."""
@@ -69,26 +97,20 @@ class Buckets:
     top: dict[bytes, int]
     tails: int
 
+    @property
+    def own(self) -> int:
+        """Buckets of one word each."""
+        return 1 + len(self.top)
+
     @property
     def n(self) -> int:
-        return 1 + len(self.top) + self.tails
+        return self.own + self.tails
 
     @property
     def kind(self) -> type:
         """Of the numbers that hold a bucket in written codes."""
         return np.uint16 if self.n <= 1 << 16 else np.int32
 
-    def of(self, word: bytes) -> int:
-        if word == END:
-            return 0
-        found = self.top.get(word)
-        if found is None:
-            x = 2166136261
-            for b in word[-3:]:
-                x = ((x ^ b) * 16777619) & 0xFFFFFFFF
-            found = 1 + len(self.top) + (x ^ x >> 15) % self.tails
-        return found
-
 
 @dataclass
 class Hmm:
@@ -111,141 +133,233 @@ class Hmm:
         return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _groups(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Lockstep groups of sequences, longest first: places, steps x lanes of symbols, lanes per step."""
-    lengths = np.array([len(s) for s in sequences], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    k = 0
-    while k < len(order):
-        longest = int(lengths[order[k]])
-        stop = k + max(1, min(len(order) - k, CELLS // longest))
-        places = order[k:stop]
-        lanes = np.zeros((longest, stop - k), np.int32)
-        for j, i in enumerate(places.tolist()):
-            lanes[: lengths[i], j] = sequences[i]
-        yield places, lanes, np.searchsorted(-lengths[places], -np.arange(longest), side="left")
-        k = stop
-
-
-def log10_likelihoods(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
-    """Scaled forward recursion: log10 P of each (non-empty) sequence of buckets."""
-    out = np.zeros(len(sequences))
-    for places, lanes, active in _groups(sequences):
-        scale = np.ones(lanes.shape)
-        alpha = model.start * model.emit[lanes[0]]
-        for t in range(len(lanes)):
-            n = active[t]
-            if t:
-                alpha = (alpha[:n] @ model.move) * model.emit[lanes[t, :n]]
-            total = alpha.sum(1)
-            scale[t, :n] = total
-            alpha /= total[:, None]
-        out[places] = np.log10(scale).sum(0)
-    return out
-
-
-def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Lockstep:
+    """Sequences side by side, longest first: active[t] of them have a step t, and the symbols of
+    step t, one per active lane, follow those of step t - 1."""
+
+    active: np.ndarray
+    symbols: np.ndarray
+
+    @staticmethod
+    def of(sequences: list[np.ndarray]) -> tuple[np.ndarray, Lockstep]:
+        """The places of the (non-empty) sequences by lane, and the block."""
+        lengths = np.array([len(s) for s in sequences], np.int64)
+        places = np.argsort(-lengths, kind="stable")
+        longest = int(lengths.max(initial=0))
+        active = np.searchsorted(-lengths[places], -np.arange(longest), side="left")
+        offset = np.concatenate(([0], np.cumsum(active)))
+        symbols = np.empty(int(offset[-1]), sequences[0].dtype if sequences else np.int32)
+        for lane, place in enumerate(places.tolist()):
+            symbols[offset[: lengths[place]] + lane] = sequences[place]
+        return places, Lockstep(active, symbols)
+
+    def lanes(self) -> np.ndarray:
+        """The lane of each symbol."""
+        offset = np.cumsum(self.active) - self.active
+        return np.arange(len(self.symbols)) - np.repeat(offset, self.active)
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Steps in runs of CELLS symbols at most (one step at least)."""
+        ends, out, at = np.cumsum(self.active), [], 0
+        while at < len(ends):
+            done = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + CELLS, side="right")))
+            out.append((at, stop))
+            at = stop
+        return out
+
+
+def log10_likelihoods(model: Hmm, block: Lockstep) -> np.ndarray:
+    """Scaled forward recursion: log10 P of each lane's sequence of buckets."""
+    out = np.zeros(int(block.active[0]) if len(block.active) else 0)
+    ones = np.ones(len(model.start))
+    alpha, at = model.start, 0
+    scale = np.ones(len(out))
+    for t, n in enumerate(block.active.tolist()):
+        ahead = alpha[:n] @ model.move if t else alpha
+        alpha = ahead * model.emit.take(block.symbols[at : at + n], axis=0)
+        total = alpha @ ones
+        alpha /= total[:, None]
+        scale[:n] *= total
+        if t % 16 == 15:  # a factor is over 1e-18
+            out += np.log10(scale)
+            scale[:] = 1
+        at += n
+    return out + np.log10(scale)
+
+
+def _span_forward(ahead: np.ndarray, ratio: np.ndarray, move: np.ndarray, active: list[int], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward values of a run of steps and the emissions divided alike. ahead: the states' weights
+    before the first step."""
+    seen = ratio.take(symbols, axis=0)
+    alpha = np.empty_like(seen)
+    ones = np.ones((len(move), 1), alpha.dtype)
+    at = before = 0
+    for t, n in enumerate(active):
+        here, own = alpha[at : at + n], seen[at : at + n]
+        if t:
+            np.dot(alpha[before : before + n], move, out=here)
+            here *= own
+        else:
+            np.multiply(ahead[:n], own, out=here)
+        if t % _SCALED == _SCALED - 1 or t == len(active) - 1:
+            total = here @ ones
+            here /= total
+            own /= total
+        before, at = at, at + n
+    return alpha, seen
+
+
+def expected_counts(model: Hmm, block: Lockstep, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected counts of first states, moves (states x states) and emissions (buckets x
-    states) over all sequences."""
+    states) over all lanes. Values recurse in ``kind`` and are summed in double precision.
+
+    Emissions enter divided by their bucket's greatest, which changes no posterior. A block of more
+    than CELLS symbols runs in spans of steps: the forward values at their heads are kept, and each
+    span's are made again when the backward recursion reaches it."""
     states = len(model.start)
-    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
-    for _, lanes, active in _groups(sequences):
-        offset = np.concatenate(([0], np.cumsum(active)))
-        symbols = np.concatenate([row[:n] for row, n in zip(lanes, active)])
-        emitted = model.emit[symbols]
-        post = np.empty((offset[-1], states))  # forward values, then posteriors in their place
-        alpha = model.start * emitted[: active[0]]
-        for t, n in enumerate(active):
-            at = offset[t]
-            if t:
-                alpha = (alpha[:n] @ model.move) * emitted[at : at + n]
-            scale = alpha.sum(1, keepdims=True)
-            alpha /= scale
-            post[at : at + n] = alpha
-            emitted[at : at + n] /= scale  # the backward recursion needs them divided
-        beta = np.ones((0, states))
-        for t in range(len(active) - 1, -1, -1):
-            n, at, m = active[t], offset[t], len(beta)
-            ahead = emitted[offset[t + 1] : offset[t + 1] + m] * beta
-            move += post[at : at + m].T @ ahead
-            beta = np.ones((n, states))
-            beta[:m] = ahead @ model.move.T
-            post[at : at + n] *= beta
-        start += post[: active[0]].sum(0)
-        for k in range(states):
-            emit[:, k] += np.bincount(symbols, weights=post[:, k], minlength=len(emit))
-    return start, move * model.move, emit
-
-
-class Reader:
-    """Texts as sequences of buckets, the end token last; remembers a bounded number of words."""
-
-    def __init__(self, buckets: Buckets, remembered: int = 500_000):
-        self.buckets, self.remembered, self.known = buckets, remembered, {END: 0}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = tokens_of(text)
-        known = self.known
-        try:
-            return np.array([*[known[w] for w in words], 0], np.int32)
-        except KeyError:
-            if len(known) > self.remembered:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.buckets.of(w)
-            return np.array([*[known[w] for w in words], 0], np.int32)
-
-
-def _words_by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map over (row, id, text, train): per slice, its distinct words and their training counts."""
+    move = model.move.astype(kind)
+    back = np.ascontiguousarray(move.T)
+    ratio = (model.emit / model.emit.max(1, keepdims=True)).astype(kind)
+    spans, ends = block.spans(), np.concatenate(([0], np.cumsum(block.active)))
+    moves, emits = np.zeros((states, states)), np.zeros(ratio.T.shape)
+    heads = [np.tile(model.start.astype(kind), (int(block.active[0]), 1))] if spans else []
+
+    def forward(span: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+        first, last = spans[span]
+        symbols, active = block.symbols[ends[first] : ends[last]], block.active[first:last].tolist()
+        return *_span_forward(heads[span], ratio, move, active, symbols), active, symbols
+
+    for span in range(len(spans) - 1):
+        alpha, _, active, _ = forward(span)
+        heads.append(alpha[len(alpha) - active[-1] :] @ move)
+    after = np.zeros((0, states), kind)  # the next span's first emissions times their backward values
+    for span in range(len(spans) - 1, -1, -1):
+        alpha, seen, active, symbols = forward(span)
+        ends_at = np.cumsum(active)
+        beta = np.empty_like(alpha)
+        going = np.append(active[1:], len(after))  # lanes that have another step
+        over = np.flatnonzero(np.arange(len(alpha)) - np.repeat(ends_at - active, active) >= np.repeat(going, active))
+        beta[over] = 1 / alpha[over].sum(1, keepdims=True)  # lanes that end here
+        last = beta[ends_at[-1] - active[-1] :][: len(after)]
+        np.matmul(after, back, out=last)
+        moves += alpha[ends_at[-1] - active[-1] :][: len(after)].T @ after
+        at = len(alpha)
+        for t in range(len(active) - 1, 0, -1):
+            at -= active[t]
+            ahead = seen[at : at + active[t]]
+            ahead *= beta[at : at + active[t]]
+            before = at - active[t - 1]
+            np.dot(ahead, back, out=beta[before : before + active[t]])
+        after = seen[: active[0]] * beta[: active[0]]
+        width = np.repeat(active[:-1], active[1:])
+        for k in range(active[0], len(symbols), PART_CELLS):  # each step's lanes are the first of the step before
+            stop = min(k + PART_CELLS, len(symbols))
+            step = np.searchsorted(ends_at, np.arange(k, stop), side="right")
+            moves += alpha.take(np.arange(k, stop) - np.array(active)[step - 1], axis=0).T @ seen[k:stop]
+        alpha *= beta
+        for k in range(0, len(symbols), PART_CELLS):
+            cells, posts = symbols[k : k + PART_CELLS].astype(np.int64), alpha[k : k + PART_CELLS].T.astype(np.float64, order="C")
+            for state in range(states):
+                emits[state] += np.bincount(cells, posts[state], emits.shape[1])
+    start = alpha[: int(block.active[0])].sum(0, dtype=np.float64) if spans else np.zeros(states)
+    return start, moves * model.move, emits.T.copy()
+
+
+def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map over (text): words and how often, the end token as the empty word."""
+    counts: Counter[bytes] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
     for batch in batches:
-        for part in slices(batch, 2):
-            counts: dict[bytes, int] = {}
-            for text, train in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                if train:
-                    for w in tokens_of(text):
-                        counts[w] = counts.get(w, 0) + 1
-                    counts[END] = counts.get(END, 0) + 1
-                else:
-                    for w in tokens_of(text):
-                        counts.setdefault(w, 0)
-                    counts.setdefault(END, 0)
-            piece = part.column(0)[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([piece] * len(counts), pa.int64()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["piece", "word", "n"])
+        for text in batch.column(0):
+            for words in word_parts(text.as_py()):
+                counts.update(words)
+            counts[END] += 1
+            if len(counts) > COUNTED:
+                yield flush()
+                counts.clear()
+    yield flush()
 
 
-def _texts_by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map over (row, id, text, train): (piece, id, text, train), the same slices as above."""
-    for batch in batches:
-        for part in slices(batch, 2):
-            piece = part.column(0)[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([piece] * part.num_rows, pa.int64()), *part.columns[1:]], ["piece", "id", "text", "train"])
+class _Numbers(dict):
+    """Buckets of the words that have their own; the others are numbered from ``own`` on as they come."""
+
+    def __init__(self, buckets: Buckets):
+        super().__init__(buckets.top)
+        self.own, self.rare = buckets.own, []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = self.own + len(self.rare)
+        self.rare.append(word)
+        return number
+
+
+def _code_slice(buckets: Buckets, texts: pa.Array) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
+    """Per text its words' numbers, the end token's last; the slice's rare words and their buckets."""
+    numbers, out = _Numbers(buckets), []
+    for text in texts:
+        parts = [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in word_parts(text.as_py())]
+        out.append(np.concatenate([*parts, np.zeros(1, np.int32)]))
+    return out, numbers.rare, (buckets.own + word_tails(numbers.rare, buckets.tails)).astype(np.int32)
 
 
-def _code_map(buckets):
-    """Map over (text): its buckets, as bytes."""
+def _code_map(buckets, names: list[str], id_type: pa.DataType):
+    """Map over (id, text, train). Per slice: a lockstep block of its training documents and one of the
+    others, each with the places of its rare words; and a row for each rare word of the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, kind = Reader(buckets.value), buckets.value.kind
-        for batch in batches:
-            for part in slices(batch, 0):
-                yield pa.RecordBatch.from_arrays([pa.array([read(x.as_py()).astype(kind).tobytes() for x in part.column(0)], pa.binary())], ["codes"])
+        from pyspark import TaskContext
+
+        own, piece = buckets.value, TaskContext.get().partitionId() << 33
+        for part in (p for b in batches for p in text_slices(b, 1, SLICE_BYTES)):
+            coded, rare, bucket_of = _code_slice(own, part.column(1))
+            train = np.array(part.column(2).to_pylist(), bool)
+            rows = []
+            for flag in (True, False):
+                if len(chosen := np.flatnonzero(train == flag)):
+                    places, block = Lockstep.of([coded[k] for k in chosen.tolist()])
+                    high = block.symbols >= own.own
+                    local = (block.symbols[high] - own.own).astype(np.int32)
+                    symbols = block.symbols.copy()
+                    symbols[high] = bucket_of[local]
+                    ids = part.column(0).take(pa.array(chosen[places]))
+                    rows.append((flag, ids.to_pylist(), block.active.astype(np.int32).tobytes(), symbols.astype(own.kind).tobytes(), local.tobytes()))
+            n = len(rows)
+            blocks = [[piece] * n, *map(list, zip(*rows)), [None] * n, [None] * n]
+            kinds = [pa.int64(), pa.bool_(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(blocks, kinds)], names)
+            if n := len(rare):
+                empty = [pa.nulls(n, k) for k in kinds[1:6]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), *empty, pa.array(rare, pa.binary()), pa.array(np.arange(n, dtype=np.int32))], names)
+            piece += 1
 
     return run
 
 
+def _blocks(active: pa.Array, symbols: pa.Array, kind: type) -> Iterator[Lockstep]:
+    for a, s in zip(active, symbols):
+        yield Lockstep(np.frombuffer(a.as_buffer(), np.int32).astype(np.int64), np.frombuffer(s.as_buffer(), kind))
+
+
 def _train_map(model, buckets):
-    """Map over (codes): one row per bucket of the task's expected counts; rows below 0 hold the
-    first states (-1) and the moves (-2 - state)."""
+    """Map over (active, symbols): one row per bucket of the task's expected counts; rows below 0 hold
+    the first states (-1) and the moves (-2 - state)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kind = model.value, buckets.value.kind
         total = None
         for batch in batches:
-            for part in slices(batch, 0):
-                found = expected_counts(own, [np.frombuffer(x.as_buffer(), kind) for x in part.column(0)])
-                total = found if total is None else tuple(a + b for a, b in zip(total, found))
+            for block in _blocks(batch.column(0), batch.column(1), kind):
+                found = expected_counts(own, block, np.float32)
+                if total is None:
+                    total = found
+                else:
+                    for whole, part in zip(total, found):
+                        whole += part
         if total is not None:
             start, move, emit = total
             used = np.flatnonzero(emit.sum(1))
@@ -256,68 +370,71 @@ def _train_map(model, buckets):
     return run
 
 
-def train(spark: SparkSession, texts: DataFrame, buckets, weight: np.ndarray, states: int, rounds: int) -> Hmm:
-    """texts: text of the training documents, all of which every round takes."""
+def train(spark: SparkSession, blocks: DataFrame, buckets, weight: np.ndarray, states: int, rounds: int) -> Hmm:
+    """blocks: active and symbols of all training documents, which every round reads."""
     model = Hmm.draw(weight, states)
-    coded = written(spark, texts.mapInArrow(_code_map(buckets), "codes binary"), "lm-coded")
     names = [f"s{k}" for k in range(states)]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        counts = coded.mapInArrow(_train_map(shared, buckets), "key long, " + ", ".join(f"{n} double" for n in names))
-        rows = counts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).collect()  # a row per bucket and state
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
-        for r in rows:
-            values = [r[n] for n in names]
-            if r["key"] >= 0:
-                emit[r["key"]] = values
-            elif r["key"] == -1:
-                start[:] = values
-            else:
-                move[-2 - r["key"]] = values
-        if rows:
+        counts = blocks.mapInArrow(_train_map(shared, buckets), "key long, " + ", ".join(f"{n} double" for n in names))
+        rows = counts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # a row per bucket and state
+        shared.destroy()
+        if rows.num_rows:
+            keys = rows.column("key").to_numpy()
+            values = np.stack([rows.column(n).to_numpy() for n in names], axis=1)
+            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
+            start[:] = values[keys == -1][0]
+            move[-2 - keys[keys < -1]] = values[keys < -1]
+            emit[keys[keys >= 0]] = values[keys >= 0]
             model = model.learn(start, move, emit, weight)
     return model
 
 
-def _bucket_map(buckets):
-    """Map over (word, c): per task and bucket, training tokens and distinct words."""
+def _tail_map(tails: int):
+    """Map over (word, n): per task and tail, training tokens and distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = buckets.value
-        sums = np.zeros((own.n, 2), np.int64)
+        sums = np.zeros((2, tails))  # below 2 ** 53 a double counts exactly
         for batch in batches:
-            at = [own.of(w) for w in batch.column(0).to_pylist()]
-            np.add.at(sums, (at, 0), batch.column(1).to_numpy(zero_copy_only=False))
-            np.add.at(sums, (at, 1), 1)
-        used = np.flatnonzero(sums[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(sums[used, 0], pa.int64()), pa.array(sums[used, 1], pa.int64())], ["bucket", "tokens", "words"])
+            words = batch.column(0).to_pylist()
+            at = word_tails(words, tails).astype(np.int64)
+            sums[0] += np.bincount(at, batch.column(1).to_numpy(), tails)
+            sums[1] += np.bincount(at, minlength=tails)
+        used = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(s[used].astype(np.int64), pa.int64()) for s in sums]], ["tail", "tokens", "words"])
 
     return run
 
 
-def _score_map(model, buckets, room, whole: float):
-    """Cogrouped map over a slice's texts and its words' counts."""
-
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        own, within = buckets.value, room.value
-        counts = words.column("c").to_numpy()
-        logs = np.log10(counts + 1.0)
-        names = words.column("word").to_pylist()
-        places = {w: k for k, w in enumerate(names)}
-        of = np.array([own.of(w) for w in names], np.int32)
-        known = counts > 0
-        gains = logs - within[of]  # log10 of the word's share of its bucket
-        sequences, totals, seen, base, inner = [], [], [], [], []
-        for text in texts.column("text"):
-            at = np.array([*[places[w] for w in tokens_of(text.as_py())], places[END]], np.int64)
-            sequences.append(of[at])
-            totals.append(len(at))
-            seen.append(int(known[at].sum()))
-            base.append(float(logs[at].sum()) - len(at) * whole)
-            inner.append(float(gains[at].sum()))
-        score = log10_likelihoods(model.value, sequences) + np.array(inner)
-        columns = [texts.column("id"), texts.column("train"), pa.array(totals, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-        return pa.Table.from_arrays(columns, ["id", "train", "n_tokens", "n_known", "base_score", "score"])
+def _score_map(model, buckets, counts, whole: float, names: list[str], id_type: pa.DataType):
+    """Cogrouped map over a slice's blocks and the counts of its rare words. counts: of the words with
+    buckets of their own, and each bucket's log10 of tokens and room."""
+
+    def run(blocks: pa.Table, words: pa.Table) -> pa.Table:
+        own, kind = buckets.value.own, buckets.value.kind
+        known, room = counts.value
+        rare = np.zeros(words.num_rows, np.int64)
+        rare[words.column("local").to_numpy()] = words.column("c").to_numpy()
+        out: list[pa.Table] = []
+        blocks = blocks.combine_chunks()
+        columns = [blocks.column(c).combine_chunks() if blocks.num_rows else None for c in ("active", "symbols", "rare")]
+        for k, block in enumerate(_blocks(columns[0], columns[1], kind) if blocks.num_rows else ()):
+            ids = blocks.column("ids")[k].values
+            lane, n = block.lanes(), len(ids)
+            c = np.empty(len(block.symbols), np.int64)
+            high = block.symbols >= own
+            c[~high] = known[block.symbols[~high]]
+            c[high] = rare[np.frombuffer(columns[2][k].as_buffer(), np.int32)]
+            tokens = np.bincount(lane, minlength=n)
+            logs = np.log10(c + 1.0)
+            base = np.bincount(lane, logs, n) - tokens * whole
+            inner = np.bincount(lane, logs - room[block.symbols], n)
+            score = log10_likelihoods(model.value, block) + inner
+            seen = np.bincount(lane, c > 0, n).astype(np.int64)
+            flags = np.full(n, blocks.column("train")[k].as_py())
+            arrays = [ids.cast(id_type), pa.array(flags), pa.array(tokens, pa.int64()), pa.array(seen), pa.array(base), pa.array(score)]
+            out.append(pa.Table.from_arrays(arrays, names))
+        return pa.concat_tables(out)
 
     return run
 
@@ -336,31 +453,44 @@ def score_documents(
 ) -> DataFrame:
     """Learns from the documents outside the held-out fold and scores every one. Returns id_col,
     held_out, n_tokens, n_known, train_tokens, base_score (unigram, add one), score (the model's)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     train_fold = crc_bucket(id_col, folds) != held_out
-    rows = stable(spark, docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), train_fold.alias("train"))
-    parts = rows.mapInArrow(_words_by_slice, "piece long, word binary, n long")
-    # a word has one row per slice at most, so no word is a hot key of this window
-    by_word = Window.partitionBy("word")
-    counted = parts.select("piece", "word", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("piece")) == 1).alias("first"))
-    counted = written(spark, counted, "lm-words")
-    vocabulary = counted.filter("first and c > 0").select("word", "c")
-    n_tokens, n_distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    top = vocabulary.filter(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(top_words).collect()
-    buckets = spark.sparkContext.broadcast(Buckets({bytes(r["word"]): k + 1 for k, r in enumerate(top)}, tails))
-    tokens, words = np.zeros(buckets.value.n), np.zeros(buckets.value.n)
-    sums = vocabulary.mapInArrow(_bucket_map(buckets), "bucket long, tokens long, words long").groupBy("bucket").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
-    for r in sums.collect():  # a row per bucket
-        tokens[r["bucket"]], words[r["bucket"]] = r["tokens"], r["words"]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), train_fold.alias("train"))
+    id_field = rows.schema["id"].dataType
+    id_type = to_arrow_type(id_field)
+
+    words = rows.filter("train").select("text").mapInArrow(_count_map, "word binary, n long")
+    vocabulary = written(spark, words.groupBy("word").agg(F.sum("n").alias("n")), "lm-vocabulary")
+    n_tokens, n_distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
+    n_end = (vocabulary.filter(F.octet_length("word") == 0).head() or {"n": 0})["n"]
+    top = vocabulary.filter(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(top_words).collect()
+    names = [bytes(r["word"]) for r in top]
+    buckets = spark.sparkContext.broadcast(Buckets({w: k + 1 for k, w in enumerate(names)}, tails))
+    own = buckets.value.own
+
+    known = np.array([n_end, *[r["n"] for r in top]], np.int64)
+    tokens, distinct = np.concatenate((known, np.zeros(tails, np.int64))), np.concatenate((np.ones(own, np.int64), np.zeros(tails, np.int64)))
+    sums = vocabulary.filter(F.octet_length("word") > 0).mapInArrow(_tail_map(tails), "tail long, tokens long, words long").groupBy("tail").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
+    for r in sums.collect():  # a row per tail; of all words, so those with buckets of their own go again
+        tokens[own + r["tail"]], distinct[own + r["tail"]] = r["tokens"], r["words"]
+    np.subtract.at(tokens, own + word_tails(names, tails).astype(np.int64), known[1:])
+    np.subtract.at(distinct, own + word_tails(names, tails).astype(np.int64), 1)
     # a bucket of one word has no room for unseen ones; shared buckets keep 1 for them
-    shared = np.arange(buckets.value.n) > len(top)
-    room = spark.sparkContext.broadcast(np.log10(np.maximum(1.0, tokens + words + shared)))
+    room = np.log10(np.maximum(1.0, tokens + distinct + (np.arange(own + tails) >= own)))
     weight = (tokens + 1) / (tokens + 1).sum()
-    model = train(spark, rows.filter("train").select("text"), buckets, weight, states, rounds)
-    schema = T.StructType(
-        [T.StructField("id", rows.schema["id"].dataType), T.StructField("train", T.BooleanType())]
-        + [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]
-    )
-    texts = rows.mapInArrow(_texts_by_slice, T.StructType([T.StructField("piece", T.LongType()), *rows.schema.fields[1:]]))
+
+    fields = [("piece", T.LongType()), ("train", T.BooleanType()), ("ids", T.ArrayType(id_field)), ("active", T.BinaryType()), ("symbols", T.BinaryType()), ("rare", T.BinaryType()), ("word", T.BinaryType()), ("local", T.IntegerType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    coded = written(spark, rows.mapInArrow(_code_map(buckets, schema.names, id_type), schema), "lm-coded")
+    model = train(spark, coded.filter("train").select("active", "symbols"), buckets, weight, states, rounds)
+
+    listed = coded.filter("word is not null").select(F.col("piece").alias("of"), "local", "word")
+    counted = listed.join(vocabulary, "word", "left").select("of", "local", F.coalesce("n", F.lit(0)).cast("long").alias("c"))
+    blocks = coded.filter("active is not null").select("piece", "train", "ids", "active", "symbols", "rare")
+    out = [("id", id_field), ("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    result = T.StructType([T.StructField(n, t) for n, t in out])
     whole = float(np.log10(n_tokens + n_distinct + 1))
-    scored = texts.groupBy("piece").cogroup(counted.select("piece", "word", "c").groupBy("piece")).applyInArrow(_score_map(spark.sparkContext.broadcast(model), buckets, room, whole), schema)
+    share = spark.sparkContext.broadcast
+    scored = blocks.groupBy("piece").cogroup(counted.groupBy("of")).applyInArrow(_score_map(share(model), buckets, share((known, room)), whole, result.names, id_type), result)
     return scored.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
