@@ -8,9 +8,10 @@ text, and the language of the least wins (ties: the first by name).
 The automata are built on the driver from a bounded sample of labelled rows: of each language the
 documents of the least hash, until ``sample_chars`` characters. They become one table of transitions
 in which a broken match already leads on from the root, so that many documents, in all languages,
-advance by one character with one array lookup. The table has columns for the ``DENSE`` most frequent
-letters; the edges of the others are looked up by state and letter in one sorted list. The table's
-size follows the parameters and the number of languages only, and is checked.
+advance by one character with one array lookup. The table has columns for the most frequent letters, as
+many as TABLE_BYTES hold, DENSE at most; the edges of the others are looked up by state and letter in
+one sorted list, a few entries per sampled character. So the size follows the parameters and the
+number of languages only, and any number of languages and letters gives the same answers.
 
 Letters are compared in lower case; what is no letter counts as one blank, combining marks as
 nothing. Cases: a null text, or one without letters, is ``und`` with score 0. Letters that no sample
@@ -39,7 +40,8 @@ from parlance.llm.common import carried, crc_bucket, restored, text_slices
 SAMPLE_CHARS = 24_000
 #: Documents per language from which the sample is taken.
 SAMPLE_DOCS = 48
-MAX_TABLE_BYTES = 256 << 20
+#: Bytes that the table of transitions should not exceed; with many languages it has fewer columns.
+TABLE_BYTES = 128 << 20
 UNKNOWN = "und"
 _BLANK, _OTHER = 0, 1
 #: Letters that have a column of the table.
@@ -108,40 +110,36 @@ class Parser:
     begins: np.ndarray
 
     @staticmethod
-    def fit(samples: dict[str, str], max_bytes: int = MAX_TABLE_BYTES) -> Parser:
+    def fit(samples: dict[str, str], table_bytes: int = TABLE_BYTES) -> Parser:
         langs = sorted(samples)
         texts = [normal(samples[x]) for x in langs]
-        letters = sorted(set("".join(texts)) - {" "})
-        if len(letters) > DENSE:  # the most frequent letters come first
-            seen = Counter("".join(texts))
-            often = set(sorted(letters, key=lambda c: (-seen[c], c))[:DENSE])
-            letters.sort(key=lambda c: (c not in often, c))
-        letters = {c: k + 2 for k, c in enumerate(letters)}
+        seen = Counter("".join(texts))
+        seen.pop(" ", None)
+        letters = {c: k + 2 for k, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c)))}  # the most frequent first
+        automata = [suffix_automaton([letters.get(c, _BLANK) for c in text]) for text in texts]
+        roots = np.cumsum([0, *map(len, automata)])
         span = len(letters) + 2
-        width = min(span, DENSE + 2)
+        width = max(2, min(span, DENSE + 2, table_bytes // (4 * max(1, int(roots[-1])))))
         begins = np.zeros((len(langs), span - width), np.int32)
-        roots, parts, edges_of, size = [], [], {}, 0
-        for lang, text in enumerate(texts):
-            follow = suffix_automaton([letters.get(c, _BLANK) for c in text])
-            roots.append(size)
-            begin = np.full(span, size * 2 + 1, np.int32)
-            begin[list(follow[0])] = [(size + s) * 2 + 1 for s in follow[0].values()]
+        table = np.empty((int(roots[-1]), width), np.int32)
+        keys, goals = [], []
+        for lang, (follow, root) in enumerate(zip(automata, roots.tolist())):
+            begin = np.full(span, root * 2 + 1, np.int32)
+            begin[list(follow[0])] = [(root + s) * 2 + 1 for s in follow[0].values()]
             begins[lang] = begin[width:]
-            part = np.tile(begin[:width], (len(follow), 1))
-            for state, edges in enumerate(follow):
-                for code, to in edges.items():
-                    if code < width:
-                        part[state, code] = (size + to) * 2
-                    else:
-                        edges_of[(size + state) * span + code] = (size + to) * 2
-            parts.append(part)
-            size += len(follow)
-            if size * width * 4 > max_bytes:
-                raise ValueError(f"the table of {len(langs)} languages is over {max_bytes} bytes; take smaller samples")
-        keys = np.array(sorted(edges_of), np.int64)
-        goals = np.array([edges_of[k] for k in keys.tolist()], np.int32)
+            table[root : root + len(follow)] = begin[:width]
+            state = np.repeat(np.arange(root, root + len(follow)), [len(edges) for edges in follow])
+            code = np.array([c for edges in follow for c in edges], np.int64)
+            goal = (root + np.array([to for edges in follow for to in edges.values()], np.int64)) * 2
+            dense = code < width
+            table[state[dense], code[dense]] = goal[dense]
+            keys.append(state[~dense] * span + code[~dense])
+            goals.append(goal[~dense].astype(np.int32))
+            automata[lang] = []  # its edges are in the table now
+        keys, goals = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, goals))
+        order = np.argsort(keys)
         scale = np.array([math.log2(max(2, len(t))) for t in texts])
-        return Parser(langs, scale, letters, np.array(roots, np.int64), width, np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32), span, keys, goals, begins)
+        return Parser(langs, scale, letters, roots[:-1].astype(np.int64), width, table.ravel(), span, keys[order], goals[order].astype(np.int32), begins)
 
     def codes(self) -> np.ndarray:
         """The code of every code point; the type's largest number for what is dropped."""
