@@ -6,7 +6,9 @@ prefixes of its path (of the lengths that listed paths have). The cascade answer
 candidate whether it is listed. Level 0 encodes the listed keys; level 1 the keys of the corpus
 that level 0 wrongly accepts; level 2 the listed keys that level 1 wrongly accepts; and so on until
 no key is left. Over the key universe it was built from, the answer is exact, and looking a key up
-is arithmetic on a few constant bit words: no join, no shuffle.
+is arithmetic on constant bit words: no join, no shuffle. A cascade holds PLAN_KEYS listed keys at
+most, so that its words stay small constants of a plan; a longer list has several cascades, each over
+the whole universe, that the urls pass one after another (written in between).
 
 Cases: a null url, or one without ``://``, has the empty host and path, fits no entry and gets the
 default verdict. Repeated urls are judged alike. An empty table gives an empty result. Only the id
@@ -37,8 +39,8 @@ BLOCKED_SITES = tuple(
     for label in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
     for end in ("com", "net", "org")
 )
-#: A list of more keys than this belongs in a table of its own; its bits would no longer be constants of a plan.
-MAX_LISTED = 100_000
+#: Listed keys of one cascade (a few bytes each in the plan).
+PLAN_KEYS = 1_000_000
 MAX_HASHES = 12
 
 
@@ -53,7 +55,7 @@ class Level:
 
     def accepts(self, one: Column, two: Column) -> Column:
         """Whether all bits of a key with these hashes are set. Array lambdas keep the code small."""
-        words = F.array(*[F.lit(w).cast("long") for w in self.words])
+        words = F.split(F.lit(" ".join(map(str, self.words))), " ").cast("array<bigint>")  # folded into one constant
         return F.forall(_bits(one, two, self), lambda bit: F.get(words, (bit / 63).cast("int")).bitwiseAND(_one_bit(bit)) != 0)
 
 
@@ -83,7 +85,7 @@ def _level(keys: DataFrame, n_keys: int, rate: float, seed: int) -> Level:
         bits.groupBy((F.col("bit") / 63).cast("int").alias("word"))
         .agg(F.bit_or(_one_bit(F.col("bit"))).alias("bits"))
         .collect()
-    )  # n_bits / 63 words at most: bounded by MAX_LISTED, not by the corpus
+    )  # n_bits / 63 words at most: bounded by PLAN_KEYS, not by the corpus
     words = [0] * (n_bits // 63 + 1)
     for r in rows:
         words[r["word"]] = r["bits"]
@@ -109,8 +111,6 @@ def build_cascade(spark: SparkSession, universe: DataFrame, listed: list[str], n
     """universe: column ``key``, the distinct keys of the corpus. The first level's error rate is
     chosen so that the keys it wrongly accepts are about as many as the listed ones; later levels
     halve. So the bits follow the list and only the logarithm of the corpus."""
-    if len(listed) > MAX_LISTED:
-        raise ValueError(f"{len(listed)} listed keys; at most {MAX_LISTED} fit in a plan")
     mine = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
     n_listed = len(set(listed))
     if not n_listed:
@@ -177,18 +177,22 @@ def filter_urls(
     entries = [*rules, *blocked]
     keyed = urls.withColumn("keys", candidates(F.col("host"), F.col("path"), entries))
     universe = written(spark, keyed.select(F.explode("keys").alias("key")).distinct(), "url-keys")
-    cascades = {
-        kind: build_cascade(spark, universe, [h + p for h, p, a in part if a == action], f"url-{kind}")
-        for kind, part, action in (("allow", rules, "allow"), ("block", rules, "block"), ("site", blocked, "block"))
-    }
-
     hashed = F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), *[h.alias(x) for h, x in zip(hashes(k), ("one", "two"))]))
-    keyed = keyed.withColumn("keys", hashed)
-
-    def longest(kind: str) -> Column:
-        return F.array_max(F.filter("keys", lambda k: cascades[kind].contains(k["one"], k["two"])))
-
-    judged = keyed.select("*", longest("allow").alias("a"), longest("block").alias("b"), (longest("site").isNotNull()).alias("listed_site"))
+    judged = keyed.withColumn("keys", hashed).withColumns({kind: F.lit(None).cast("struct<n:int,key:string>") for kind in ("a", "b", "site")})
+    lists = {kind: sorted({h + p for h, p, x in part if x == action}) for kind, part, action in (("a", rules, "allow"), ("b", rules, "block"), ("site", blocked, "block"))}
+
+    def longest(cascade: Cascade) -> Column:
+        found = F.filter("keys", lambda x: cascade.contains(x["one"], x["two"]))
+        return F.array_max(F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key"))))
+
+    passes = max(1, -(-max(map(len, lists.values())) // PLAN_KEYS))
+    for k in range(passes):
+        for kind, keys in lists.items():
+            cascade = build_cascade(spark, universe, keys[k * PLAN_KEYS : (k + 1) * PLAN_KEYS], f"url-{kind}")
+            judged = judged.withColumn(kind, F.greatest(F.col(kind), longest(cascade)))
+        if k < passes - 1:
+            judged = written(spark, judged, "url-judged")
+    judged = judged.withColumn("listed_site", F.col("site").isNotNull())
     wins = F.coalesce(F.col("a.n"), F.lit(-1)) >= F.coalesce(F.col("b.n"), F.lit(-1))
     fits = F.col("a").isNotNull() | F.col("b").isNotNull()
     return judged.select(
