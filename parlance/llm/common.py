@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -22,42 +23,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own
-    (local mode and tests only: a cluster names the folder in its settings)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where it may be
+    unset, one of our own; elsewhere a folder of one machine would be no shared one, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-"))
     return context.getCheckpointDir()
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Cuts the lineage: df written as Parquet into the shared folder and read again.
 
     A lost executor then costs a re-read, not a re-run, and Spark knows the table's true size
-    when it chooses between a broadcast and a shuffled join. Removed when the process ends.
+    when it chooses between a broadcast and a shuffled join. Removed when the process ends, or with
+    ``released``. batch_rows: rows of an Arrow batch while it is written, where rows are long.
     """
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch_rows:
+            spark.conf.set(key, str(min(batch_rows, int(before) if int(before) > 0 else batch_rows)))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stable(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df, if it is rows of tables, filtered and projected at most: those come in the same order each
-    time they are read, so that row numbers agree. What holds a shuffle is written first."""
-    nodes = re.findall(r"^[\s:+-]*([A-Za-z]+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
-    return df if set(nodes) <= {"Project", "Filter", "Relation", "LocalRelation"} else written(spark, df, "rows")
+def numbered(spark: SparkSession, df: DataFrame, name: str, column: str = "row") -> DataFrame:
+    """df with a number of each row, written once: whoever reads it later, over whatever file splits,
+    finds the same number beside the same row."""
+    return written(spark, df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+@contextlib.contextmanager
+def released(keep: int = 1) -> Iterator[None]:
+    """Removes the tables that are written within, but for the last ``keep``."""
+    first = len(_written)
+    yield
+    stop = len(_written) - keep
+    for spark, path in _written[first:stop]:
+        _remove(spark, path)
+    del _written[first:stop]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _remove(spark, path)
         except Exception:  # the session has ended; the cluster's own cleaning applies
             return
 

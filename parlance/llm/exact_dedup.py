@@ -6,18 +6,18 @@ number and that count. Then adjacent names of a document are paired and the pair
 same way, until each document has one name. Names stand for whole contents, not for hashes of them,
 so two texts have the same name (and number of blocks) if and only if they are identical.
 
-Before a block travels, its copies within a batch of documents are folded into one (a hot block
-sends one row per batch), and only the batch's first place of it, two integers, is named; places are
-mapped back with integers alone. Names depend on the set of blocks a task gets, not on their order,
-so a task that is run again gives the same names. Each round's names are written to the shared
-folder.
-
-Rows are numbered by their place in a table; other sources are written as one first.
+One pass over the documents cuts them and numbers rows, and is written; everything after reads that
+table, so rows, blocks and places agree whatever file splits a later read has. In that pass, the copies
+of a block within a slice of documents are folded into one (a hot block sends one row per slice), and
+only the slice's first place of it, two integers, is named; places are mapped back with integers
+alone. Names depend on the set of blocks a task gets, not on their order, so a task that is run again
+gives the same names. Each round's names are written to the shared folder, and the joins that bring
+them back shuffle both sides, so that adaptive execution can split a hot one.
 
 Cases: a null text counts as empty; the empty text is one empty block. Repeated rows, ids included,
 are documents of their own: of equal texts the row of the largest id stays (a null id is the
 least), of equal ids the last. An empty table gives an empty result. Very long texts are named by
-as many blocks as they need. Only the id and text columns are read, so others cannot clash.
+as many blocks as they need, SLICE_BYTES of them at a time. Only the id and text columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -28,33 +28,48 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parlance.llm.common import stable, written
+from parlance.llm.common import written
 
 BLOCK_BYTES = 8192
 #: Bytes of blocks that one naming task should sort.
 TASK_BYTES = 24 << 20
+#: Bytes of blocks whose copies are folded together, and rows of an Arrow batch of texts or blocks.
+SLICE_BYTES, BATCH_ROWS = 8 << 20, 1000
 #: Names of one task; the task's number stands above them.
 NAMES_PER_TASK = 1 << 40
 
 
-def _folded(block_bytes: int, with_blocks: bool):
-    """Map over (row, text): with blocks, (row, idx, block) of each batch's distinct blocks at their
-    first place; without, (row, idx, row0, idx0): each block's place and its batch's first place."""
+def _folded(block_bytes: int, names: list[str]):
+    """Map over (row, id, n_blocks, sha, text): a row (row, idx, row0, idx0, block, id, n_blocks, sha) per
+    block. row0 and idx0 are the slice's first place of it, which alone has the block; the facts of
+    the document are beside its first block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_slice = max(1, SLICE_BYTES // block_bytes)
+        first: dict[bytes, tuple[int, int]] = {}
+        places: list[tuple] = []
+        heads: list[int] = []  # rows of the batch whose facts are due, None for later blocks
+
+        def flush(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [pa.array(list(c), t) for c, t in zip(list(zip(*places)) or [[]] * 5, (*[pa.int64()] * 4, pa.binary()))]
+            facts = [batch.column(k).take(pa.array(heads, pa.int64())) for k in (1, 2, 3)]
+            first.clear(), places.clear(), heads.clear()
+            return pa.RecordBatch.from_arrays([*columns, *facts], names)
+
         for batch in batches:
-            first: dict[bytes, tuple[int, int]] = {}
-            places = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k in range(max(1, -(-len(text) // block_bytes))):
-                    at = first.setdefault(text[k * block_bytes : (k + 1) * block_bytes], (row, k))
-                    places.append((row, k, *at))
-            if with_blocks:
-                columns = [pa.array([r for r, _ in first.values()], pa.int64()), pa.array([k for _, k in first.values()], pa.int64()), pa.array(list(first), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "idx", "block"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*places)] if places else [pa.array([], pa.int64())] * 4, ["row", "idx", "row0", "idx0"])
+            for at, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4))):
+                data = memoryview(text.as_buffer())
+                for k in range(max(1, -(-len(data) // block_bytes))):
+                    block = bytes(data[k * block_bytes : (k + 1) * block_bytes])
+                    new = block not in first
+                    places.append((row, k, *first.setdefault(block, (row, k)), block if new else None))
+                    heads.append(None if k else at)
+                    if len(first) >= per_slice or len(places) >= 8 * per_slice:
+                        yield flush(batch)
+            if places:
+                yield flush(batch)
 
     return run
 
@@ -82,17 +97,20 @@ def name_keys(df: DataFrame, keys: list[str], payload: list[str], tasks: int) ->
 
 
 def name_documents(spark: SparkSession, rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """rows: row (long), id, text (binary, not null). Returns facts (row, id, n_blocks, sha) and names (row, name)."""
+    """rows: id, text (binary, not null). Returns facts (row, id, n_blocks, sha) and names (row, name)."""
     blocks = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / block_bytes)).cast("long")
-    facts = written(spark, rows.select("row", "id", blocks.alias("n_blocks"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")), "dedup-facts")
-    total = facts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("n_blocks"), F.lit(1))).head()
+    cut = rows.select(F.monotonically_increasing_id().alias("row"), "id", blocks.alias("n_blocks"), F.sha2("text", 256).alias("sha"), "text")
+    fields = [("row", T.LongType()), ("idx", T.LongType()), ("row0", T.LongType()), ("idx0", T.LongType()), ("block", T.BinaryType())]
+    schema = T.StructType([*[T.StructField(n, t) for n, t in fields], *cut.schema.fields[1:2], T.StructField("n_blocks", T.LongType()), T.StructField("sha", T.StringType())])
+    folded = written(spark, cut.mapInArrow(_folded(block_bytes, schema.names), schema), "dedup-blocks", BATCH_ROWS)
+    facts = folded.filter("idx = 0").select("row", "id", "n_blocks", "sha")
+    named = folded.filter("block is not null")
+    total = (*named.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).head(), *facts.agg(F.coalesce(F.max("n_blocks"), F.lit(1))).head())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(least, -(-total[0] // TASK_BYTES))
-    texts = rows.select("row", "text")
-    named = name_keys(texts.mapInArrow(_folded(block_bytes, True), "row long, idx long, block binary"), ["block"], ["row", "idx"], tasks)
-    named = named.withColumnsRenamed({"row": "row0", "idx": "idx0"})
-    places = texts.mapInArrow(_folded(block_bytes, False), "row long, idx long, row0 long, idx0 long")
-    level = written(spark, places.join(named, ["row0", "idx0"]).select("row", "idx", "name"), "dedup-names")
+    named = name_keys(named, ["block"], ["row", "idx"], tasks).withColumnsRenamed({"row": "row0", "idx": "idx0"})
+    places = folded.select("row", "idx", "row0", "idx0")
+    level = written(spark, places.join(named, ["row0", "idx0"]).select("row", "idx", "name"), "dedup-names", BATCH_ROWS)
     most = total[1]
     while most > 1:
         even = F.col("idx") % 2 == 0
@@ -113,7 +131,7 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     normalise: a function of the text column, applied before texts are compared (none: as it is).
     """
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
-    rows = stable(spark, docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (normalise(text) if normalise else text).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), (normalise(text) if normalise else text).cast("binary").alias("text"))
     facts, names = name_documents(spark, rows, block_bytes)
     whole = written(spark, facts.join(names, "row").select("row", "id", "n_blocks", "name", "sha"), "dedup-whole")
     groups = whole.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
