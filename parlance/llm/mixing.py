@@ -6,28 +6,28 @@ target. All documents are then served in the order of that time until the budget
 
 Nothing runs over one source in one task: a queue is cut into buckets by the leading digits of the
 shuffle key, a bucket's start is the sum of the buckets before it (one small row per source and
-bucket), and the running sum is made within a bucket. The cut of the global order is found the same
-way: words per slice of virtual time (a fixed number of slices), then the order within one slice.
+bucket), and the running sum is made within a bucket. The copies are range-sorted by finish time
+over all tasks and written; the sums of the ranges tell in which one the budget ends, and the running
+sum within that range is where the order is truncated.
 
 Cases: a null or blank text has size 0 and is taken 0 times over. A null source is a source of its
 own, the last. A source without words gets the target 0. Repeated rows are documents of their own;
 rows alike in id and text are interchangeable, so that reruns agree. An empty table gives an empty
-result. Only the id, text and source columns are read, so other columns cannot clash.
+result. Only the id, text and source columns are read, so other columns cannot clash; the number of a
+repeated row gets a name that docs has not.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import written
+from parlance.llm.common import fresh, written
 
 #: Characters that part words.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of virtual time in which the budget's end is looked for; a constant, whatever the input.
-SLICES = 4096
+#: Copies that a range of the global order should hold at most.
+RANGE_ROWS = 1_000_000
 #: Rows that a bucket of a queue should hold about.
 BUCKET_ROWS = 2_000
 
@@ -107,22 +107,10 @@ def _placed(
     placed = placed.select("id", "size", "source_size", "target", "key", "tie", "source", F.array(*finish).alias("finish"))
     placed = written(spark, placed, "mix-placed")
 
-    # each source's queue would end at max_repeat * source_size / target, the budget ends near 1
     budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).head()["b"]
-    copies = placed.filter("size > 0").select(F.explode("finish").alias("f"), "size", "key", "id", "tie", "source").filter(F.col("f") <= 2.0)
-    slot = F.least((F.col("f") * (SLICES / 2)).cast("int"), F.lit(SLICES - 1))
-    slices = copies.groupBy(slot.alias("slot")).agg(F.sum("size").alias("words"))
-    spent, at = 0, None
-    for r in sorted(slices.collect(), key=lambda r: r["slot"]):  # SLICES rows at most
-        if spent + r["words"] > budget:
-            at = r["slot"]
-            break
-        spent += r["words"]
-    if at is None:
-        cut = 2.0
-    else:
-        cut = _cut_within(spark, copies.filter(slot == at), budget - spent)
-    done = F.when(F.col("size") > 0, F.size(F.filter("finish", lambda f: f <= F.lit(cut)))).otherwise(F.lit(0))
+    copies = placed.filter("size > 0").select(F.explode("finish").alias("f"), "size")
+    cut = _truncated(spark, copies, budget, max_repeat * n)
+    done = F.when(F.col("size") > 0, F.size(F.filter("finish", lambda f: f <= F.lit(cut)))).otherwise(F.lit(0)) if cut is not None else F.lit(0)
     return placed.withColumn("done", done)
 
 
@@ -136,8 +124,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **
 
 
 def apply_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeat: int = 3, seed: int = 6, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with a column ``copy`` from 1
-    on (docs must not have one). Documents not taken, and those without words, are left out.
+    """The mix itself: the rows of docs, each as often as it is taken, with a column ``copy`` (or, if docs
+    has one, ``copy_`` and so on) from 1 on. Documents not taken, and those without words, are left out.
 
     The budget's end cuts each source's queue at one place. So the mix is a row per source, the copies
     that all its documents have and the last document that has one more, and no text is shuffled.
@@ -155,31 +143,24 @@ def apply_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     joined = rows.join(cuts, F.col(f"row.`{source_col}`").eqNullSafe(F.col("cut_source")))
     copies = F.col("all") + F.when(F.col("last").isNotNull() & (F.col("at") <= F.col("last")), 1).otherwise(0)
     taken = joined.withColumn("copies", copies).filter("copies > 0")
-    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-
-
-def _cut_within(spark: SparkSession, copies: DataFrame, room: int, depth: int = 0) -> float:
-    """The last virtual time up to which copies of one slice fit into room words. Slices are cut
-    into SLICES again until one holds a single time (or few words), so no task sorts a whole slice."""
-    low, high = copies.agg(F.min("f"), F.max("f")).head()
-    if low is None:
-        return 2.0
-    width = (high - low) / SLICES
-    if width <= 0 or depth > 8:
-        words = copies.agg(F.sum("size")).head()[0]
-        return high if words <= room else _below(low)
-    slot = F.least(((F.col("f") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(SLICES - 1))
-    rows = copies.groupBy(slot.alias("slot")).agg(F.sum("size").alias("words"), F.min("f").alias("first"), F.max("f").alias("last")).collect()
-    last = _below(low)
-    for r in sorted(rows, key=lambda r: r["slot"]):
-        if r["words"] > room:
-            if r["first"] == r["last"]:
-                return last
-            return max(last, _cut_within(spark, copies.filter(slot == r["slot"]), room, depth + 1))
-        room -= r["words"]
-        last = r["last"]
-    return last
-
-
-def _below(x: float) -> float:
-    return math.nextafter(x, -math.inf)
+    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias(fresh(docs.columns, "copy")))
+
+
+def _truncated(spark: SparkSession, copies: DataFrame, budget: int, most: int) -> float | None:
+    """copies: f, size. The last finish time up to which all copies, in the order of f over all tasks,
+    fit into the budget (equal times go together); null if none does. A range is one task's share of
+    the sorted copies, and of the ranges only their sums are gathered, a row per task."""
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // RANGE_ROWS))
+    ordered = copies.repartitionByRange(ranges, "f").sortWithinPartitions("f").withColumn("range", F.spark_partition_id())
+    ordered = written(spark, ordered, "mix-order")
+    sums = ordered.groupBy("range").agg(F.sum("size").alias("words"), F.max("f").alias("last"))
+    upto = Window.orderBy("last").rowsBetween(Window.unboundedPreceding, 0)
+    sums = written(spark, sums.withColumn("spent", F.sum("words").over(upto)), "mix-ranges")
+    whole = sums.filter(F.col("spent") <= budget).agg(F.max("last"), F.coalesce(F.max("spent"), F.lit(0))).head()
+    over = sums.filter(F.col("spent") > budget).orderBy("last").select("range").head()
+    if over is None:
+        return whole[0]
+    within = Window.orderBy("f").rangeBetween(Window.unboundedPreceding, 0)  # of one range
+    last = ordered.filter(F.col("range") == over["range"]).select("f", F.sum("size").over(within).alias("spent"))
+    inside = last.filter(F.col("spent") + F.lit(whole[1]) <= budget).agg(F.max("f")).head()[0]
+    return whole[0] if inside is None else inside

@@ -28,7 +28,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_boilerplate(spark, table(spark, sf_dir, "documents"), report=True)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")  # other columns may have the report's names
+    out = line_dedup.drop_boilerplate(spark, docs, report=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -122,7 +123,7 @@ l AS (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line, g
 k AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
 s AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
 c AS (SELECT source, bare, count(DISTINCT rid) AS n FROM k WHERE bare <> '' GROUP BY source, bare),
-x AS (SELECT c.source, c.bare FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source WHERE n >= {line_dedup.MIN_PAGES} AND n > {line_dedup.RATIO}::DOUBLE * pages),
+x AS (SELECT c.source, c.bare FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source WHERE n > 1 AND n > {line_dedup.RATIO}::DOUBLE * pages),
 m AS (SELECT k.*, x.bare IS NOT NULL AS gone FROM k LEFT JOIN x ON k.source IS NOT DISTINCT FROM x.source AND k.bare = x.bare),
 g AS (SELECT rid, count(*) AS n_lines, count_if(gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY rid)
 SELECT d.doc_id, coalesce(g.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(g.text, '')) AS text_sha256
@@ -155,7 +156,7 @@ t AS (SELECT p.source, p.source_size, CASE WHEN f.place IS NOT NULL AND p.place
 q AS (SELECT d.*, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS reach
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT doc_id, size, (n * source_size + reach)::DOUBLE / target AS f FROM q, (VALUES (0), (1), (2)) v(n) WHERE target > 0 AND size > 0),
-r AS (SELECT f, sum(size) OVER (ORDER BY f RANGE UNBOUNDED PRECEDING) AS spent FROM e WHERE f <= 2),
+r AS (SELECT f, sum(size) OVER (ORDER BY f RANGE UNBOUNDED PRECEDING) AS spent FROM e),
 cut AS (SELECT max(f) AS f FROM r WHERE spent <= (SELECT sum(size) FROM d))
 SELECT q.doc_id, q.size, q.source_size, q.target,
        (q.size * CASE WHEN q.target > 0 AND q.size > 0 THEN (SELECT count(*) FROM (VALUES (0), (1), (2)) v(n)
