@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, exact_dedup, fm_index, hmm_score, jaccard_join, language_id
+from parlance.llm import common, decontaminate, exact_dedup, fm_index, hmm_score, jaccard_join, language_id, line_dedup, mixing
 from parlance.llm.components import components
 
 ODD = [None, "", " \n\t ", "a", "xy " * 10_000, "one two three", "Ünï çödé 中文 😀", "\x00\x1f ", "one two three"]
@@ -68,7 +68,7 @@ def contaminated(docs, items, window):
     return out
 
 
-def test_decontamination_equals_brute_force(spark, odd):
+def test_decontamination_equals_brute_force(spark, odd, monkeypatch):
     rng = random.Random(1)
     word = lambda: rng.choice(["aa", "b", "Çe", "d1", "e"])
     items = [(k if k != 2 else None, " ".join(word() for _ in range(rng.choice([0, 2, 4, 5, 9])))) for k in range(8)] + [(20, None), (0, "aa b aa b e")]
@@ -80,6 +80,14 @@ def test_decontamination_equals_brute_force(spark, odd):
         got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in out}
         assert got == contaminated(docs, items, 5)
         assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in out)
+    monkeypatch.setattr(decontaminate, "SHARD_SYMBOLS", 11)
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 90)
+    phrases = decontaminate.Phrases([("" if i is None else str(i), decontaminate.words_of(t)) for i, t in items], 5)
+    cut = decontaminate.search_texts([None if t is None else t.encode() for _, t in docs], phrases)  # shards within documents
+    want = contaminated(docs, items, 5)
+    for (i, _), (n, spans, names) in zip(docs, cut):
+        assert (n, sum(b - a for a, b in spans), names) == want[i][:3]
+    monkeypatch.undo()
     kept = decontaminate.drop_contaminated(spark, odd, bench)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
     assert decontaminate.drop_contaminated(spark, empty(odd), bench).count() == 0
@@ -89,12 +97,14 @@ def test_decontamination_equals_brute_force(spark, odd):
 # ---- exact dedup ---------------------------------------------------------------------------
 
 
-def test_exact_dedup_equals_grouping(spark, odd):
+def test_exact_dedup_equals_grouping(spark, odd, monkeypatch):
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 7, 8, 9, 16, 40, 41]))) for _ in range(80)]
     rows = [(rng.randint(0, 60) if i % 9 else None, rng.choice(texts)) for i in range(300)] + [(5, None), (7, "é" * 20), (8, "é" * 20), (8, "é" * 20)]
     df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    monkeypatch.setattr(exact_dedup, "SLICE_BYTES", 24)  # three blocks of eight bytes
     out = exact_dedup.dedup_exact(spark, df, block_bytes=8).collect()
+    monkeypatch.undo()
     groups = {}
     for i, t in rows:
         groups.setdefault(t or "", []).append(i)
@@ -153,18 +163,114 @@ def test_jaccard_join_equals_all_pairs(spark, odd):
         assert sum(r.kept for r in out) == len(set(root))
     kept = jaccard_join.drop_similar(spark, odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 1
+    clash = odd.withColumns({"gone": F.lit(1), "_gone": F.lit(2), "_row": F.lit(3), "kept": F.lit(4)})
+    kept = jaccard_join.drop_similar(spark, clash)
+    assert kept.columns == clash.columns and kept.count() == len(ODD) - 1
     assert jaccard_join.join_similar(spark, empty(odd)).count() == 0
 
 
 def test_recall_of_the_forest():
-    assert jaccard_join.prefix_depth(20, 8, 0.8, 0.999) == 5
-    signer = jaccard_join.Signer(20, 5)
-    rng, met = np.random.default_rng(0), 0
-    for _ in range(300):  # pairs of similarity 0.8: 8 of 10 shingles are common
-        x = rng.integers(0, 2**63, 100, dtype=np.uint64)
-        a, b = x[:90], np.concatenate((x[:80], x[90:]))
-        met += bool((signer(a) == signer(b)).any())
-    assert met >= 298
+    """Pairs at the threshold: met with the target recall; nearer ones meet before the floor."""
+    assert jaccard_join.floor_depth(20, 8, 0.8, 0.999) == 5
+    signer, rng = jaccard_join.Signer(20, 8), np.random.default_rng(0)
+
+    def pairs(common, n=400):
+        out = []
+        for _ in range(n):
+            x = rng.integers(0, 2**63, 100, dtype=np.uint64)
+            out.append([signer(np.concatenate((x[:common], y))).reshape(20, 8) for y in np.split(x[common:], 2)])
+        return np.array(out)
+
+    for common, floor, least in ((80, 5, 0.99), (98, 8, 0.99), (80, 8, 0.9)):
+        both = pairs(common)
+        sizes = (np.full(1, 90), np.full(1, 90))
+        met = [jaccard_join.met_pairs(x[None, 0], x[None, 1], sizes, 0.8, floor)[0, 0] for x in both]
+        assert np.mean(met) >= least
+    few = pairs(20)
+    assert np.mean([jaccard_join.met_pairs(x[None, 0], x[None, 1], sizes, 0.8, 5)[0, 0] for x in few]) < 0.2
+
+
+def test_prefixes_shorten_per_text():
+    """A text that has met all of its size stops; one that has not goes on to the floor."""
+    rng = np.random.default_rng(1)
+    labels = rng.integers(0, 1 << 16, (4, 3, 8)).astype(">u2")
+    labels[1] = labels[0]  # 0 and 1 are alike
+    labels[2, 1, :5], labels[3, 2, :4] = labels[0, 1, :5], labels[0, 2, :4]
+    sizes = np.array([10, 10, 10, 10])
+    met = jaccard_join.met_pairs(labels, labels, (sizes, sizes), 0.8, 5)
+    assert met[0].tolist() == [True, True, True, False] and not met[3, :3].any()
+    assert not jaccard_join.met_pairs(labels, labels, (sizes, sizes), 0.8, 6)[0, 2]
+    far = np.array([10, 10, 100, 10])  # of another size: no pair, however alike the labels
+    assert not jaccard_join.met_pairs(labels, labels, (sizes, far), 0.8, 5)[0, 2]
+
+
+def test_shingles_do_not_depend_on_parts(monkeypatch):
+    rng = random.Random(11)
+    texts = [None, b"", b"..."] + [" ".join(rng.choice(["ab", "c", "Dé", "x1"]) for _ in range(rng.randint(0, 40))).encode() for _ in range(80)]
+    texts += [b"y" * 70_000 + b" a " + b"y" * 70_000, b" ".join(b"w%d" % (k % 977) for k in range(30_000))]
+    whole = jaccard_join.Shingler()(texts)
+    seen = {}
+    for t, got in zip(texts, whole):
+        assert len(got) == len(shingles(t)) and seen.setdefault(got.tobytes(), shingles(t)) == shingles(t)
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 50)
+    assert all((a == b).all() for a, b in zip(jaccard_join.Shingler()(texts), whole))
+
+
+def test_links_within_a_group_equal_all_pairs(monkeypatch):
+    """Tiles smaller than the group: counts and connections of a group of near copies, by brute force."""
+    monkeypatch.setattr(jaccard_join, "TILE", 7)
+    rng, signer = np.random.default_rng(3), jaccard_join.Signer(20, 8)
+    base = rng.integers(0, 2**63, (3, 60), dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[k % 3, : 60 - k % 7], rng.integers(0, 2**63, k % 5, dtype=np.uint64)))) for k in range(40)]
+    rows = [(True, True, k, 1 + k % 2, signer(x).tobytes(), x.tobytes()) for k, x in enumerate(sets)]
+    similar = np.array([[i != j and 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    want = {k: (int(n), int(similar[k] @ np.array([1 + j % 2 for j in range(40)]))) for k, n in enumerate(similar.sum(1)) if n}
+    root = list(range(40))
+    for _ in range(40):
+        root = [min([root[i], *(root[j] for j in np.flatnonzero(similar[i]))]) for i in range(40)]
+    halves = [[(False, k < 15, *r[2:]) for k, r in enumerate(rows)], [(True, True, *r[2:]) for r in rows[:15]], [(True, True, *r[2:]) for r in rows[15:]]]
+    for groups in ([rows], halves):  # one block, and two
+        counts, joined = Counter(), Counter()
+        links = []
+        for group in groups:
+            for x, y, texts, documents in jaccard_join._verify_group(group, 0.8, 20, 5):
+                if y is None:
+                    counts[x] += texts
+                    joined[x] += documents
+                else:
+                    links.append((x, y))
+        assert {k: (counts[k], joined[k]) for k in counts} == want and all(similar[x, y] for x, y in links)
+        found = list(range(40))
+        for _ in range(40):
+            for x, y in links:
+                found[x] = found[y] = min(found[x], found[y])
+        assert found == root
+
+
+def test_results_survive_other_file_splits(spark, tmp_path, monkeypatch):
+    """The tables are cut into other splits after an operator's first write: no row is lost or mistaken."""
+    rng = random.Random(12)
+    base = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(60)) for _ in range(60)]
+    rows = [(i, base[i] if i < 60 else base[i % 60] + (" extra" if i % 2 else ""), "en", "s") for i in range(360)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(12).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.files.minPartitionNum"
+    runs = {
+        "join": lambda: sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in jaccard_join.join_similar(spark, docs).collect()),
+        "dedup": lambda: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup_exact(spark, docs).collect()),
+        "lm": lambda: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in hmm_score.score_documents(spark, docs, states=2, rounds=2).collect()),
+        "stage": lambda: sorted(r.doc_id for r in jaccard_join.drop_similar(spark, docs).collect()),
+    }
+    for name, run in runs.items():
+        spark.conf.set(key, "1")
+        plain = run()
+        for module in (jaccard_join, exact_dedup, hmm_score):
+            monkeypatch.setattr(module, "written", lambda *a, **b: (common.written(*a, **b), spark.conf.set(key, "7"))[0])
+        monkeypatch.setattr(jaccard_join, "numbered", lambda *a, **b: (common.numbered(*a, **b), spark.conf.set(key, "7"))[0])
+        spark.conf.set(key, "1")
+        assert run() == plain and len(plain) == (360 if name != "stage" else 60)
+        monkeypatch.undo()
+    spark.conf.unset(key)
 
 
 def test_components(spark):
@@ -237,6 +343,27 @@ def test_every_sample_letter_tells_languages_apart():
     assert [x[0] for x in language_id.predict_texts(parser, parser.codes(), texts[:2])] == ["ja", "zh"]
 
 
+def test_many_languages_and_small_tables():
+    """45 languages of many letters: a table of few columns tells them apart as a whole one does."""
+    rng = random.Random(13)
+    han = [chr(0x4E00 + k) for k in range(900)]
+    samples = {f"l{k:02d}": "".join(rng.choice(han[k * 10 : k * 10 + 400]) for _ in range(600)) + f" plain text {k}" for k in range(45)}
+    texts = ["".join(rng.choices(han, k=80)) for _ in range(30)] + ["plain text", "zzz", samples["l07"][5:60], None, "", "12"]
+    found = []
+    for size in (1 << 30, 1 << 18, 0):
+        parser = language_id.Parser.fit(samples, table_bytes=size)
+        found.append(language_id.predict_texts(parser, parser.codes(), texts))
+    assert found[0] == found[1] == found[2] and found[0][32][0] == "l07" and {x[0] for x in found[0][33:]} == {"und"}
+
+
+def test_coding_in_parts(monkeypatch):
+    parser = language_id.Parser.fit({"x": "the cat sat", "y": "le chat est"})
+    texts = ["the cat, the cat! " * 50, "", None, "a", "é" * 40, "  le   chat  "]
+    whole = [c.tolist() for c in language_id.code_texts(parser.codes(), texts)]
+    monkeypatch.setattr(language_id, "CODED_CHARS", 7)
+    assert [c.tolist() for c in language_id.code_texts(parser.codes(), texts)] == whole
+
+
 def test_language_id(spark, odd):
     rng = random.Random(6)
     words = {"aa": ["the", "cat", "and", "house"], "bb": ["der", "hund", "und", "haus"], "cc": ["il", "gatto", "e", "casa"]}
@@ -263,11 +390,13 @@ def paths(model, seq):
         yield z, p
 
 
-def test_recursions_equal_all_paths():
+def test_recursions_equal_all_paths(monkeypatch):
     rng = np.random.default_rng(0)
     model = hmm_score.Hmm.draw(np.ones(6) / 6, 3)
-    seqs = [rng.integers(0, 6, n).astype(np.int32) for n in (1, 2, 5, 3, 5)]
-    assert hmm_score.log10_likelihoods(model, seqs) == pytest.approx([math.log10(sum(p for _, p in paths(model, s))) for s in seqs])
+    seqs = [rng.integers(0, 6, n).astype(np.int32) for n in (1, 2, 5, 3, 5, 7)]
+    places, block = hmm_score.Lockstep.of(seqs)
+    assert [block.symbols[block.lanes() == k].tolist() for k in range(6)] == [seqs[i].tolist() for i in places]
+    want = [math.log10(sum(p for _, p in paths(model, seqs[i]))) for i in places]
     start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))
     for s in seqs:
         whole = sum(p for _, p in paths(model, s))
@@ -277,8 +406,30 @@ def test_recursions_equal_all_paths():
                 emit[s[t], z[t]] += p / whole
                 if t:
                     move[z[t - 1], z[t]] += p / whole
-    for got, want in zip(hmm_score.expected_counts(model, seqs), (start, move, emit)):
-        assert np.allclose(got, want)
+    for cells in (hmm_score.CELLS, 3, 8):  # whole, and in spans of steps
+        monkeypatch.setattr(hmm_score, "CELLS", cells)
+        assert hmm_score.log10_likelihoods(model, block) == pytest.approx(want)
+        for kind, near in ((np.float64, 1e-9), (np.float32, 1e-5)):
+            for got, exact in zip(hmm_score.expected_counts(model, block, kind), (start, move, emit)):
+                assert np.allclose(got, exact, rtol=near, atol=near)
+
+
+def test_long_sequences_in_single_precision():
+    """Thousands of steps with rare symbols: sums as in double precision."""
+    rng = np.random.default_rng(1)
+    weight = 1 / np.arange(1, 401) ** 2
+    model = hmm_score.Hmm.draw(weight / weight.sum(), 4)
+    _, block = hmm_score.Lockstep.of([rng.integers(0, 400, n) for n in (5000, 900, 900, 3)])
+    for a, b in zip(hmm_score.expected_counts(model, block, np.float32), hmm_score.expected_counts(model, block)):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-3) and np.isfinite(a).all()
+
+
+def test_word_parts():
+    text = b"One two  three\tfour " * 9 + b"a" * 50 + b" end"
+    want = [w for w in text.lower().split()]
+    for most in (1, 7, 20, 1000):
+        assert [w for part in hmm_score.word_parts(text, most) for w in part] == want
+    assert list(hmm_score.word_parts(None)) == [] and hmm_score.word_tails([b"ab", b"xxab", b"b", b"abc", b"zabc"], 97).tolist()[3] == hmm_score.word_tails([b"abc"], 97)[0]
 
 
 def test_scores(spark, odd):
@@ -300,31 +451,55 @@ def test_scores(spark, odd):
     assert hmm_score.score_documents(spark, empty(odd), states=2).count() == 0
 
 
-def test_all_rounds_take_all_documents(spark):
-    """More documents than any sample of the start: the scores are those of 14 rounds over them all."""
+def test_scores_equal_all_paths(spark, monkeypatch):
+    """The whole query against a model trained in plain loops over all documents and all state paths."""
+    monkeypatch.setattr(hmm_score, "SLICE_BYTES", 60)  # many slices
+    monkeypatch.setattr(hmm_score, "PART_BYTES", 5)
     rng = random.Random(9)
-    rows = [(i, " ".join(f"{rng.choice('xy')}{rng.randint(0, 5)}" for _ in range(rng.randint(1, 6)))) for i in range(900)]
-    out = {r.doc_id: r.score for r in hmm_score.score_documents(spark, spark.createDataFrame(rows, "doc_id int, text string").repartition(3), states=2, top_words=16, tails=8).collect()}
-    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for t in train for w in t.split())
-    at = {w: k + 1 for k, w in enumerate(sorted(c, key=lambda w: (-c[w], w)))}  # a bucket per word
-    counts = np.array([len(train), *[c[w] for w in at], *[0] * 8]) + 1.0
-    weight = counts / counts.sum()
-
-    def coded(texts):
-        return [np.array([*[at[w] for w in t.split()], 0], np.int32) for t in texts]
-
+    rows = [(i, " ".join(f"{rng.choice('xyz')}{rng.randint(0, 5)}" for _ in range(rng.randint(0, 4)))) for i in range(60)] + [(90, None), (91, "Never seen x0"), (91, "Never seen x0")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    out = sorted((r.doc_id, r.score) for r in hmm_score.score_documents(spark, df, states=2, top_words=4, tails=3, rounds=3).collect())
+    tokens = [[*(t or "").lower().split(), ""] for _, t in rows]
+    train = [w for (i, _), w in zip(rows, tokens) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in t)
+    top = sorted((w for w in c if w), key=lambda w: (-c[w], w))[:4]
+
+    def bucket(w):
+        return 0 if not w else 1 + top.index(w) if w in top else 5 + int(hmm_score.word_tails([w.encode()], 3)[0])
+
+    size, distinct = np.zeros(8), np.zeros(8)
+    for w, n in c.items():
+        size[bucket(w)] += n
+        distinct[bucket(w)] += 1
+    distinct[0] = 1
+    weight = (size + 1) / (size + 1).sum()
     model = hmm_score.Hmm.draw(weight, 2)
-    for _ in range(14):
-        model = model.learn(*hmm_score.expected_counts(model, coded(train)), weight)
-    assert [out[i] for i, _ in rows] == pytest.approx(list(hmm_score.log10_likelihoods(model, coded(t for _, t in rows))), rel=1e-9)
-
-
-def test_model_is_a_distribution(spark):
-    """The probabilities of all next tokens, unseen ones as one, sum to 1: exp-sum over one-token texts."""
-    buckets = hmm_score.Buckets({b"a": 1, b"b": 2}, 4)
-    model = hmm_score.Hmm.draw(np.ones(buckets.n) / buckets.n, 2)
-    assert sum(10 ** x for x in hmm_score.log10_likelihoods(model, [np.array([k], np.int32) for k in range(buckets.n)])) == pytest.approx(1)
+    for _ in range(3):
+        start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((8, 2))
+        for t in train:
+            seq = [bucket(w) for w in t]
+            whole = sum(p for _, p in paths(model, seq))
+            for z, p in paths(model, seq):
+                start[z[0]] += p / whole
+                for k, b in enumerate(seq):
+                    emit[b, z[k]] += p / whole
+                    if k:
+                        move[z[k - 1], z[k]] += p / whole
+        model = model.learn(start, move, emit, weight)
+    want = []
+    for (i, _), t in zip(rows, tokens):
+        seq = [bucket(w) for w in t]
+        inner = sum(math.log10((c[w] + 1) / max(1, size[b] + distinct[b] + (b > 4))) for w, b in zip(t, seq))
+        want.append((i, math.log10(sum(p for _, p in paths(model, seq))) + inner))
+    assert [i for i, _ in out] == [i for i, _ in sorted(want)]
+    assert [x for _, x in out] == pytest.approx([x for _, x in sorted(want)], rel=1e-4)
+
+
+def test_model_is_a_distribution():
+    """The probabilities of all next buckets sum to 1: over one-token texts."""
+    model = hmm_score.Hmm.draw(np.ones(7) / 7, 2)
+    _, block = hmm_score.Lockstep.of([np.array([k], np.int32) for k in range(7)])
+    assert sum(10 ** x for x in hmm_score.log10_likelihoods(model, block)) == pytest.approx(1)
 
 
 # ---- pipeline ------------------------------------------------------------------------------

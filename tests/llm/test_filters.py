@@ -56,6 +56,13 @@ def test_url_filter_equals_brute_force(spark):
     assert url_filter.filter_urls(spark, empty(df)).count() == 0
 
 
+def test_lists_longer_than_a_cascade(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PLAN_KEYS", 7)
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id int, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark, df).collect()}
+    assert got == {i: judged(u) for i, u in enumerate(URLS)}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"key{i}" for i in range(3000)]
     listed = keys[::7] + ["not in the corpus"]
@@ -75,13 +82,13 @@ def test_line_dedup_equals_brute_force(spark, odd):
     lines = [f"line {i}" for i in range(40)] + ["  spaced ", "", "\t"]
     rows = [(i, "\n".join(rng.choice(lines + ["menu"] * 20) for _ in range(rng.randint(0, 8))), rng.choice(["a", "b", None]), "x") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id int, text string, source string, host string").repartition(4)
-    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(spark, df, ratio=0.2, min_pages=3, report=True).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(spark, df, ratio=0.2, report=True).collect()}
     pages, seen = {}, {}
     for _, text, source, _ in rows:
         pages[source] = pages.get(source, 0) + 1
         for x in {x.strip(" \t\n\x0b\x0c\r") for x in text.split("\n")} - {""}:
             seen[source, x] = seen.get((source, x), 0) + 1
-    bad = {k for k, n in seen.items() if n >= 3 and n > 0.2 * pages[k[0]]}
+    bad = {k for k, n in seen.items() if n > 1 and n > 0.2 * pages[k[0]]}
     assert bad
     for i, text, source, _ in rows:
         parts = text.split("\n")
@@ -96,7 +103,10 @@ def test_line_dedup_odd_rows(spark, odd):
     assert line_dedup.drop_boilerplate(spark, empty(odd)).count() == 0
     many = odd.crossJoin(spark.range(6).withColumnRenamed("id", "copy")).drop("copy")
     cut = line_dedup.drop_boilerplate(spark, many, length_col="n_chars", ratio=0.1)
-    assert {(r.text, r.n_chars) for r in cut.collect() if r.n_chars != -1} == {("", 0)} | {(t, len(t)) for t in {"\n"} if False} | {("", 0)}
+    assert {(r.text, r.n_chars) for r in cut.collect() if r.n_chars != -1} == {("", 0)}
+    clash = odd.withColumns({"n_lines": F.lit(1), "N_DROPPED": F.lit(2), "kept": F.lit(3), "host": F.lit(4)})
+    out = line_dedup.drop_boilerplate(spark, clash, report=True)
+    assert out.columns == [*clash.columns, "n_lines_", "n_dropped_"] and out.count() == len(ODD)
 
 
 # ---- mixing --------------------------------------------------------------------------------
@@ -143,11 +153,48 @@ def test_mix(spark):
     assert copies.count() == sum(r.copies for r in out) and copies.columns == [*df.columns, "copy"]
 
 
+def plain_mix(rows, targets):
+    """The rule itself: queues in shuffled order, three times over, served by finish time until the budget."""
+    queues, copies = {}, []
+    for i, size, source in sorted(rows, key=lambda r: (hashlib.md5(f"6:{r[0]}".encode()).hexdigest(), r[0])):
+        queues.setdefault(source, []).append((i, size))
+    for source, queue in queues.items():
+        whole, reach = sum(n for _, n in queue), 0
+        for i, size in queue:
+            reach += size
+            if targets[source]:
+                copies += [((k * whole + reach) / targets[source], size, i) for k in range(3) if size]
+    left, taken = sum(n for _, n, _ in rows), {i: 0 for i, _, _ in rows}
+    for f in sorted({c[0] for c in copies}):
+        same = [c for c in copies if c[0] == f]  # equal times go together
+        if sum(c[1] for c in same) > left:
+            break
+        left -= sum(c[1] for c in same)
+        for _, size, i in same:
+            taken[i] += size
+    return taken
+
+
+def test_mix_serves_until_the_budget(spark):
+    """Small mixes whose queues end early: copies past the time at which all targets are met count, too."""
+    rng = random.Random(14)
+    cases = [{"a": [5], "b": [2, 300], "c": [2, 100, 5], "d": [20, 100, 100], "e": [1000], "f": [100]}]
+    cases += [{s: [rng.choice([1, 3, 40, 500]) for _ in range(rng.randint(1, 4))] for s in "abcde"[: rng.randint(1, 5)]} for _ in range(3)]
+    for case in cases:
+        rows = [(10 * k + j, n, s) for k, (s, sizes) in enumerate(case.items()) for j, n in enumerate(sizes)]
+        df = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+        out = mixing.mix_sources(spark, df).collect()
+        targets = {s: next(r.target for r in out if r.doc_id == i) for i, _, s in rows}
+        assert {r.doc_id: r.taken for r in out} == plain_mix(rows, targets)
+
+
 def test_mix_odd_rows(spark, odd):
     out = mixing.mix_sources(spark, odd).collect()
     assert len(out) == len(ODD) and sum(r.size for r in out) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in ODD)
     assert mixing.mix_sources(spark, empty(odd)).count() == 0
-    assert mixing.apply_mix(spark, odd).filter("text is null").count() == 0
+    clash = odd.withColumns({"copy": F.lit(1), "copies": F.lit(2), "row": F.lit(3), "at": F.lit(4)})
+    mix = mixing.apply_mix(spark, clash)
+    assert mix.columns == [*clash.columns, "copy_"] and mix.filter("text is null").count() == 0
 
 
 # ---- token counts --------------------------------------------------------------------------
@@ -172,6 +219,91 @@ def test_token_counts_equal_the_library(spark, odd):
 # ---- secret scans --------------------------------------------------------------------------
 
 
+def test_slices_of_token_counts(spark, odd, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark, odd, path).collect()}
+    monkeypatch.setattr(token_counts, "SLICE_BYTES", 10)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 2)
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark, odd, path).collect()} == whole
+
+
+def scanned(text):
+    """Base and entropy spans by plain scans from every place, without a regular expression."""
+    word = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+
+    def run(at, letters):
+        end = at
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end
+
+    def assign(at):
+        names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+        for name in names:
+            if text[at : at + len(name)].lower() == name and text[at : at + len(name)].isascii():
+                for quotes in (1, 0):
+                    k = at + len(name)
+                    if quotes and text[k : k + 1] not in ('"', "'"):
+                        continue
+                    k = run(k + quotes, " ")
+                    if text[k : k + 1] not in (":", "=") or not text[k : k + 1]:
+                        continue
+                    k = run(k + 1, " ")
+                    for skip in (1, 0):
+                        if skip and (text[k : k + 1] not in ('"', "'") or not text[k : k + 1]):
+                            continue
+                        if run(k + skip, word) > k + skip:
+                            return run(k + skip, word), run(k + skip, word) - k - skip
+        return None
+
+    out, at = [], 0
+    while at < len(text):
+        if found := assign(at):
+            out += [(at, "assign", found[0])] if found[1] >= 12 else []
+            at = found[0]
+        else:
+            at += 1
+    at = 0
+    upper = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    while (at := text.find("AKIA", at)) >= 0:
+        end = run(at + 4, upper)
+        if end > at + 4:
+            out += [(at, "access", end)] if end - at >= 18 else []
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at, set("0123456789abcdef"))
+        out += [(at, "hex", end)] if end - at >= 16 else []
+        at = max(at + 1, end)
+    at = 0
+    while at < len(text):
+        end = run(at, word)
+        whole = text[at:end]
+        if end - at >= 20 and not whole.isalpha() and not any(re.fullmatch(x, whole) for x in secret_scan.ALLOWED):
+            out += [(at + a, "entropy", at + b) for a, b in secret_scan.hot_windows(whole)]
+        at = max(at + 1, end)
+    return sorted(out, key=lambda x: (x[0], secret_scan.KINDS.index(x[1]), x[2]))
+
+
+def test_secret_scan_query_equals_plain_scans(spark, tmp_path):
+    from parlance.llm import queries
+
+    rng = random.Random(15)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "api__key", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAAKIA", "abcdef0123456789", "ABCDEF0123456789XY", "é", "x", "short1", "Zx81mQp0Lw7Rt5Vb2Ns9", "123e4567-e89b-12d3-a456-426614174000", "www.site.example.org/a1b2", "\n", "ſ", "K"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [None, "", "password: " + "a1B2" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.QUERIES["op8_secret_scan"](spark, str(tmp_path)).collect():
+        want = scanned(texts[r.doc_id] or "")
+        base = [x for x in want if x[1] != "entropy"]
+        shown = [",".join(f"{k}:{a}:{b}" for a, k, b in spans) for spans in (want, base)]
+        assert r.spans == shown[0] and r.base_sha256 == hashlib.sha256(shown[1].encode()).hexdigest(), texts[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in base) for k in secret_scan.KINDS[:3])
+
+
 def test_base_spans():
     text = 'Password = "abcdefghijkl" token:short AKIA' + "A" * 14 + " 0123456789abcdef apikey:'aaaaaaaaaaaa"
     found = secret_scan.scan_text(text)
