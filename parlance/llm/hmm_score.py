@@ -11,8 +11,8 @@ words: every training word is emitted with its own count, and the parameters tha
 Training is Baum-Welch: each of the ``rounds`` iterations, the first included, runs the scaled forward
 and backward recursions over every training document in its task and sums the expected counts per
 bucket across partitions. The score is the scaled forward recursion's log10 likelihood of the whole
-text, end token included. Training recurses in single precision and sums in double; scoring is in
-double precision throughout.
+text, end token included. Training recurses in single precision, as do a task's counts on their way;
+sums are in double. Scoring is in double precision throughout.
 
 Texts are split into words twice: once to count the training words, combined per task before they are
 shuffled, and once to code slices of documents (``SLICE_BYTES`` of text) as numbers. The codes are written
@@ -234,31 +234,22 @@ def expected_counts(model: Hmm, block: Lockstep, kind: type = np.float64) -> tup
     for span in range(len(spans) - 1):
         alpha, _, active, _ = forward(span)
         heads.append(alpha[len(alpha) - active[-1] :] @ move)
-    after = np.zeros((0, states), kind)  # the next span's first emissions times their backward values
+    ahead = np.zeros((0, states), kind)  # the next step's emissions times its backward values
+    store = np.empty((int(block.active[0]) if spans else 0, states), kind)
     for span in range(len(spans) - 1, -1, -1):
         alpha, seen, active, symbols = forward(span)
-        ends_at = np.cumsum(active)
-        beta = np.empty_like(alpha)
-        going = np.append(active[1:], len(after))  # lanes that have another step
-        over = np.flatnonzero(np.arange(len(alpha)) - np.repeat(ends_at - active, active) >= np.repeat(going, active))
-        beta[over] = 1 / alpha[over].sum(1, keepdims=True)  # lanes that end here
-        last = beta[ends_at[-1] - active[-1] :][: len(after)]
-        np.matmul(after, back, out=last)
-        moves += alpha[ends_at[-1] - active[-1] :][: len(after)].T @ after
         at = len(alpha)
-        for t in range(len(active) - 1, 0, -1):
-            at -= active[t]
-            ahead = seen[at : at + active[t]]
-            ahead *= beta[at : at + active[t]]
-            before = at - active[t - 1]
-            np.dot(ahead, back, out=beta[before : before + active[t]])
-        after = seen[: active[0]] * beta[: active[0]]
-        width = np.repeat(active[:-1], active[1:])
-        for k in range(active[0], len(symbols), PART_CELLS):  # each step's lanes are the first of the step before
-            stop = min(k + PART_CELLS, len(symbols))
-            step = np.searchsorted(ends_at, np.arange(k, stop), side="right")
-            moves += alpha.take(np.arange(k, stop) - np.array(active)[step - 1], axis=0).T @ seen[k:stop]
-        alpha *= beta
+        for n in reversed(active):
+            at -= n
+            here, beta, m = alpha[at : at + n], store[:n], len(ahead)
+            if m:
+                moves += np.dot(here[:m].T, ahead)
+                np.dot(ahead, back, out=beta[:m])
+            if m < n:  # lanes that end here
+                beta[m:] = 1 / here[m:].sum(1, keepdims=True)
+            ahead = seen[at : at + n]
+            ahead *= beta
+            here *= beta  # the posteriors, in place
         for k in range(0, len(symbols), PART_CELLS):
             cells, posts = symbols[k : k + PART_CELLS].astype(np.int64), alpha[k : k + PART_CELLS].T.astype(np.float64, order="C")
             for state in range(states):
@@ -365,7 +356,7 @@ def _train_map(model, buckets):
             used = np.flatnonzero(emit.sum(1))
             keys = np.concatenate(([-1], -2 - np.arange(len(start)), used))
             values = np.concatenate((start[None], move, emit[used]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(c, pa.float64()) for c in values.T]], ["key", *[f"s{k}" for k in range(len(start))]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(c.astype(np.float32)) for c in values.T]], ["key", *[f"s{k}" for k in range(len(start))]])
 
     return run
 
@@ -376,7 +367,7 @@ def train(spark: SparkSession, blocks: DataFrame, buckets, weight: np.ndarray, s
     names = [f"s{k}" for k in range(states)]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        counts = blocks.mapInArrow(_train_map(shared, buckets), "key long, " + ", ".join(f"{n} double" for n in names))
+        counts = blocks.mapInArrow(_train_map(shared, buckets), "key long, " + ", ".join(f"{n} float" for n in names))
         rows = counts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # a row per bucket and state
         shared.destroy()
         if rows.num_rows:
