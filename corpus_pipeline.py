@@ -1,7 +1,7 @@
 """The training-data pipeline: five stages over documents, each an operator of parlance.llm.
 
 Every stage takes (spark, docs, sf_dir), works on all rows it is given, and returns the columns of
-documents; the last adds ``copy``, the number of a repeated row. Between stages the rows are written
+documents; the last adds ``copy`` (``copy_`` if there is one), the number of a repeated row. Between stages the rows are written
 as Parquet and read again, so a stage always starts from a table.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from parlance.llm.common import table, written
+from parlance.llm.common import released, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
+    """All stages over the documents. A stage's own tables go when its result is written, and its input
+    when the next one's is."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with released():
+        for name, stage in STAGES:
+            with released():
+                docs = written(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
