@@ -398,7 +398,9 @@ def join_similar(
     dealt = chosen.select("root", "block", "rep", "copies", "labels", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "copies", "labels", "shingles")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(tasks, "root", "p", "q").sortWithinPartitions("root", "p", "q")
+    # the blocks of one set follow one another over the tasks, so that a large one is spread evenly
+    slot = F.pmod(F.xxhash64("root") + F.floor(F.col("q") * (F.col("q") + 1) / 2) + F.col("p"), F.lit(tasks)).cast("int")
+    dealt = dealt.repartitionById(tasks, slot).sortWithinPartitions("root", "p", "q")
     links = written(spark, dealt.mapInArrow(_verify(similarity, trees, floor), "a long, b long, texts long, documents long"), "join-links", BATCH_ROWS)
 
     classes = written(spark, components(spark, links.filter("b is not null").select("a", "b")), "join-classes")
