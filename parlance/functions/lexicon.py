@@ -50,6 +50,17 @@ MERGE_INSTRUCTION = (
 )
 COMPLETE_INSTRUCTION = "Rewrite the draft as a concise summary using complete sentences only. Preserve its supported facts, remove repetitions, and do not add or reassign actions."
 
+SYNTHETIC_INSTRUCTION = "Summarize all three conversations in one concise paragraph."
+
+#: Review sheets: the scale of each rating, and who is named as the reviewer.
+RUBRIC = {
+    "factual_error": "0 none, 1 minor, 2 major or fabricated",
+    "person_error": "0 correct, 1 ambiguous, 2 wrong attribution",
+    "omission": "0 no key omission, 1 minor omission, 2 core event omitted",
+    "completeness": "1 poor to 5 accurate, complete, and concise",
+}
+REVIEW_IDENTITY = "human-AI collaborative evaluation"
+
 #: Reason codes with severity and message, in the order of reporting.
 REASONS = (
     ("empty_summary", "high", "The model returned an empty summary."),

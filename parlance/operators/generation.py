@@ -8,6 +8,7 @@ model goes in through ``arrow_generator``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
-from parlance.operators import structure
+from parlance.operators import lineage, structure
 
 Generator = Callable[[Column, int], Column]
 
@@ -30,13 +31,25 @@ def extractive(prompt: Column, cap: int) -> Column:
     return X.strip(F.coalesce(F.array_join(F.slice(X.tokens(packed), 1, cap), " "), F.lit("")))
 
 
+#: Models of this Python worker, by the key of their generator: loaded once, whatever tasks it runs.
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(key: str, load: Callable[[], object]) -> object:
+    if key not in _RESIDENT:
+        _RESIDENT[key] = load()
+    return _RESIDENT[key]
+
+
 def arrow_generator(load: Callable[[], Callable[[list[str], int], list[str]]]) -> Generator:
     """A model loaded once per Python worker, fed with Arrow batches. Marked non-deterministic so that
     the optimizer never repeats a call."""
 
+    key = uuid.uuid4().hex
+
     def generator(prompt: Column, cap: int) -> Column:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = load()
+            model = resident(key, load)
             for batch in batches:
                 yield pd.Series(model(batch.tolist(), cap))
 
@@ -49,8 +62,10 @@ def arrow_generator(load: Callable[[], Callable[[list[str], int], list[str]]]) -
 def encode_udf(load: Callable[[], Callable[[str], int]]):
     """Token counts of a real tokenizer: an Arrow UDF, the tokenizer loaded once per worker."""
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = load()
+        count = resident(key, load)
         for batch in batches:
             yield batch.map(count)
 
@@ -116,7 +131,7 @@ def merge_rounds(spark: SparkSession, df: DataFrame, generator: Generator, key:
     """df: key, summaries (array), facts (array of lines). Returns key, summary, merge_tokens,
     error_code. Each round merges the groups of every dialogue at once; a dialogue whose merge input
     fits is finished in that round. ``cut`` writes a round's rows and reads them again."""
-    cut = cut or (lambda frame: frame.cache())
+    cut = cut or lineage.cut
     todo = df.select(key, F.col(summaries).alias("_s"), F.col(facts).alias("_f"), F.lit(0).alias("_n"))
     finished: DataFrame | None = None
     for _ in range(max_rounds):

@@ -25,11 +25,12 @@ def numbers_without(found: Column, other: Column) -> Column:
 
 
 def sentence_pairs(units: Column) -> Column:
-    """units: array<struct<words, speaker>>. All pairs i < j (from 1) with their similarity."""
+    """units: array<struct<words, speaker>>. Pairs i < j (from 1) that share a word, with their similarity;
+    the others go before they are gathered, so the array follows what is alike, not the square."""
 
     def after(left: Column, i: Column) -> Column:
         rest = F.slice(units, i + 2, F.size(units))
-        return F.transform(
+        pairs = F.transform(
             rest,
             lambda right, k: F.struct(
                 (i + 1).alias("i"),
@@ -39,6 +40,7 @@ def sentence_pairs(units: Column) -> Column:
                 right["speaker"].alias("b"),
             ),
         )
+        return F.filter(pairs, lambda p: p["similarity"] > 0)
 
     return F.flatten(F.transform(units, after))
 

@@ -90,9 +90,10 @@ REASON_ROWS = " UNION ALL ".join(f"SELECT o, '{c}' AS code, '{s}' AS severity FR
 
 PROMPT = 'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.\n\n### Instruction:\n' + L.DIRECT_INSTRUCTION + "\n\n### Input:\n"
 PROMPT_SQL, PROMPT_END = q(PROMPT), q("\n\n### Response:\n")
-ROUGE = """b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS r FROM benchmark),
-pairs AS (SELECT doc_id, r, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS p FROM documents JOIN b ON item_id = ((doc_id % (SELECT count(*) FROM b)) + (SELECT count(*) FROM b)) % (SELECT count(*) FROM b)),
-g AS (SELECT doc_id, len(r) AS nr, len(p) AS np, greatest(len(r) - 1, 0) AS nr2, greatest(len(p) - 1, 0) AS np2, r, p FROM pairs),
+ROUGE = """k AS MATERIALIZED (SELECT count(*) AS n FROM benchmark),
+b AS MATERIALIZED (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS r FROM benchmark),
+d AS MATERIALIZED (SELECT doc_id, ((doc_id % n) + n) % n AS item, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS p FROM documents, k),
+g AS MATERIALIZED (SELECT doc_id, len(r) AS nr, len(p) AS np, greatest(len(r) - 1, 0) AS nr2, greatest(len(p) - 1, 0) AS np2, r, p FROM d JOIN b ON item_id = item),
 c1 AS (SELECT doc_id, sum(least(x.n, y.n)) AS n FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(r) AS w FROM g) GROUP BY ALL) x
        JOIN (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(p) AS w FROM g) GROUP BY ALL) y USING (doc_id, w) GROUP BY doc_id),
 c2 AS (SELECT doc_id, sum(least(x.n, y.n)) AS n FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1])) AS w FROM g) GROUP BY ALL) x

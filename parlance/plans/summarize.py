@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
-from parlance.operators import attribution, evaluation, facts, generation, reliability, structure
+from parlance.operators import attribution, evaluation, facts, generation, lineage, reliability, structure
 
 
 def dialogues_of(conversations: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def summarize(
     """One row per dialogue with the whole result; error_code instead of an exception for a dialogue
     that cannot be done. Direct and hierarchical rows are different frames, so only long dialogues pay
     for chunks and merging; all chunks of all dialogues are generated in one parallel stage."""
-    cut = cut or (lambda frame: frame.cache())
+    cut = cut or lineage.cut
     ready = cut(prepare(df.select(key, F.col(dialogue).alias("dialogue")), "dialogue", mode))
     good = ready.filter("error_code is null")
 
@@ -102,12 +102,14 @@ def summarize(
 
 def evaluate(spark: SparkSession, rows: DataFrame, generator: generation.Generator = generation.extractive, done: DataFrame | None = None, cut=None) -> DataFrame:
     """rows: source_index, eval_type, input_tokens, input, output. Both modes of every row that has no
-    record yet, scored: one row per (source_index, mode)."""
+    record yet, scored: one row per (source_index, mode). peak_memory_gb is null, as the memory of a model
+    that runs on executors is not known here; a caller that measures it sets it, and the gate on memory
+    fails until then."""
     rows = evaluation.pending(rows, done) if done is not None else rows
     out: DataFrame | None = None
     for mode in ("direct", "hierarchical"):
         result = summarize(spark, rows.select("source_index", "input"), generator, "source_index", "input", mode, cut=cut)
-        result = result.select("source_index", F.lit(mode).alias("mode"), "summary", "input_coverage", "error_code", F.lit(0.0).alias("peak_memory_gb"))
+        result = result.select("source_index", F.lit(mode).alias("mode"), "summary", "input_coverage", "error_code", F.lit(None).cast("double").alias("peak_memory_gb"))
         out = result if out is None else out.unionByName(result)
     joined = out.join(rows.select("source_index", "eval_type", "input_tokens", F.col("input").alias("dialogue"), F.col("output").alias("reference")), "source_index")
     return evaluation.score(joined)

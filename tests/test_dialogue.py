@@ -172,6 +172,38 @@ def test_summarize_both_modes(spark):
     assert again[2] == out[2].summary
 
 
+def test_disjoint_groups_by_hand():
+    """Anchors lead their group while they are queued; the rest comes in drawn order; short groups take nothing."""
+    speakers = {"c": {"x"}, "a": {"y"}, "d": {"x", "z"}, "b": {"z"}, "f": {"u"}, "e": {"v"}, "g": {"w"}}
+    sizes = {"a": 100, "b": 100, "c": 250, "d": 100, "e": 5, "f": 5, "g": 5}
+    # b: b, c (x), a (y) are 456 tokens with headers; then d: d, f, e are 116 and too short, as is every later try
+    assert list(evaluation.disjoint_groups(speakers, sizes, ["b", "d", "c", "e"], 400)) == [("b", "c", "a")]
+    assert list(evaluation.disjoint_groups(speakers, sizes, ["b", "d", "c"], 10)) == [("b", "c", "a"), ("d", "f", "e")]
+    # an anchor that is taken, or has no speaker, gives its try to the queue
+    assert list(evaluation.disjoint_groups(speakers, sizes, ["nobody", "c"], 400)) == [("c", "a", "b")]
+
+
+def test_models_are_resident_and_plans_are_cut(spark, tmp_path):
+    from parlance.operators import generation, lineage
+
+    marks = str(tmp_path)
+
+    def load():
+        import tempfile as t
+
+        t.mkstemp(dir=marks)
+        return lambda prompts, cap: [p[:cap] for p in prompts]
+
+    generator = generation.arrow_generator(load)
+    df = spark.range(40).repartition(8).select(F.col("id").cast("string").alias("p"))
+    for _ in range(3):
+        assert df.select(generator(F.col("p"), 1).alias("x")).distinct().count() == 10
+    import os
+
+    assert 1 <= len(os.listdir(marks)) <= 8  # workers at most, of 24 tasks
+    assert "Scan ExistingRDD" in lineage.cut(df)._jdf.queryExecution().toString()
+
+
 def test_synthetic_builder(spark):
     rows = [(str(i), f"N{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}: " + "w " * 150, f"Out {i}.") for i in range(95)]
     df = spark.createDataFrame(rows, "source_index string, input string, output string")
