@@ -18,14 +18,17 @@ def rouge_tokens(text: Column, stem: bool = False) -> Column:
     return _stemmed(found) if stem else found
 
 
-def _numbered(grams: Column) -> Column:
-    """Each gram with the number of its occurrence, so that equal multisets are equal sets."""
-    return X.let(F.array_sort(grams), lambda g: F.transform(g, lambda x, i: F.concat_ws(" #", x, (i - F.array_position(g, x)).cast("string"))))
+def overlap(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection: each common gram counts as often as the side that has it less.
+    What remains of a side without the gram tells how often it had it, with no lambda per token."""
 
+    def common(both: Column) -> Column:
+        def times(side: str, gram: Column) -> Column:
+            return F.size(both[side]) - F.size(F.array_remove(both[side], gram))
 
-def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection: that of the sets of numbered grams (no gram holds a #)."""
-    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
+        return F.aggregate(F.array_intersect(both["a"], both["b"]), F.lit(0), lambda n, g: n + F.least(times("a", g), times("b", g)))
+
+    return X.let(F.struct(a.alias("a"), b.alias("b")), common)
 
 
 def lcs(a: Column, b: Column) -> Column:
