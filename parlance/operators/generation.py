@@ -8,10 +8,13 @@ model goes in through ``arrow_generator``.
 
 from __future__ import annotations
 
+import resource
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +44,33 @@ def resident(key: str, load: Callable[[], object]) -> object:
     return _RESIDENT[key]
 
 
-def arrow_generator(load: Callable[[], Callable[[list[str], int], list[str]]]) -> Generator:
+class _Greatest(AccumulatorParam):
+    def zero(self, value: float) -> float:
+        return 0.0
+
+    def addInPlace(self, a: float, b: float) -> float:
+        return max(a, b)
+
+
+class PeakMemory:
+    """The most resident memory, in GB, of any Python worker that ran a model; None before one did."""
+
+    def __init__(self, spark: SparkSession):
+        self.seen = spark.sparkContext.accumulator(0.0, _Greatest())
+
+    @property
+    def gb(self) -> float | None:
+        return self.seen.value or None
+
+
+def _resident_gb() -> float:
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * (1 if sys.platform == "darwin" else 1024) / 1e9
+
+
+def arrow_generator(load: Callable[[], Callable[[list[str], int], list[str]]], peak: PeakMemory | None = None) -> Generator:
     """A model loaded once per Python worker, fed with Arrow batches. Marked non-deterministic so that
-    the optimizer never repeats a call."""
+    the optimizer never repeats a call. peak: notes the workers' memory, the model's included."""
+    seen = peak.seen if peak is not None else None
 
     key = uuid.uuid4().hex
 
@@ -52,6 +79,8 @@ def arrow_generator(load: Callable[[], Callable[[list[str], int], list[str]]]) -
             model = resident(key, load)
             for batch in batches:
                 yield pd.Series(model(batch.tolist(), cap))
+                if seen is not None:
+                    seen.add(_resident_gb())
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return X.strip(F.pandas_udf(run, "string").asNondeterministic()(prompt))
@@ -134,7 +163,7 @@ def merge_rounds(spark: SparkSession, df: DataFrame, generator: Generator, key:
     cut = cut or lineage.cut
     todo = df.select(key, F.col(summaries).alias("_s"), F.col(facts).alias("_f"), F.lit(0).alias("_n"))
     finished: DataFrame | None = None
-    for _ in range(max_rounds):
+    for k in range(1, max_rounds + 1):
         work = todo.withColumn("_input", fit_merge_input(F.col("_s"), F.col("_f")))
         fits = (F.size("_s") == 1) | (X.token_count(merge_prompt(F.col("_input"))) <= L.PROMPT_TOKENS)
         last = work.filter(fits).select(key, generator(merge_prompt(F.col("_input")), L.FINAL_OUT).alias("summary"), "_n")
@@ -145,12 +174,14 @@ def merge_rounds(spark: SparkSession, df: DataFrame, generator: Generator, key:
         finished = done if finished is None else finished.unionByName(done)
         parts = rest.filter(F.size("_groups") > 1).select(key, "_f", "_n", F.posexplode("_groups").alias("_at", "_group"))
         prompts = parts.withColumn("_text", generator(merge_prompt(fit_merge_input(F.col("_group"), X.no_strings())), L.MERGE_OUT))
-        todo = cut(
+        todo = lineage.named(
+            cut,
             prompts.groupBy(key).agg(
                 F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]).alias("_s"),
                 F.first("_f").alias("_f"),
                 (F.first("_n") + F.sum(X.token_count(F.col("_text")))).cast("int").alias("_n"),
-            )
+            ),
+            f"merge round {k}",
         )
         if todo.isEmpty():
             return finished

@@ -86,6 +86,7 @@ flags AS (SELECT base.o, len(people.bad) > 0 AS unsupported_person, len(support.
       FROM base JOIN people ON base.o = people.o JOIN support ON base.o = support.o LEFT JOIN pair_flags ON base.o = pair_flags.o),
 risky AS (SELECT *, CASE WHEN unsupported_person OR unsupported_number OR possible_attribution_conflict OR incomplete_sentence THEN 'high'
         WHEN possible_number_omission OR duplicate_event THEN 'medium' ELSE 'low' END AS risk FROM flags)"""
+MESSAGES = {code: message for code, _, message in L.REASONS}
 REASON_ROWS = " UNION ALL ".join(f"SELECT o, '{c}' AS code, '{s}' AS severity FROM flags WHERE {c}" for c, s, _ in L.REASONS[1:])
 
 PROMPT = 'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.\n\n### Instruction:\n' + L.DIRECT_INSTRUCTION + "\n\n### Input:\n"
@@ -138,7 +139,7 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT conv_id, min(k) AS k FROM (SELECT conv_id, l, unnest(range(4, len(l) // 2 + 1)) AS k FROM l) WHERE len(l) % k = 0 AND len(list_filter(l, lambda x, i: x <> l[(i - 1) % k + 1])) = 0 GROUP BY conv_id)
         SELECT l.conv_id, CASE WHEN k IS NULL THEN {strip('dialogue')} ELSE array_to_string(l[1:k], chr(10)) END AS block, CASE WHEN k IS NULL THEN 0 ELSE len(l) - k END AS deduplicated_turns
         FROM l LEFT JOIN k ON l.conv_id = k.conv_id""",
-    "token_windows": f"""WITH {DOCS}, t AS (SELECT doc_id, {tokens('text')} AS t FROM docs), w AS (SELECT doc_id, t, unnest(range(0, (ceil((len(t) - 100) / 80.0)::INT + 1)::BIGINT)) AS k FROM t WHERE len(t) > 100)
+    "token_windows": f"""WITH {DOCS}, t AS (SELECT doc_id, {tokens('text')} AS t FROM docs), w AS (SELECT doc_id, t, unnest(range(0, (greatest(0, ceil((len(t) - 100) / 80.0)::INT) + 1)::BIGINT)) AS k FROM t)
         SELECT doc_id, k, array_to_string(t[k * 80 + 1 : k * 80 + 100], ' ') AS part FROM w""",
     "chunk_pack": f"""WITH RECURSIVE {DIALOGUES}, s AS (SELECT conv_id, string_split(dialogue, chr(10)) AS l FROM dialogues),
         r AS (SELECT conv_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS idx FROM s),
@@ -159,7 +160,9 @@ ORACLE_SQL: dict[str, str] = {
     "reliability_reasons": f"WITH {CHECKED} {REASON_ROWS}",
     "risk_histogram": f"WITH {CHECKED} SELECT risk, count(*) AS n FROM risky GROUP BY risk",
     "reason_display": f"""WITH {CHECKED} SELECT o, 'Check these figures: ' || array_to_string({ordered('extra')}, '、') AS line FROM support WHERE len(extra) > 0
-        UNION ALL SELECT o, 'The summary ends with an incomplete sentence.' FROM flags WHERE incomplete_sentence""",
+        UNION ALL SELECT o, {q(MESSAGES['unsupported_person'] + ' ')} || array_to_string({ordered('bad')}, '、') FROM people WHERE len(bad) > 0
+        UNION ALL SELECT o, {q(MESSAGES['possible_number_omission'] + ' ')} || array_to_string({ordered('missing')}, '、') FROM support WHERE len(missing) > 0
+        UNION ALL """ + " UNION ALL ".join(f"SELECT o, {q(MESSAGES[c])} FROM flags WHERE {c}" for c in ("duplicate_event", "possible_attribution_conflict", "incomplete_sentence", "input_truncated")),
     "number_support": f"""WITH {CHECKED} SELECT o, 'unsupported' AS kind, unnest(list_distinct(extra)) AS value FROM support UNION ALL SELECT o, 'omitted', unnest(list_distinct(missing)) FROM support""",
     "duplicate_pairs": f"WITH {CHECKED} SELECT o, i, j FROM alike WHERE sim >= 0.82",
     "attribution_conflicts": f"WITH {CHECKED} SELECT o, i, j, a, b FROM alike WHERE sim >= 0.68 AND a IS NOT NULL AND b IS NOT NULL AND a <> b",
@@ -173,6 +176,8 @@ ORACLE_SQL: dict[str, str] = {
         round(avg(dc) / avg(base), 9) AS critical_relative_change FROM paired GROUP BY eval_type""",
     "gates": f"""WITH {SCORED} SELECT avg(dl) >= -0.01 AS engineering_gate_passed, avg(dl) >= -0.01 AND (avg(dr) >= 0.03 OR avg(dc) / avg(base) <= -0.05) AS quality_gate_passed FROM paired""",
     "group_counts": f"WITH {SCORED} SELECT eval_type, count(*) AS n, max(base) AS most, min(base) AS least FROM paired GROUP BY eval_type",
+    "mode_extremes": """SELECT mode, count(*) AS n, min(1 - (o_orderkey % 3) / 16.0::DOUBLE) AS least_coverage, min(400 + o_orderkey % 97) AS least_tokens,
+        max(CASE WHEN mode = 'direct' THEN 1 + (o_orderkey % 8) / 4.0::DOUBLE END) AS peak_memory_gb FROM orders, (VALUES ('direct'), ('hierarchical')) m(mode) GROUP BY mode""",
     "topk_longest": f"WITH {DOCS} SELECT doc_id, len({tokens('text')}) AS input_tokens FROM docs ORDER BY 2 DESC, 1 LIMIT 15",
     "resume_anti_join": "SELECT doc_id AS source_index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
 }

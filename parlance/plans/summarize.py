@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import time
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
 from parlance.operators import attribution, evaluation, facts, generation, lineage, reliability, structure
+from parlance.sources import files
 
 
 def dialogues_of(conversations: DataFrame) -> DataFrame:
@@ -43,9 +46,11 @@ def summarize(
 ) -> DataFrame:
     """One row per dialogue with the whole result; error_code instead of an exception for a dialogue
     that cannot be done. Direct and hierarchical rows are different frames, so only long dialogues pay
-    for chunks and merging; all chunks of all dialogues are generated in one parallel stage."""
+    for chunks and merging; all chunks of all dialogues are generated in one parallel stage. With
+    ``lineage.Stages`` as the cut, seconds and rows of each stage are measured; the finished rows are a
+    stage then, too."""
     cut = cut or lineage.cut
-    ready = cut(prepare(df.select(key, F.col(dialogue).alias("dialogue")), "dialogue", mode))
+    ready = lineage.named(cut, prepare(df.select(key, F.col(dialogue).alias("dialogue")), "dialogue", mode), "prepare")
     good = ready.filter("error_code is null")
 
     direct = good.filter(F.col("actual_mode") == "direct").withColumn("_p", structure.direct_prompt(F.col("clean")))
@@ -61,14 +66,14 @@ def summarize(
     direct = direct.withColumns({"chunks": no_chunks, "chunk_summaries": X.no_strings(), "generated": X.token_count(F.coalesce("summary", F.lit("")))})
 
     long = good.filter(F.col("actual_mode") == "hierarchical").drop("error_code")
-    long = cut(structure.chunk_dialogues(long, "clean", budget))
+    long = lineage.named(cut, structure.chunk_dialogues(long, "clean", budget), "chunks")
     parts = long.filter("error_code is null").select(key, F.posexplode("chunks").alias("_at", "_chunk"))
     prompt = structure.format_prompt(L.CHUNK_INSTRUCTION, F.col("_chunk.text"))
     parts = parts.select(key, "_at", F.when(X.token_count(prompt) <= L.PROMPT_TOKENS, generator(prompt, L.CHUNK_OUT)).alias("_text"))
     merged_in = parts.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]).alias("chunk_summaries"), F.bool_or(F.coalesce(F.col("_text") == "", F.lit(True))).alias("_bad")
     )
-    long = cut(long.join(merged_in, key, "left"))
+    long = lineage.named(cut, long.join(merged_in, key, "left"), "sections")
     code = F.coalesce("error_code", F.when(F.col("_bad"), "SECTION_FAILED"))
     long = long.withColumn("error_code", code).drop("_bad")
     several = long.filter("error_code is null and size(chunk_summaries) > 1")
@@ -85,7 +90,7 @@ def summarize(
         }
     )
     common = [key, "dialogue", "clean", "deduplicated_turns", "source_facts", "requested_mode", "actual_mode", "error_code", "summary", "truncated", "input_coverage", "chunks", "chunk_summaries", "generated"]
-    both = cut(direct.select(*common).unionByName(long.select(*common)))
+    both = lineage.named(cut, direct.select(*common).unionByName(long.select(*common)), "drafts")
     done = generation.complete(both.filter("error_code is null"), "summary", generator)
     done = attribution.repair(done, "clean", "summary", "_repaired").withColumn("summary", F.col("_repaired")).drop("_repaired")
     done = done.withColumn("error_code", F.when(F.col("summary") == "", "EMPTY_SUMMARY"))
@@ -97,24 +102,63 @@ def summarize(
         "deduplicated_turns", (F.col("deduplicated_turns") > 0).alias("deduplication_applied"), "attribution_repairs",
         (F.col("generated") + F.col("completion_tokens")).alias("generated_tokens_total"), X.token_count(F.col("summary")).alias("final_tokens"), "reliability",
     )
-    return result.unionByName(failed, allowMissingColumns=True)
+    result = result.unionByName(failed, allowMissingColumns=True)
+    return cut(result, "finish") if isinstance(cut, lineage.Stages) else result
 
 
-def evaluate(spark: SparkSession, rows: DataFrame, generator: generation.Generator = generation.extractive, done: DataFrame | None = None, cut=None) -> DataFrame:
+def evaluate(spark: SparkSession, rows: DataFrame, generator: generation.Generator = generation.extractive, done: DataFrame | None = None, cut=None, peak: generation.PeakMemory | None = None) -> DataFrame:
     """rows: source_index, eval_type, input_tokens, input, output. Both modes of every row that has no
-    record yet, scored: one row per (source_index, mode). peak_memory_gb is null, as the memory of a model
-    that runs on executors is not known here; a caller that measures it sets it, and the gate on memory
-    fails until then."""
+    record yet, scored: one row per (source_index, mode). peak: the one that the generator notes its
+    workers' memory in; peak_memory_gb is then what a mode's run has reached, for all its rows. Without it
+    the memory is unknown, peak_memory_gb null, and the gate on memory fails."""
     rows = evaluation.pending(rows, done) if done is not None else rows
     out: DataFrame | None = None
     for mode in ("direct", "hierarchical"):
         result = summarize(spark, rows.select("source_index", "input"), generator, "source_index", "input", mode, cut=cut)
-        result = result.select("source_index", F.lit(mode).alias("mode"), "summary", "input_coverage", "error_code", F.lit(None).cast("double").alias("peak_memory_gb"))
+        if peak is not None:  # known once the mode has run
+            result = lineage.named(cut or lineage.cut, result, mode)
+        gb = F.lit(peak.gb if peak is not None else None).cast("double")
+        result = result.select("source_index", F.lit(mode).alias("mode"), "summary", "input_coverage", "error_code", gb.alias("peak_memory_gb"))
         out = result if out is None else out.unionByName(result)
     joined = out.join(rows.select("source_index", "eval_type", "input_tokens", F.col("input").alias("dialogue"), F.col("output").alias("reference")), "source_index")
     return evaluation.score(joined)
 
 
+def resume(
+    spark: SparkSession, rows: DataFrame, path: str, generator: generation.Generator = generation.extractive, batches: int = 8, split: str = "val", tell: Callable[[str], None] = print, **options
+) -> dict:
+    """Evaluates the rows that ``path`` has no records of, batch by batch, and adds each batch's records
+    there; a run that is stopped goes on where it was. tell: gets a line ``n/N`` after each batch. Returns
+    split, count, complete (every row has its records), seconds_this_run, test_split_read."""
+    began = time.perf_counter()
+    files.check_split(split)
+    keys = StructType([rows.schema["source_index"]])
+    total = rows.select("source_index").distinct().count()
+    count = 0
+    for k in range(batches):
+        done = files.read_if_there(spark, path, keys)
+        part = rows.filter(F.pmod(F.xxhash64("source_index"), F.lit(batches)) == k)
+        todo = evaluation.pending(part, done)
+        if not todo.isEmpty():
+            files.append_records(evaluate(spark, todo, generator, **options), path)
+        count = rows.select("source_index").distinct().join(files.read_if_there(spark, path, keys), "source_index", "left_semi").count()
+        tell(f"{count}/{total}")
+    return {"split": split, "count": count, "complete": count == total, "seconds_this_run": time.perf_counter() - began, "test_split_read": split == "test"}
+
+
+def smoke(spark: SparkSession, df: DataFrame, generator: generation.Generator = generation.extractive, key: str = "conv_id", dialogue: str = "dialogue", peak: generation.PeakMemory | None = None) -> dict[str, bool]:
+    """The longest dialogue, summarized twice by sections: are the runs equal, all turns covered, the
+    sections several, the summary not empty, the memory (if peak is given) within the gate?"""
+    sized = df.select(key, F.col(dialogue).alias("dialogue"), X.token_count(F.col(dialogue)).alias("input_tokens"))
+    longest = lineage.cut(evaluation.longest(sized, 1, key=key))
+    runs = [summarize(spark, longest, generator, key, mode="hierarchical").drop("reliability").collect() for _ in range(2)]
+    if not runs[0]:
+        raise ValueError("there is no dialogue")
+    row = runs[0][0]
+    found = {"equal": runs[0] == runs[1], "covered": row["input_coverage"] == 1, "sections": (row["chunk_count"] or 0) >= 2, "not_empty": bool(row["summary"])}
+    return found | ({"memory": peak.gb is not None and peak.gb <= evaluation.MEMORY_GB} if peak is not None else {})
+
+
 def compare(spark: SparkSession, df: DataFrame, jobs: Iterable[tuple[str, generation.Generator, str]], key: str = "conv_id", cut=None) -> DataFrame:
     """The same dialogues through several (label, generator, mode) jobs, one job after the other, so
     that one model at a time is resident."""

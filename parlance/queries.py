@@ -160,7 +160,7 @@ def collapse_repeated(spark, sf_dir):
 
 
 def token_windows(spark, sf_dir):
-    work = documents(spark, sf_dir).withColumn("tokens", X.tokens(F.col("text"))).filter(F.size("tokens") > 100)
+    work = documents(spark, sf_dir).withColumn("tokens", X.tokens(F.col("text")))
     return _rows(work, "doc_id", pos="k", part=structure.token_windows(F.col("tokens"), 100))
 
 
@@ -198,9 +198,7 @@ def risk_histogram(spark, sf_dir):
 
 def reason_display(spark, sf_dir):
     shown = reliability.display(F.col("reliability.reasons"), {"unsupported_number": "Check these figures:"})
-    kept = F.filter("reliability.reasons", lambda r: r["code"].isin("unsupported_number", "incomplete_sentence"))
-    work = _assessed(spark, sf_dir).withColumn("reliability", F.struct(kept.alias("reasons")))
-    return _rows(work, "o", line=shown)
+    return _rows(_assessed(spark, sf_dir), "o", line=shown)
 
 
 def number_support(spark, sf_dir):
@@ -329,6 +327,12 @@ def group_counts(spark, sf_dir):
     return evaluation.paired(_scored(spark, sf_dir)).groupBy("eval_type").agg(F.count(F.lit(1)).alias("n"), F.max("critical_direct").alias("most"), F.min("critical_direct").alias("least"))
 
 
+def mode_extremes(spark, sf_dir):
+    k = F.col("source_index")
+    uneven = {"input_coverage": 1 - (k % 3) / 16.0, "input_tokens": 400 + k % 97, "peak_memory_gb": F.when(F.col("mode") == "direct", 1 + (k % 8) / 4.0)}
+    return evaluation.extremes(_scored(spark, sf_dir).withColumns(uneven))
+
+
 def bootstrap_ci(spark, sf_dir):
     """The published method over the paired deltas of all orders."""
     return evaluation.bootstrap_ci(evaluation.paired(_scored(spark, sf_dir)), "d_critical")
@@ -395,7 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentence_split_a, sentence_units_b, complete_sentences_c, incomplete_flag, content_words, action_words, primary_speaker,
         route_mode, long_filter, collapse_repeated, token_windows, chunk_pack, chunk_coverage, direct_truncate,
         reliability_flags, reliability_reasons, risk_histogram, reason_display, number_support, duplicate_pairs, attribution_conflicts,
-        attribution_repair, repair_log, rouge_1_2, rouge_l, error_proxies, mode_means, paired_delta_report, gates, group_counts,
+        attribution_repair, repair_log, rouge_1_2, rouge_l, error_proxies, mode_means, paired_delta_report, gates, group_counts, mode_extremes,
         bootstrap_ci, poisson_bootstrap_ci, topk_longest, resume_anti_join, blinded_sheet, synthetic_builder, summarize_pipeline, evaluate_modes,
     )
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance import queries as Q
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
-from parlance.operators import attribution, evaluation, generation, reliability, structure
+from parlance.operators import attribution, evaluation, generation, lineage, reliability, structure
 from parlance.plans import sql, summarize
 from parlance.sources import files
 from parlance.streaming import dialogues as streaming
@@ -327,3 +327,98 @@ def test_arrow_generator(spark):
     upper = generation.arrow_generator(lambda: lambda prompts, cap: [p.upper()[:cap] for p in prompts])
     assert spark.range(1).select(upper(F.lit("abcdef"), 3)).head()[0] == "ABC"
     assert attribution.repair(spark.createDataFrame([(None, None)], "dialogue string, summary string")).head().repaired == ""
+
+
+def test_stages_are_measured(spark):
+    df = spark.createDataFrame([(1, "Ann: I will go."), (2, ""), (3, "\n".join(f"P{k % 3}: " + "word " * 60 + "end." for k in range(40)))], "conv_id long, dialogue string")
+    stages = lineage.Stages()
+    out = summarize.summarize(spark, df, cut=stages)
+    names = [name for name, _, _ in stages.taken]
+    assert names[:3] == ["prepare", "chunks", "sections"] and names[-2:] == ["drafts", "finish"]
+    assert stages.taken[0][2] == stages.taken[-1][2] == 3 and all(s > 0 for _, s, _ in stages.taken)
+    assert stages.total_seconds == pytest.approx(sum(s for _, s, _ in stages.taken))
+    plain = summarize.summarize(spark, df)
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_resumed_runs_and_memory(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), "real_long", 9, f"Ann: I will pack {i} boxes.\nBo: Fine.", f"Ann will pack {i} boxes.") for i in range(7)], "source_index string, eval_type string, input_tokens int, input string, output string")
+    path, lines = str(tmp_path / "records"), []
+    first = summarize.resume(spark, rows.filter("source_index < 3"), path, batches=2, tell=lines.append)
+    assert first["complete"] and first["count"] == 3 and lines[-1] == "3/3" and not first["test_split_read"]
+    before = {r.source_index: r.summary for r in spark.read.parquet(path).filter("mode = 'direct'").collect()}
+    status = summarize.resume(spark, rows, path, batches=2, tell=lines.append)
+    assert status["complete"] and status["count"] == 7 and lines[-1] == "7/7"
+    records = spark.read.parquet(path)
+    assert records.groupBy("source_index").count().filter("count <> 2").count() == 0 and before.items() <= {r.source_index: r.summary for r in records.filter("mode = 'direct'").collect()}.items()
+    with pytest.raises(ValueError):
+        summarize.resume(spark, rows, path, split="train")
+
+    peak = generation.PeakMemory(spark)
+    assert peak.gb is None
+    model = generation.arrow_generator(lambda: lambda prompts, cap: ["Ann will pack boxes."] * len(prompts), peak)
+    got = summarize.evaluate(spark, rows, model, peak=peak).collect()
+    assert len(got) == 14 and all(0.01 < r.peak_memory_gb < 5 for r in got) and peak.gb < 5
+    assert summarize.evaluate(spark, rows.limit(1)).filter("peak_memory_gb is null").count() == 2
+
+
+def test_smoke(spark):
+    turns = "\n".join(f"P{k % 3}: I will bring the item number {k} to the office on Monday." for k in range(60))
+    df = spark.createDataFrame([(1, "Ann: Hi."), (2, turns), (3, turns)], "conv_id long, dialogue string")
+    assert summarize.smoke(spark, df) == {"equal": True, "covered": True, "sections": True, "not_empty": True}
+    assert not summarize.smoke(spark, df.filter("conv_id = 1"))["sections"]
+    with pytest.raises(ValueError):
+        summarize.smoke(spark, df.filter("conv_id > 3"))
+
+
+def test_gates_on_uneven_records(spark):
+    def judged(*rows):
+        scored = spark.createDataFrame([(i, "a", m, s, s, 1.0, x, c, g) for i, (m, s, x, c, g) in enumerate(rows)], "source_index int, eval_type string, mode string, rougeL double, rouge1_recall double, critical double, summary string, input_coverage double, peak_memory_gb double")
+        scored = scored.withColumn("source_index", F.lit(1))
+        return tuple(evaluation.gates(scored, evaluation.paired(scored)).head())
+
+    direct = ("direct", 0.2, "x", 0.5, None)
+    assert judged(direct, ("hierarchical", 0.3, "x", 1.0, 2.0)) == (True, True)
+    assert judged(direct, ("hierarchical", 0.2, "x", 1.0, 2.0)) == (True, False)
+    for bad in (("", 1.0, 2.0), ("x", 0.9, 2.0), ("x", 1.0, 5.6), ("x", 1.0, None), (None, 1.0, 2.0)):
+        assert judged(direct, ("hierarchical", 0.3, *bad)) == (False, False)
+    assert judged(direct, ("hierarchical", 0.1, "x", 1.0, 2.0)) == (False, False)
+
+
+def test_interval_report(spark):
+    rng = np.random.default_rng(3)
+    data = {"real_long": rng.normal(0.1, 1, 40).tolist(), "synthetic_stress": rng.normal(-0.1, 1, 30).tolist()}
+    rows = [(f"{g}{i:03d}", g, x, x / 2, 1.0, 2.0) for g, xs in data.items() for i, x in enumerate(xs)]
+    pairs = spark.createDataFrame(rows, "source_index string, eval_type string, d_rougeL double, d_rouge1_recall double, d_critical double, critical_direct double")
+    out = {r.eval_type: r for r in evaluation.interval_report(pairs, samples=500).collect()}
+    draw = np.random.default_rng(evaluation.SEED)
+    for g, xs in data.items():  # one generator, from group to group
+        x = np.array(xs)
+        means = x[draw.integers(0, len(x), size=(500, len(x)))].mean(1)
+        low, high = np.quantile(means, [0.025, 0.975])
+        r = out[g]
+        assert (r.n, r.critical_relative_change) == (len(x), 0.5)
+        assert (r.rougeL_delta, r.rougeL_low, r.rougeL_high) == pytest.approx((x.mean(), low, high))
+
+
+def test_records_prepared_sets_and_examples(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "long_dialogue" / "test"
+    folder.mkdir(parents=True)
+    item = {"source_index": "synthetic-test-01", "component_ids": ["1", "2", "3"], "input": "A: x", "output": "o", "eval_type": "synthetic_stress", "input_tokens": 401}
+    (folder / "combined.json").write_text(json.dumps([item, {"source_index": "7", "input": "B: y", "output": "p", "eval_type": "real_long", "input_tokens": 500}]))
+    rows = {r.source_index: r for r in files.read_split(spark, str(tmp_path), "test", prepared=True).collect()}
+    assert rows["synthetic-test-01"].component_ids == ["1", "2", "3"] and rows["7"].component_ids is None and all(r.test_split_read for r in rows.values())
+
+    mode = {"summary": "s", "actual_mode": "direct", "input_coverage": 1.0, "rouge": {"rougeL": 0.5}}
+    report = {"split": "val", "count": 1, "complete": True, "records": [{"source_index": "7", "eval_type": "real_long", "input_tokens": 500, "direct": mode, "hierarchical": {**mode, "summary": "t"}}]}
+    (tmp_path / "eval-val.json").write_text(json.dumps(report, indent=2))
+    (record,) = files.read_records(spark, str(tmp_path / "eval-val.json")).collect()
+    assert (record.source_index, record.direct.rouge.rougeL, record.hierarchical.summary) == ("7", 0.5, "t")
+
+    shown = {r.name: r.dialogue for r in files.examples(spark).collect()}
+    assert len(shown["short"].split("\n")) == 4 and len(shown["long"].split("\n")) == 64
+    assert collapsed(spark, shown["long"]) is not None
+    monkeypatch.setenv(files.ROOT_VARIABLE, "/a")
+    assert files.root() == "/a" and files.root("/b") == "/b"
+    monkeypatch.delenv(files.ROOT_VARIABLE)
+    assert files.root().startswith("/")
