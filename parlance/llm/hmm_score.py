@@ -56,6 +56,8 @@ COUNTED = 500_000
 CELLS = 3 << 20
 #: Of these, how many are summed at once.
 PART_CELLS = 1 << 16
+#: Of these, how many have their emissions looked up at once.
+SEEN_CELLS = 1 << 18
 #: Steps between two scalings of the recursions in training: bounds what single precision must span.
 _SCALED = 4
 _SEED = 9
@@ -159,15 +161,16 @@ class Lockstep:
         offset = np.cumsum(self.active) - self.active
         return np.arange(len(self.symbols)) - np.repeat(offset, self.active)
 
-    def spans(self) -> list[tuple[int, int]]:
-        """Steps in runs of CELLS symbols at most (one step at least)."""
-        ends, out, at = np.cumsum(self.active), [], 0
-        while at < len(ends):
-            done = int(ends[at - 1]) if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, done + CELLS, side="right")))
-            out.append((at, stop))
-            at = stop
-        return out
+
+def step_runs(active: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Steps in runs of ``most`` symbols at most (one step at least)."""
+    ends, out, at = np.cumsum(active), [], 0
+    while at < len(ends):
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        out.append((at, stop))
+        at = stop
+    return out
 
 
 def log10_likelihoods(model: Hmm, block: Lockstep) -> np.ndarray:
@@ -189,26 +192,29 @@ def log10_likelihoods(model: Hmm, block: Lockstep) -> np.ndarray:
     return out + np.log10(scale)
 
 
-def _span_forward(ahead: np.ndarray, ratio: np.ndarray, move: np.ndarray, active: list[int], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The forward values of a run of steps and the emissions divided alike. ahead: the states' weights
-    before the first step."""
-    seen = ratio.take(symbols, axis=0)
-    alpha = np.empty_like(seen)
-    ones = np.ones((len(move), 1), alpha.dtype)
+def _span_forward(ahead: np.ndarray, ratio: np.ndarray, move: np.ndarray, active: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward values of a run of steps, and what they were divided by at each. ahead: the states'
+    weights before the first step. Emissions are looked up for SEEN_CELLS symbols at a time."""
+    alpha = np.empty((len(symbols), len(move)), ratio.dtype)
+    scale = np.ones(len(symbols), ratio.dtype)
+    ones = np.ones((len(move), 1), ratio.dtype)
     at = before = 0
-    for t, n in enumerate(active):
-        here, own = alpha[at : at + n], seen[at : at + n]
-        if t:
-            np.dot(alpha[before : before + n], move, out=here)
-            here *= own
-        else:
-            np.multiply(ahead[:n], own, out=here)
-        if t % _SCALED == _SCALED - 1 or t == len(active) - 1:
-            total = here @ ones
-            here /= total
-            own /= total
-        before, at = at, at + n
-    return alpha, seen
+    for first, last in step_runs(active, SEEN_CELLS):
+        steps, head = active[first:last].tolist(), at
+        seen = ratio.take(symbols[at : at + sum(steps)], axis=0)
+        for t, n in enumerate(steps, first):
+            here, own = alpha[at : at + n], seen[at - head : at - head + n]
+            if t:
+                np.dot(alpha[before : before + n], move, out=here)
+                here *= own
+            else:
+                np.multiply(ahead[:n], own, out=here)
+            if t % _SCALED == _SCALED - 1 or t == len(active) - 1:
+                total = here @ ones
+                here /= total
+                scale[at : at + n] = total[:, 0]
+            before, at = at, at + n
+    return alpha, scale
 
 
 def expected_counts(model: Hmm, block: Lockstep, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,13 +228,13 @@ def expected_counts(model: Hmm, block: Lockstep, kind: type = np.float64) -> tup
     move = model.move.astype(kind)
     back = np.ascontiguousarray(move.T)
     ratio = (model.emit / model.emit.max(1, keepdims=True)).astype(kind)
-    spans, ends = block.spans(), np.concatenate(([0], np.cumsum(block.active)))
+    spans, ends = step_runs(block.active, CELLS), np.concatenate(([0], np.cumsum(block.active)))
     moves, emits = np.zeros((states, states)), np.zeros(ratio.T.shape)
     heads = [np.tile(model.start.astype(kind), (int(block.active[0]), 1))] if spans else []
 
-    def forward(span: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    def forward(span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         first, last = spans[span]
-        symbols, active = block.symbols[ends[first] : ends[last]], block.active[first:last].tolist()
+        symbols, active = block.symbols[ends[first] : ends[last]], block.active[first:last]
         return *_span_forward(heads[span], ratio, move, active, symbols), active, symbols
 
     for span in range(len(spans) - 1):
@@ -237,19 +243,24 @@ def expected_counts(model: Hmm, block: Lockstep, kind: type = np.float64) -> tup
     ahead = np.zeros((0, states), kind)  # the next step's emissions times its backward values
     store = np.empty((int(block.active[0]) if spans else 0, states), kind)
     for span in range(len(spans) - 1, -1, -1):
-        alpha, seen, active, symbols = forward(span)
+        alpha, scale, active, symbols = forward(span)
         at = len(alpha)
-        for n in reversed(active):
-            at -= n
-            here, beta, m = alpha[at : at + n], store[:n], len(ahead)
-            if m:
-                moves += np.dot(here[:m].T, ahead)
-                np.dot(ahead, back, out=beta[:m])
-            if m < n:  # lanes that end here
-                beta[m:] = 1 / here[m:].sum(1, keepdims=True)
-            ahead = seen[at : at + n]
-            ahead *= beta
-            here *= beta  # the posteriors, in place
+        for first, last in reversed(step_runs(active, SEEN_CELLS)):
+            steps = active[first:last].tolist()
+            head = at - sum(steps)
+            seen = ratio.take(symbols[head:at], axis=0)
+            seen /= scale[head:at, None]
+            for n in reversed(steps):
+                at -= n
+                here, beta, m = alpha[at : at + n], store[:n], len(ahead)
+                if m:
+                    moves += np.dot(here[:m].T, ahead)
+                    np.dot(ahead, back, out=beta[:m])
+                if m < n:  # lanes that end here
+                    beta[m:] = 1 / here[m:].sum(1, keepdims=True)
+                ahead = seen[at - head : at - head + n]
+                ahead *= beta
+                here *= beta  # the posteriors, in place
         for k in range(0, len(symbols), PART_CELLS):
             cells, posts = symbols[k : k + PART_CELLS].astype(np.int64), alpha[k : k + PART_CELLS].T.astype(np.float64, order="C")
             for state in range(states):
