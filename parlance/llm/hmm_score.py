@@ -58,6 +58,8 @@ CELLS = 3 << 20
 PART_CELLS = 1 << 16
 #: Of these, how many have their emissions looked up at once.
 SEEN_CELLS = 1 << 18
+#: Expected counts that one row carries to the sums.
+PACKED = 64
 #: Steps between two scalings of the recursions in training: bounds what single precision must span.
 _SCALED = 4
 _SEED = 9
@@ -348,8 +350,8 @@ def _blocks(active: pa.Array, symbols: pa.Array, kind: type) -> Iterator[Lockste
 
 
 def _train_map(model, buckets):
-    """Map over (active, symbols): one row per bucket of the task's expected counts; rows below 0 hold
-    the first states (-1) and the moves (-2 - state)."""
+    """Map over (active, symbols): the task's expected counts of first states, moves and emissions, one
+    after the other, PACKED to a row; rows of zeros are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kind = model.value, buckets.value.kind
@@ -363,31 +365,32 @@ def _train_map(model, buckets):
                     for whole, part in zip(total, found):
                         whole += part
         if total is not None:
-            start, move, emit = total
-            used = np.flatnonzero(emit.sum(1))
-            keys = np.concatenate(([-1], -2 - np.arange(len(start)), used))
-            values = np.concatenate((start[None], move, emit[used]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(c.astype(np.float32)) for c in values.T]], ["key", *[f"s{k}" for k in range(len(start))]])
+            flat = np.concatenate([x.ravel() for x in total]).astype(np.float32)
+            rows = np.pad(flat, (0, -len(flat) % PACKED)).reshape(-1, PACKED)
+            used = np.flatnonzero(rows.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *map(pa.array, np.ascontiguousarray(rows[used].T))], ["key", *_packed_names()])
 
     return run
 
 
+def _packed_names() -> list[str]:
+    return [f"v{k}" for k in range(PACKED)]
+
+
 def train(spark: SparkSession, blocks: DataFrame, buckets, weight: np.ndarray, states: int, rounds: int) -> Hmm:
     """blocks: active and symbols of all training documents, which every round reads."""
     model = Hmm.draw(weight, states)
-    names = [f"s{k}" for k in range(states)]
+    names, shapes = _packed_names(), [x.shape for x in (model.start, model.move, model.emit)]
+    ends = np.cumsum([int(np.prod(x)) for x in shapes])
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         counts = blocks.mapInArrow(_train_map(shared, buckets), "key long, " + ", ".join(f"{n} float" for n in names))
-        rows = counts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # a row per bucket and state
+        rows = counts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # the model's size
         shared.destroy()
         if rows.num_rows:
-            keys = rows.column("key").to_numpy()
-            values = np.stack([rows.column(n).to_numpy() for n in names], axis=1)
-            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
-            start[:] = values[keys == -1][0]
-            move[-2 - keys[keys < -1]] = values[keys < -1]
-            emit[keys[keys >= 0]] = values[keys >= 0]
+            flat = np.zeros((-(-int(ends[-1]) // PACKED), PACKED))
+            flat[rows.column("key").to_numpy()] = np.stack([rows.column(n).to_numpy() for n in names], axis=1)
+            start, move, emit = (x.reshape(shape) for x, shape in zip(np.split(flat.ravel(), ends), shapes))
             model = model.learn(start, move, emit, weight)
     return model
 
