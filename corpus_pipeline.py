@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix),
 ]
 
-#: Cross-parsing has no SQL form; the stages are tested against brute force.
+#: Cross-parsing has no SQL form; stages and run() are tested against brute force.
 ORACLE_SQL = None
 
 
