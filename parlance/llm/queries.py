@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, exact_dedup, hmm_score, jaccard_join, language_id, line_dedup, mixing, secret_scan, token_counts, url_filter
+from parlance.llm import (
+    align, decontaminate, exact_dedup, hmm_score, jaccard_join, language_id, line_dedup, mixing, near_vectors, secret_scan, token_counts, url_filter, whitening,
+)
 from parlance.llm.common import table
 
 
@@ -72,6 +74,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "entropy")
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(groups):
+        return F.coalesce(F.sha2(groups, 256), F.lit(""))
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = align.align(spark, table(spark, sf_dir, "documents"), *paths, shape=digest)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -83,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_score": op9_lm_score,
     "op10_language_id": op10_language_id,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 _SITES = ", ".join(f"('{h}{p}')" for h, p, _ in url_filter.BLOCKED_SITES)
@@ -167,4 +189,13 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 k AS (SELECT *, first_value(rid) OVER w AS keep_rid, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text) AS group_size
       FROM d WINDOW w AS (PARTITION BY text ORDER BY doc_id DESC NULLS LAST, rid DESC))
 SELECT doc_id, keep_id, group_size, rid = keep_rid AS kept, sha256(text) AS text_sha256 FROM k""",
+    "op11_near_vectors": f"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings),
+g AS MATERIALIZED (SELECT rid, list_transform(v, lambda c: coalesce(c, 0)) AS v FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+l AS (SELECT a.rid AS x, b.rid AS y FROM g a JOIN g b ON len(a.v) = len(b.v) AND a.rid <> b.rid AND list_cosine_similarity(a.v, b.v) >= {near_vectors.THRESHOLD}::DOUBLE),
+r(x, y) AS (SELECT rid, rid FROM e UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+m AS (SELECT r.x AS rid, min(e.vec_id) AS component_id FROM r JOIN e ON r.y = e.rid GROUP BY r.x),
+k AS (SELECT x AS rid, count(*) AS n_links FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, m.component_id, e.vec_id IS NOT DISTINCT FROM m.component_id AS kept
+FROM e JOIN m ON e.rid = m.rid LEFT JOIN k ON e.rid = k.rid""",
 }

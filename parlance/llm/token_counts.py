@@ -34,7 +34,7 @@ REMEMBERED = 500_000
 LIMIT = 1024
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The format's letter of each byte: printable Latin-1 stands for itself, the rest from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in plain]
@@ -47,7 +47,7 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         ids: dict[str, int] = dict(letters)
         keys = []
         for k, pair in enumerate(model["model"]["merges"]):
