@@ -60,7 +60,7 @@ def texts_of(n=60):
     return pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()[:n]
 
 
-@pytest.mark.parametrize(("remembered", "added"), [(1_000_000, 60_000), (50, 7)])
+@pytest.mark.parametrize(("remembered", "added"), [(1_000_000, 60_000), (3_000, 1_000)])
 def test_slices_equal_a_walk(sides, monkeypatch, remembered, added):
     monkeypatch.setattr(align, "ADDED", added)
     own = align.Aligner(*PATHS, remembered=remembered)
