@@ -50,6 +50,9 @@ MERGE_INSTRUCTION = (
 )
 COMPLETE_INSTRUCTION = "Rewrite the draft as a concise summary using complete sentences only. Preserve its supported facts, remove repetitions, and do not add or reassign actions."
 
+# --- fixed values: records, sheets, reasons -------------------------------------------------
+#: Reasons of repair records.
+WRONG_ACTOR, REPEATED_EVENT, OPPOSED_EVENT = "unsupported_explicit_attribution", "near_duplicate_event", "unsupported_duplicate_attribution"
 SYNTHETIC_INSTRUCTION = "Summarize all three conversations in one concise paragraph."
 
 #: Review sheets: the scale of each rating, and who is named as the reviewer.

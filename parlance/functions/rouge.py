@@ -20,15 +20,19 @@ def rouge_tokens(text: Column, stem: bool = False) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection: each common gram counts as often as the side that has it less.
-    What remains of a side without the gram tells how often it had it, with no lambda per token."""
-
-    def common(both: Column) -> Column:
-        def times(side: str, gram: Column) -> Column:
-            return F.size(both[side]) - F.size(F.array_remove(both[side], gram))
-
-        return F.aggregate(F.array_intersect(both["a"], both["b"]), F.lit(0), lambda n, g: n + F.least(times("a", g), times("b", g)))
-
-    return X.let(F.struct(a.alias("a"), b.alias("b")), common)
+    Both sides are sorted together, so a gram's occurrences follow one another and one pass counts them."""
+    both = F.sort_array(F.concat(F.transform(a, lambda g: F.struct(g.alias("g"), F.lit(0).alias("side"))), F.transform(b, lambda g: F.struct(g.alias("g"), F.lit(1).alias("side")))))
+    first = F.struct(F.lit("").alias("g"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        # a side's occurrences come before the other's: each of the other's takes one of them
+        same = acc["g"] == x["g"]
+        left = F.when(same, acc["a"]).otherwise(F.lit(0))
+        hit = (x["side"] == 1) & (left > acc["b"]) & same
+        taken = F.when(same, acc["b"]).otherwise(F.lit(0)) + hit.cast("int")
+        return F.struct(x["g"].alias("g"), (left + 1 - x["side"]).alias("a"), taken.alias("b"), (acc["n"] + hit.cast("int")).alias("n"))
+
+    return F.aggregate(both, first, step, lambda acc: acc["n"])
 
 
 def lcs(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
-from parlance.operators import facts
+from parlance.operators import facts, similar
 
 RECORD = "struct<sentence:int,`from`:string,`to`:string,action:string,removed_sentence:int,kept_sentence:int,reason:string>"
 
@@ -71,37 +71,12 @@ def _reassign(unit: Column, index: Column, evid: Column) -> Column:
         verb.alias("action"),
         F.lit(None).cast("int").alias("removed_sentence"),
         F.lit(None).cast("int").alias("kept_sentence"),
-        F.lit("unsupported_explicit_attribution").alias("reason"),
+        F.lit(L.WRONG_ACTOR).alias("reason"),
     )
     wrong = F.coalesce(wrong, F.lit(False))
     return F.struct(F.when(wrong, F.regexp_replace(sentence, leading, best["name"])).otherwise(sentence).alias("text"), F.when(wrong, record.cast(RECORD)).alias("record"))
 
 
-def _drop_step(state: Column, pair: Column) -> Column:
-    """Step 2 for one pair, in order of (i, j): nothing if either sentence is gone already."""
-    gone = F.array_contains(state["removed"], pair["i"]) | F.array_contains(state["removed"], pair["j"])
-    same = pair["a"] == pair["b"]
-    repeated = same & (pair["similarity"] >= L.SAME_SPEAKER)
-    opposed = ~same & (pair["similarity"] >= L.CONFLICT)
-    drop_i = (repeated & (pair["n_i"] <= pair["n_j"])) | (opposed & (pair["s_i"] <= L.WEAK) & (pair["s_j"] >= L.STRONG))
-    drop_j = ~drop_i & (repeated | (opposed & (pair["s_j"] <= L.WEAK) & (pair["s_i"] >= L.STRONG)))
-    drop, keep = F.when(drop_i, pair["i"]).otherwise(pair["j"]), F.when(drop_i, pair["j"]).otherwise(pair["i"])
-    record = F.struct(
-        F.lit(None).cast("int").alias("sentence"),
-        F.lit(None).cast("string").alias("from"),
-        F.lit(None).cast("string").alias("to"),
-        F.lit(None).cast("string").alias("action"),
-        drop.cast("int").alias("removed_sentence"),
-        keep.cast("int").alias("kept_sentence"),
-        F.when(repeated, "near_duplicate_event").otherwise("unsupported_duplicate_attribution").alias("reason"),
-    )
-    acts = ~gone & (drop_i | drop_j)
-    return F.struct(
-        F.when(acts, F.concat(state["removed"], F.array(drop))).otherwise(state["removed"]).cast("array<int>").alias("removed"),
-        F.when(acts, F.concat(state["log"], F.array(record.cast(RECORD)))).otherwise(state["log"]).cast(f"array<{RECORD}>").alias("log"),
-    )
-
-
 def repair(df: DataFrame, dialogue: str = "dialogue", summary: str = "summary", into: str = "repaired", log: str = "attribution_repairs") -> DataFrame:
     """Adds the repaired summary and the records of what was done. Null texts count as empty."""
     columns = df.columns
@@ -122,19 +97,18 @@ def repair(df: DataFrame, dialogue: str = "dialogue", summary: str = "summary",
 
     work = work.withColumn("_measured", F.transform("_units", measured))
 
-    def after(left: Column, i: Column) -> Column:
-        return F.transform(
-            F.slice("_measured", i + 2, F.size("_measured")),
-            lambda right, k: F.struct(
-                (i + 1).alias("i"), (i + k + 2).alias("j"), X.jaccard(left["words"], right["words"]).alias("similarity"),
-                left["speaker"].alias("a"), right["speaker"].alias("b"), F.size(left["words"]).alias("n_i"), F.size(right["words"]).alias("n_j"),
-                left["support"].alias("s_i"), right["support"].alias("s_j"),
-            ),
-        )
-
-    pairs = F.filter(F.flatten(F.transform("_measured", after)), lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (p["similarity"] >= min(L.SAME_SPEAKER, L.CONFLICT)))
-    first = F.struct(F.array().cast("array<int>").alias("removed"), F.filter(F.transform("_step", lambda x: x["record"]), lambda r: r.isNotNull()).cast(f"array<{RECORD}>").alias("log"))
-    work = work.withColumn("_pairs", pairs).withColumn("_end", F.aggregate("_pairs", first, _drop_step))
-    left = F.filter(F.transform("_units", lambda u, i: F.when(~F.array_contains(F.col("_end.removed"), i + 1), u["text"])), lambda t: t.isNotNull())
+    work = work.withColumn("_drops", similar.drops(F.col("_measured")))
+    reassigned = F.filter(F.transform("_step", lambda x: x["record"]), lambda r: r.isNotNull())
+    none = F.lit(None)
+    dropped = F.transform(
+        "_drops",
+        lambda d: F.struct(
+            none.cast("int").alias("sentence"), none.cast("string").alias("from"), none.cast("string").alias("to"), none.cast("string").alias("action"),
+            d["drop"].alias("removed_sentence"), d["keep"].alias("kept_sentence"), d["reason"].alias("reason"),
+        ),
+    )
+    work = work.withColumn("_log", F.concat(reassigned.cast(f"array<{RECORD}>"), dropped.cast(f"array<{RECORD}>")))
+    work = work.withColumn("_removed", F.transform("_drops", lambda d: d["drop"]))
+    left = F.filter(F.transform("_units", lambda u, i: F.when(~F.array_contains("_removed", i + 1), u["text"])), lambda t: t.isNotNull())
     joined = F.array_join(left, " ")
-    return work.withColumns({into: F.when(joined == "", X.strip(F.col("_s"))).otherwise(joined), log: F.col("_end.log")}).select(*[c for c in columns if c not in (into, log)], into, log)
+    return work.withColumns({into: F.when(joined == "", X.strip(F.col("_s"))).otherwise(joined), log: F.col("_log")}).select(*[c for c in columns if c not in (into, log)], into, log)

@@ -8,6 +8,7 @@ model goes in through ``arrow_generator``.
 
 from __future__ import annotations
 
+import gc
 import resource
 import sys
 import uuid
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
 from parlance.operators import lineage, structure
+from parlance.operators.tokens import BUILT_IN
 
 Generator = Callable[[Column, int], Column]
 
@@ -34,12 +36,20 @@ def extractive(prompt: Column, cap: int) -> Column:
     return X.strip(F.coalesce(F.array_join(F.slice(X.tokens(packed), 1, cap), " "), F.lit("")))
 
 
-#: Models of this Python worker, by the key of their generator: loaded once, whatever tasks it runs.
+#: The model of this Python worker, by the key of its generator: one at a time, kept for the worker's next tasks.
 _RESIDENT: dict[str, object] = {}
 
 
 def resident(key: str, load: Callable[[], object]) -> object:
+    """The model of ``key``. Another one goes first, before this one is loaded (its ``close``, if it has
+    one, is called), so a worker never holds two."""
     if key not in _RESIDENT:
+        while _RESIDENT:
+            close = getattr(_RESIDENT.popitem()[1], "close", None)
+            if callable(close):
+                close()
+            del close
+        gc.collect()
         _RESIDENT[key] = load()
     return _RESIDENT[key]
 
@@ -68,19 +78,22 @@ def _resident_gb() -> float:
 
 
 def arrow_generator(load: Callable[[], Callable[[list[str], int], list[str]]], peak: PeakMemory | None = None) -> Generator:
-    """A model loaded once per Python worker, fed with Arrow batches. Marked non-deterministic so that
-    the optimizer never repeats a call. peak: notes the workers' memory, the model's included."""
+    """A model loaded once per Python worker, fed with Arrow batches. A null prompt is not sent, and has a
+    null text. Marked non-deterministic so that the optimizer never repeats a call. peak: notes the
+    workers' memory, the model's included."""
     seen = peak.seen if peak is not None else None
 
     key = uuid.uuid4().hex
 
     def generator(prompt: Column, cap: int) -> Column:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = resident(key, load)
             for batch in batches:
-                yield pd.Series(model(batch.tolist(), cap))
-                if seen is not None:
-                    seen.add(_resident_gb())
+                out, asked = pd.Series([None] * len(batch), dtype=object), batch.notna().to_numpy()
+                if asked.any():
+                    out[asked] = resident(key, load)(batch[asked].tolist(), cap)
+                    if seen is not None:
+                        seen.add(_resident_gb())
+                yield out
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return X.strip(F.pandas_udf(run, "string").asNondeterministic()(prompt))
@@ -88,28 +101,19 @@ def arrow_generator(load: Callable[[], Callable[[list[str], int], list[str]]], p
     return generator
 
 
-def encode_udf(load: Callable[[], Callable[[str], int]]):
-    """Token counts of a real tokenizer: an Arrow UDF, the tokenizer loaded once per worker."""
-
-    key = uuid.uuid4().hex
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = resident(key, load)
-        for batch in batches:
-            yield batch.map(count)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "int")
+def asked(condition: Column, prompt: Column, generator: Generator, cap: int) -> Column:
+    """A generation for the rows of the condition; the others' prompts are null, so a model never sees them
+    (a UDF within ``when`` alone would run for all rows)."""
+    return F.when(condition, generator(F.when(condition, prompt), cap))
 
 
-def complete(df: DataFrame, summary: str, generator: Generator) -> DataFrame:
+def complete(df: DataFrame, summary: str, generator: Generator, tokens=BUILT_IN) -> DataFrame:
     """Finishes summaries that end within a sentence: one more generation, used if it is finished;
     else its finished sentences, else the first draft's, else the new text as it is. Only unfinished
-    rows pay for the generation."""
+    rows are sent to the model."""
     columns = df.columns
     prompt = structure.format_prompt(L.COMPLETE_INSTRUCTION, X.strip(F.col(summary)))
-    again = F.when(X.is_incomplete(F.col(summary)), generator(prompt, L.FINAL_OUT))
-    work = df.withColumn("_again", again)
+    work = df.withColumn("_again", asked(X.is_incomplete(F.col(summary)), prompt, generator, L.FINAL_OUT))
     best = F.coalesce(
         F.when(~X.is_incomplete(F.col("_again")), X.strip(F.col("_again"))),
         F.nullif(X.complete_sentences(F.col("_again")), F.lit("")),
@@ -117,46 +121,23 @@ def complete(df: DataFrame, summary: str, generator: Generator) -> DataFrame:
         X.strip(F.col("_again")),
     )
     done = F.when(F.col("_again").isNull(), X.strip(F.col(summary))).otherwise(best)
-    repair_tokens = F.coalesce(X.token_count(F.col("_again")), F.lit(0))
+    repair_tokens = F.coalesce(tokens.count(F.col("_again")), F.lit(0))
     return work.withColumns({summary: done, "completion_tokens": repair_tokens}).select(*columns, "completion_tokens")
 
 
-def numbered(summaries: Column) -> Column:
-    return F.array_join(F.transform(summaries, lambda s, i: F.concat(F.lit("Section "), (i + 1).cast("string"), F.lit(": "), s)), "\n")
-
-
-def merge_prompt(text: Column) -> Column:
-    return structure.format_prompt(L.MERGE_INSTRUCTION, text)
-
-
-def fit_merge_input(summaries: Column, facts: Column, budget: int = L.PROMPT_TOKENS) -> Column:
+def fit_merge_input(summaries: Column, facts: Column, budget: int = L.PROMPT_TOKENS, tokens=BUILT_IN) -> Column:
     """The numbered summaries under as many fact lines (array of up to three) as fit, dropped from the
     end; at last the summaries alone, even if too long."""
-    body = numbered(summaries)
+    body = structure.sections(summaries)
     whole = F.concat(F.array_join(facts, "\n"), F.lit("\n"), body)
     options = [whole, *[F.array_join(F.concat(F.slice(facts, 1, k), F.array(body)), "\n") for k in (2, 1, 0)]]
     out = body
     for option in reversed(options):
-        out = F.when(X.token_count(merge_prompt(option)) <= budget, option).otherwise(out)
+        out = F.when(tokens.count(structure.merge_prompt(option)) <= budget, option).otherwise(out)
     return out
 
 
-def merge_groups(summaries: Column, budget: int = L.GROUP_TOKENS) -> Column:
-    """array<array<string>>: greedy groups whose prompt stays within the budget."""
-    first = F.struct(F.array().cast("array<array<string>>").alias("done"), X.no_strings().alias("open"))
-
-    def step(acc: Column, s: Column) -> Column:
-        longer = F.concat(acc["open"], F.array(s))
-        full = (F.size(acc["open"]) > 0) & (X.token_count(merge_prompt(numbered(longer))) > budget)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(s)).otherwise(longer).alias("open"),
-        )
-
-    return F.aggregate(summaries, first, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-
-
-def merge_rounds(spark: SparkSession, df: DataFrame, generator: Generator, key: str, summaries: str = "summaries", facts: str = "facts", cut=None, max_rounds: int = 16) -> DataFrame:
+def merge_rounds(spark: SparkSession, df: DataFrame, generator: Generator, key: str, summaries: str = "summaries", facts: str = "facts", cut=None, max_rounds: int = 16, tokens=BUILT_IN) -> DataFrame:
     """df: key, summaries (array), facts (array of lines). Returns key, summary, merge_tokens,
     error_code. Each round merges the groups of every dialogue at once; a dialogue whose merge input
     fits is finished in that round. ``cut`` writes a round's rows and reads them again."""
@@ -164,22 +145,23 @@ def merge_rounds(spark: SparkSession, df: DataFrame, generator: Generator, key:
     todo = df.select(key, F.col(summaries).alias("_s"), F.col(facts).alias("_f"), F.lit(0).alias("_n"))
     finished: DataFrame | None = None
     for k in range(1, max_rounds + 1):
-        work = todo.withColumn("_input", fit_merge_input(F.col("_s"), F.col("_f")))
-        fits = (F.size("_s") == 1) | (X.token_count(merge_prompt(F.col("_input"))) <= L.PROMPT_TOKENS)
-        last = work.filter(fits).select(key, generator(merge_prompt(F.col("_input")), L.FINAL_OUT).alias("summary"), "_n")
-        last = last.select(key, "summary", (F.col("_n") + X.token_count(F.col("summary"))).alias("merge_tokens"), F.lit(None).cast("string").alias("error_code"))
-        rest = work.filter(~fits).withColumn("_groups", merge_groups(F.col("_s")))
+        work = todo.withColumn("_input", fit_merge_input(F.col("_s"), F.col("_f"), tokens=tokens))
+        fits = (F.size("_s") == 1) | (tokens.count(structure.merge_prompt(F.col("_input"))) <= L.PROMPT_TOKENS)
+        last = work.filter(fits).select(key, generator(structure.merge_prompt(F.col("_input")), L.FINAL_OUT).alias("summary"), "_n")
+        last = last.select(key, "summary", (F.col("_n") + tokens.count(F.col("summary"))).alias("merge_tokens"), F.lit(None).cast("string").alias("error_code"))
+        rest = work.filter(~fits).withColumn("_groups", tokens.groups(F.col("_s")))
         stuck = rest.filter(F.size("_groups") < 2).select(key, F.lit(None).cast("string").alias("summary"), F.col("_n").alias("merge_tokens"), F.lit("MERGE_NOT_REDUCIBLE").alias("error_code"))
         done = last.unionByName(stuck)
         finished = done if finished is None else finished.unionByName(done)
         parts = rest.filter(F.size("_groups") > 1).select(key, "_f", "_n", F.posexplode("_groups").alias("_at", "_group"))
-        prompts = parts.withColumn("_text", generator(merge_prompt(fit_merge_input(F.col("_group"), X.no_strings())), L.MERGE_OUT))
+        prompts = parts.withColumn("_text", generator(structure.merge_prompt(fit_merge_input(F.col("_group"), X.no_strings(), tokens=tokens)), L.MERGE_OUT))
+        prompts = prompts.withColumn("_used", tokens.count(F.col("_text")))
         todo = lineage.named(
             cut,
             prompts.groupBy(key).agg(
                 F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]).alias("_s"),
                 F.first("_f").alias("_f"),
-                (F.first("_n") + F.sum(X.token_count(F.col("_text")))).cast("int").alias("_n"),
+                (F.first("_n") + F.sum("_used")).cast("int").alias("_n"),
             ),
             f"merge round {k}",
         )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
-from parlance.operators import facts
+from parlance.operators import facts, similar
 
 
 def unsupported_people(summary: Column, dialogue_words: Column) -> Column:
@@ -24,32 +24,11 @@ def numbers_without(found: Column, other: Column) -> Column:
     return F.transform(keys, lambda k: F.element_at(F.filter(keyed, lambda x: x["key"] == k), -1)["raw"])
 
 
-def sentence_pairs(units: Column) -> Column:
-    """units: array<struct<words, speaker>>. Pairs i < j (from 1) that share a word, with their similarity;
-    the others go before they are gathered, so the array follows what is alike, not the square."""
-
-    def after(left: Column, i: Column) -> Column:
-        rest = F.slice(units, i + 2, F.size(units))
-        pairs = F.transform(
-            rest,
-            lambda right, k: F.struct(
-                (i + 1).alias("i"),
-                (i + k + 2).alias("j"),
-                X.jaccard(left["words"], right["words"]).alias("similarity"),
-                left["speaker"].alias("a"),
-                right["speaker"].alias("b"),
-            ),
-        )
-        return F.filter(pairs, lambda p: p["similarity"] > 0)
-
-    return F.flatten(F.transform(units, after))
-
-
 def with_evidence(df: DataFrame, dialogue: str, summary: str) -> DataFrame:
     """Adds ``_speakers``, ``_numbers``, ``_words``, ``_pairs``: what the flags are made of."""
     df = df.withColumns({"_speakers": facts.speakers(F.col(dialogue)), "_numbers": facts.numbers(F.col(dialogue)), "_words": F.array_distinct(F.transform(X.words(F.col(dialogue)), F.lower))})
     df = df.withColumn("_units", F.transform(X.sentences(F.col(summary)), lambda s: F.struct(X.content_words(s).alias("words"), X.primary_speaker(s, F.col("_speakers")).alias("speaker"))))
-    return df.withColumn("_pairs", sentence_pairs(F.col("_units"))).drop("_units")
+    return df.withColumn("_pairs", similar.pairs(F.col("_units"), min(L.DUPLICATE, L.CONFLICT))).drop("_units")
 
 
 _LIST = "array<string>"

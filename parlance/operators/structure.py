@@ -1,8 +1,8 @@
 """Structure of long dialogues: repeated blocks, chunks under a token budget, truncation, routing.
 
 Token counts come from the built-in white-space tokenizer, whose counts add up when texts are
-joined; that is what lets a fold pack chunks in one pass. A tokenizer without that property runs
-through ``parlance.operators.generation.encode_udf`` on whole candidates instead.
+joined; that is what lets a fold pack chunks in one pass. ``parlance.operators.tokens.Subword`` has the same
+operators for tokenizers without that property.
 """
 
 from __future__ import annotations
@@ -109,11 +109,13 @@ def chunks(turns: Column, budget: int = L.CHUNK_TOKENS, overlap: int = L.OVERLAP
     return pack(F.flatten(F.transform(turns, pieces)), budget, "\n")
 
 
-def chunk_dialogues(df: DataFrame, dialogue: str = "dialogue", budget: int = L.CHUNK_TOKENS, into: str = "chunks", strict: bool = False) -> DataFrame:
+def chunk_dialogues(df: DataFrame, dialogue: str = "dialogue", budget: int = L.CHUNK_TOKENS, into: str = "chunks", strict: bool = False, tokens=None) -> DataFrame:
     """Adds chunks and error_code: EMPTY_DIALOGUE for a blank or null dialogue, COVERAGE if the chunks
-    and the turns do not hold the same indexes. strict raises instead."""
+    and the turns do not hold the same indexes. strict raises instead. tokens: the tokenizer, of
+    ``parlance.operators.tokens`` (none: the built-in one)."""
+    packed = chunks if tokens is None else tokens.chunks
     columns = [c for c in df.columns if c not in (into, "error_code")]
-    work = df.withColumn("_turns", X.turns(F.coalesce(F.col(dialogue), F.lit("")))).withColumn(into, chunks(F.col("_turns"), budget))
+    work = df.withColumn("_turns", X.turns(F.coalesce(F.col(dialogue), F.lit("")))).withColumn(into, packed(F.col("_turns"), budget))
     expected = F.transform("_turns", lambda t: t["idx"])
     covered = F.array_distinct(F.flatten(F.transform(into, lambda c: c["turn_indices"])))
     differ = (F.size(F.array_except(expected, covered)) > 0) | (F.size(F.array_except(covered, expected)) > 0)
@@ -123,13 +125,27 @@ def chunk_dialogues(df: DataFrame, dialogue: str = "dialogue", budget: int = L.C
     return work.withColumn("error_code", code).select(*columns, into, "error_code")
 
 
-def format_prompt(instruction: str, text: Column) -> Column:
-    """The public instruction template with an input part."""
+def prompt_parts(instruction: str) -> tuple[str, str]:
+    """What the public instruction template has before and after its input."""
     head = (
         "Below is an instruction that describes a task, paired with an input that provides further context. "
         f"Write a response that appropriately completes the request.\n\n### Instruction:\n{instruction}\n\n### Input:\n"
     )
-    return F.concat(F.lit(head), text, F.lit("\n\n### Response:\n"))
+    return head, "\n\n### Response:\n"
+
+
+def format_prompt(instruction: str, text: Column) -> Column:
+    head, tail = prompt_parts(instruction)
+    return F.concat(F.lit(head), text, F.lit(tail))
+
+
+def sections(summaries: Column) -> Column:
+    """The summaries as numbered lines."""
+    return F.array_join(F.transform(summaries, lambda s, i: F.concat(F.lit("Section "), (i + 1).cast("string"), F.lit(": "), s)), "\n")
+
+
+def merge_prompt(text: Column) -> Column:
+    return format_prompt(L.MERGE_INSTRUCTION, text)
 
 
 def direct_prompt(text: Column, budget: int = L.PROMPT_TOKENS) -> Column:

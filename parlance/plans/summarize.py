@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
 from parlance.operators import attribution, evaluation, facts, generation, lineage, reliability, structure
+from parlance.operators.tokens import BUILT_IN
 from parlance.sources import files
 
 
@@ -23,13 +24,13 @@ def dialogues_of(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("dialogue"))
 
 
-def prepare(df: DataFrame, dialogue: str = "dialogue", mode: str = "auto") -> DataFrame:
+def prepare(df: DataFrame, dialogue: str = "dialogue", mode: str = "auto", tokens=BUILT_IN) -> DataFrame:
     """Adds clean (the collapsed dialogue), deduplicated_turns, source_facts, full_tokens, actual_mode
     and error_code."""
     columns = df.columns
     work = df.withColumn("_c", structure.collapse(X.turns(F.coalesce(F.col(dialogue), F.lit(""))), F.coalesce(F.col(dialogue), F.lit(""))))
     work = work.withColumns({"clean": F.col("_c.text"), "deduplicated_turns": structure.deduplicated_turns(F.col("_c.provenance"))})
-    work = work.withColumn("full_tokens", X.token_count(structure.format_prompt(L.DIRECT_INSTRUCTION, F.col("clean"))))
+    work = work.withColumn("full_tokens", tokens.count(structure.format_prompt(L.DIRECT_INSTRUCTION, F.col("clean"))))
     work = work.withColumns(
         {
             "source_facts": facts.fact_struct(F.col("clean")),
@@ -42,34 +43,36 @@ def prepare(df: DataFrame, dialogue: str = "dialogue", mode: str = "auto") -> Da
 
 
 def summarize(
-    spark: SparkSession, df: DataFrame, generator: generation.Generator = generation.extractive, key: str = "conv_id", dialogue: str = "dialogue", mode: str = "auto", budget: int = L.CHUNK_TOKENS, cut=None
+    spark: SparkSession, df: DataFrame, generator: generation.Generator = generation.extractive, key: str = "conv_id", dialogue: str = "dialogue", mode: str = "auto", budget: int = L.CHUNK_TOKENS, cut=None, tokens=BUILT_IN
 ) -> DataFrame:
     """One row per dialogue with the whole result; error_code instead of an exception for a dialogue
     that cannot be done. Direct and hierarchical rows are different frames, so only long dialogues pay
     for chunks and merging; all chunks of all dialogues are generated in one parallel stage. With
     ``lineage.Stages`` as the cut, seconds and rows of each stage are measured; the finished rows are a
-    stage then, too."""
+    stage then, too. tokens: the tokenizer of all budgets and counts. Every generation is behind a cut, so no
+    action on the result asks the model again."""
     cut = cut or lineage.cut
-    ready = lineage.named(cut, prepare(df.select(key, F.col(dialogue).alias("dialogue")), "dialogue", mode), "prepare")
+    ready = lineage.named(cut, prepare(df.select(key, F.col(dialogue).alias("dialogue")), "dialogue", mode, tokens), "prepare")
     good = ready.filter("error_code is null")
 
-    direct = good.filter(F.col("actual_mode") == "direct").withColumn("_p", structure.direct_prompt(F.col("clean")))
+    direct = good.filter(F.col("actual_mode") == "direct").withColumn("_p", tokens.direct(F.col("clean")))
+    fits = F.col("_p").isNotNull()
     direct = direct.withColumns(
         {
-            "error_code": F.when(F.col("_p").isNull(), "DIRECT_TOO_LONG"),
-            "summary": F.when(F.col("_p").isNotNull(), generator(F.col("_p.prompt"), L.FINAL_OUT)),
+            "error_code": F.when(~fits, "DIRECT_TOO_LONG"),
+            "summary": generation.asked(fits, F.col("_p.prompt"), generator, L.FINAL_OUT),
             "truncated": F.coalesce(F.col("_p.truncated"), F.lit(False)),
             "input_coverage": F.col("_p.coverage"),
         }
     )
     no_chunks = F.array().cast(f"array<{structure.CHUNK}>")
-    direct = direct.withColumns({"chunks": no_chunks, "chunk_summaries": X.no_strings(), "generated": X.token_count(F.coalesce("summary", F.lit("")))})
+    direct = direct.withColumns({"chunks": no_chunks, "chunk_summaries": X.no_strings(), "generated": tokens.count(F.coalesce("summary", F.lit("")))})
 
     long = good.filter(F.col("actual_mode") == "hierarchical").drop("error_code")
-    long = lineage.named(cut, structure.chunk_dialogues(long, "clean", budget), "chunks")
+    long = lineage.named(cut, structure.chunk_dialogues(long, "clean", budget, tokens=tokens), "chunks")
     parts = long.filter("error_code is null").select(key, F.posexplode("chunks").alias("_at", "_chunk"))
     prompt = structure.format_prompt(L.CHUNK_INSTRUCTION, F.col("_chunk.text"))
-    parts = parts.select(key, "_at", F.when(X.token_count(prompt) <= L.PROMPT_TOKENS, generator(prompt, L.CHUNK_OUT)).alias("_text"))
+    parts = parts.select(key, "_at", generation.asked(tokens.count(prompt) <= L.PROMPT_TOKENS, prompt, generator, L.CHUNK_OUT).alias("_text"))
     merged_in = parts.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]).alias("chunk_summaries"), F.bool_or(F.coalesce(F.col("_text") == "", F.lit(True))).alias("_bad")
     )
@@ -77,9 +80,9 @@ def summarize(
     code = F.coalesce("error_code", F.when(F.col("_bad"), "SECTION_FAILED"))
     long = long.withColumn("error_code", code).drop("_bad")
     several = long.filter("error_code is null and size(chunk_summaries) > 1")
-    merged = generation.merge_rounds(spark, several.withColumn("facts", facts.facts_lines(F.col("source_facts"))), generator, key, "chunk_summaries", "facts", cut)
+    merged = generation.merge_rounds(spark, several.withColumn("facts", facts.facts_lines(F.col("source_facts"))), generator, key, "chunk_summaries", "facts", cut, tokens=tokens)
     long = long.join(merged.withColumnRenamed("error_code", "_merge_error"), key, "left")
-    summed = F.aggregate(F.coalesce("chunk_summaries", X.no_strings()), F.lit(0), lambda n, s: n + X.token_count(F.coalesce(s, F.lit(""))))
+    summed = tokens.total(F.col("chunk_summaries"))
     long = long.withColumns(
         {
             "error_code": F.coalesce("error_code", "_merge_error"),
@@ -91,8 +94,9 @@ def summarize(
     )
     common = [key, "dialogue", "clean", "deduplicated_turns", "source_facts", "requested_mode", "actual_mode", "error_code", "summary", "truncated", "input_coverage", "chunks", "chunk_summaries", "generated"]
     both = lineage.named(cut, direct.select(*common).unionByName(long.select(*common)), "drafts")
-    done = generation.complete(both.filter("error_code is null"), "summary", generator)
+    done = lineage.named(cut, generation.complete(both.filter("error_code is null"), "summary", generator, tokens), "completed")
     done = attribution.repair(done, "clean", "summary", "_repaired").withColumn("summary", F.col("_repaired")).drop("_repaired")
+    done = lineage.named(cut, done, "repaired")  # what follows looks at the repaired text many times
     done = done.withColumn("error_code", F.when(F.col("summary") == "", "EMPTY_SUMMARY"))
     done = reliability.assess(done, "clean", "summary", F.col("truncated"))
     failed = ready.filter("error_code is not null").select(key, "requested_mode", "actual_mode", "error_code").unionByName(both.filter("error_code is not null").select(key, "requested_mode", "actual_mode", "error_code"))
@@ -100,13 +104,13 @@ def summarize(
         key, "error_code", "summary", "requested_mode", "actual_mode",
         F.greatest(F.lit(1), F.size("chunks")).alias("chunk_count"), "chunks", "chunk_summaries", "input_coverage", "truncated", "source_facts",
         "deduplicated_turns", (F.col("deduplicated_turns") > 0).alias("deduplication_applied"), "attribution_repairs",
-        (F.col("generated") + F.col("completion_tokens")).alias("generated_tokens_total"), X.token_count(F.col("summary")).alias("final_tokens"), "reliability",
+        (F.col("generated") + F.col("completion_tokens")).alias("generated_tokens_total"), tokens.count(F.col("summary")).alias("final_tokens"), "reliability",
     )
     result = result.unionByName(failed, allowMissingColumns=True)
     return cut(result, "finish") if isinstance(cut, lineage.Stages) else result
 
 
-def evaluate(spark: SparkSession, rows: DataFrame, generator: generation.Generator = generation.extractive, done: DataFrame | None = None, cut=None, peak: generation.PeakMemory | None = None) -> DataFrame:
+def evaluate(spark: SparkSession, rows: DataFrame, generator: generation.Generator = generation.extractive, done: DataFrame | None = None, cut=None, peak: generation.PeakMemory | None = None, tokens=BUILT_IN) -> DataFrame:
     """rows: source_index, eval_type, input_tokens, input, output. Both modes of every row that has no
     record yet, scored: one row per (source_index, mode). peak: the one that the generator notes its
     workers' memory in; peak_memory_gb is then what a mode's run has reached, for all its rows. Without it
@@ -114,7 +118,7 @@ def evaluate(spark: SparkSession, rows: DataFrame, generator: generation.Generat
     rows = evaluation.pending(rows, done) if done is not None else rows
     out: DataFrame | None = None
     for mode in ("direct", "hierarchical"):
-        result = summarize(spark, rows.select("source_index", "input"), generator, "source_index", "input", mode, cut=cut)
+        result = summarize(spark, rows.select("source_index", "input"), generator, "source_index", "input", mode, cut=cut, tokens=tokens)
         if peak is not None:  # known once the mode has run
             result = lineage.named(cut or lineage.cut, result, mode)
         gb = F.lit(peak.gb if peak is not None else None).cast("double")
@@ -159,11 +163,13 @@ def smoke(spark: SparkSession, df: DataFrame, generator: generation.Generator =
     return found | ({"memory": peak.gb is not None and peak.gb <= evaluation.MEMORY_GB} if peak is not None else {})
 
 
-def compare(spark: SparkSession, df: DataFrame, jobs: Iterable[tuple[str, generation.Generator, str]], key: str = "conv_id", cut=None) -> DataFrame:
-    """The same dialogues through several (label, generator, mode) jobs, one job after the other, so
-    that one model at a time is resident."""
+def compare(spark: SparkSession, df: DataFrame, jobs: Iterable[tuple[str, generation.Generator, str]], key: str = "conv_id", cut=None, tokens=BUILT_IN) -> DataFrame:
+    """The same dialogues through several (label, generator, mode) jobs. Each job is cut before the next
+    one begins, and a worker lets its model go before it loads the next one, so one model at a time is
+    resident there. (Spark ends a worker that has had no task for a minute, and its model with it.)"""
     out: DataFrame | None = None
     for label, generator, mode in jobs:
-        result = summarize(spark, df, generator, key, mode=mode, cut=cut).withColumn("job", F.lit(label))
+        result = summarize(spark, df, generator, key, mode=mode, cut=cut, tokens=tokens).withColumn("job", F.lit(label))
+        result = lineage.named(cut or lineage.cut, result, f"job {label}")
         out = result if out is None else out.unionByName(result)
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parlance.functions import lexicon as L
 from parlance.functions import rouge as R
 from parlance.functions import text as X
-from parlance.operators import attribution, evaluation, facts, reliability, structure
+from parlance.operators import attribution, bootstrap, evaluation, facts, reliability, structure
 from parlance.plans import summarize
 from parlance.sources.files import table
 
@@ -218,24 +218,6 @@ def attribution_conflicts(spark, sf_dir):
     return c.select("o", F.col("c.sentences")[0].cast("long").alias("i"), F.col("c.sentences")[1].cast("long").alias("j"), F.col("c.people")[0].alias("a"), F.col("c.people")[1].alias("b"))
 
 
-#: (name, dialogue, summary, repaired, records as reason:sentence numbers)
-GOLDEN = (
-    ("wrong actor and duplicate", "Mara: I will book the room for Friday.\nIvo: I will send the signed contract to the client.\nMara: Fine.\nIvo: Good.",
-     "Mara will send the signed contract to the client. Ivo will send the signed contract to the client.",
-     "Ivo will send the signed contract to the client.", "unsupported_explicit_attribution:1;near_duplicate_event:1>2"),
-    ("two wrong actors", "Mara: I will paint the fence.\nIvo: I will water the garden.",
-     "Ivo will paint the fence. Mara will water the garden.", "Mara will paint the fence. Ivo will water the garden.",
-     "unsupported_explicit_attribution:1;unsupported_explicit_attribution:2"),
-    ("told to", "Mara: Ivo, please order the new chairs.\nIvo: Sure.", "Ivo will order the new chairs.", "Ivo will order the new chairs.", ""),
-    ("no speakers", "just a note", "Nobody will do it. Unfinished", "Nobody will do it.", ""),
-    ("decimal split", "Mara: It costs 3.30 today.", "It costs 3.30 today.", "It costs 3. 30 today.", ""),
-    ("nothing left", "Mara: Hi.", "no stop here ", "no stop here", ""),
-    ("opposed duplicate", "Mara: I repaired the broken kitchen window yesterday.\nIvo: Great news.",
-     "Ivo repaired the broken kitchen window yesterday. Mara repaired the broken kitchen window yesterday.",
-     "Mara repaired the broken kitchen window yesterday.", "unsupported_duplicate_attribution:1>2"),
-)
-
-
 def _log_text(log: Column) -> Column:
     def one(r: Column) -> Column:
         where = F.when(r["sentence"].isNotNull(), r["sentence"].cast("string")).otherwise(F.concat_ws(">", r["removed_sentence"], r["kept_sentence"]))
@@ -245,8 +227,9 @@ def _log_text(log: Column) -> Column:
 
 
 def attribution_repair(spark, sf_dir):
-    rows = spark.createDataFrame([g[:3] for g in GOLDEN], "name string, dialogue string, summary string")
-    return attribution.repair(rows).select("name", "repaired", _log_text(F.col("attribution_repairs")).alias("log"))
+    """What repair does to all orders' summaries: records per reason."""
+    log = _rows(attribution.repair(orders_as_pairs(spark, sf_dir)), "o", r=F.col("attribution_repairs"))
+    return log.groupBy(F.col("r.reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o").alias("n_orders"))
 
 
 def repair_log(spark, sf_dir):
@@ -257,12 +240,12 @@ def repair_log(spark, sf_dir):
 # ---- evaluation ----------------------------------------------------------------------------
 
 
-def _rouge_pairs(spark, sf_dir) -> DataFrame:
+def _rouge_pairs(spark, sf_dir, stem: bool = False) -> DataFrame:
     """Each document against one benchmark passage: the one at its id modulo their number."""
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("reference"))
     n = passages.count()
     docs = documents(spark, sf_dir).withColumn("item_id", F.pmod("doc_id", F.lit(n)))
-    return docs.join(passages, "item_id").select("doc_id", R.rouge_tokens(F.col("reference")).alias("r"), R.rouge_tokens(F.col("text")).alias("p"))
+    return docs.join(passages, "item_id").select("doc_id", R.rouge_tokens(F.col("reference"), stem).alias("r"), R.rouge_tokens(F.col("text"), stem).alias("p"))
 
 
 def _rounded(prefix: str, s: Column) -> list[Column]:
@@ -277,6 +260,15 @@ def rouge_1_2(spark, sf_dir):
     return work.select("doc_id", *_rounded("rouge1", F.col("one")), *_rounded("rouge2", F.col("two")))
 
 
+def rouge_stemmed(spark, sf_dir):
+    """ROUGE-1 and ROUGE-2 of stemmed tokens, as evaluated."""
+    work = _rouge_pairs(spark, sf_dir, stem=True).withColumns({"r2": X.n_grams(F.col("r"), 2), "p2": X.n_grams(F.col("p"), 2)})
+    one = R.scores(R.overlap(F.col("r"), F.col("p")), F.size("r"), F.size("p"))
+    two = R.scores(R.overlap(F.col("r2"), F.col("p2")), F.size("r2"), F.size("p2"))
+    work = work.withColumns({"one": one, "two": two})
+    return work.select("doc_id", *_rounded("rouge1", F.col("one")), *_rounded("rouge2", F.col("two")))
+
+
 def rouge_l(spark, sf_dir):
     work = _rouge_pairs(spark, sf_dir)
     work = work.withColumn("l", R.scores(R.lcs(F.col("p"), F.col("r")), F.size("r"), F.size("p")))
@@ -296,18 +288,29 @@ def _scored(spark, sf_dir) -> DataFrame:
         F.when(F.col("o_orderkey") % 5 < 3, "real_long").otherwise("synthetic_stress").alias("eval_type"),
         F.explode(F.array(F.lit("direct"), F.lit("hierarchical"))).alias("mode"),
     )
-    late = (F.col("mode") == "hierarchical").cast("int")
+    k, late = F.col("source_index"), (F.col("mode") == "hierarchical").cast("int")
     return rows.select(
         "*",
-        ((F.col("source_index") % 13 + 3 * late) / 16.0).alias("rougeL"),
-        ((F.col("source_index") % 7 + 2 * late) / 8.0).alias("rouge1_recall"),
-        ((F.col("source_index") % 4 + 1 - late) / 2.0).alias("critical"),
+        ((2 + k % 13 + late * (k % 7 - 2)) / 24.0).alias("rougeL"),
+        ((1 + k % 7 + late * (k % 5 - 1)) / 16.0).alias("rouge1_recall"),
+        ((2 + k % 4 - late * (k % 3)) / 2.0).alias("critical"),
         F.lit("x").alias("summary"),
         F.lit(1.0).alias("input_coverage"),
         F.lit(2.0).alias("peak_memory_gb"),
     )
 
 
+def _document_scores(spark, sf_dir) -> DataFrame:
+    """Scores of two modes per document, made from its id and its length."""
+    k, n = F.col("doc_id"), F.length(F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "documents").select(k.alias("source_index"), (n % 5).alias("eval"), n.alias("n"))
+    rows = rows.withColumn("eval_type", F.when(F.col("eval") < 3, "real_long").otherwise("synthetic_stress"))
+    rows = rows.select("source_index", "eval_type", "n", F.explode(F.array(F.lit("direct"), F.lit("hierarchical"))).alias("mode"))
+    late = (F.col("mode") == "hierarchical").cast("int")
+    level = (F.col("n") % 101 + late * (F.col("source_index") % 29 - 9)) / 128.0
+    return rows.select("source_index", "eval_type", "mode", *[level.alias(c) for c in ("rougeL", "rouge1_recall", "critical")])
+
+
 def mode_means(spark, sf_dir):
     out = evaluation.mode_means(_scored(spark, sf_dir), ("rougeL", "rouge1_recall", "critical"))
     return out.select("mode", "n", *[F.round(c, 9).alias(c) for c in ("rougeL", "rouge1_recall", "critical")])
@@ -319,8 +322,25 @@ def paired_delta_report(spark, sf_dir):
 
 
 def gates(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
-    return evaluation.gates(scored, evaluation.paired(scored))
+    """The gates of all orders' scores, and with one fault each: rows that are not covered, summaries that are
+    empty, memory that is over the limit or was not measured, no gain."""
+    k, long = F.col("source_index"), F.col("mode") == "hierarchical"
+    faults = {
+        "none": {},
+        "coverage": {"input_coverage": F.when(long & (k % 9 == 0), 0.75).otherwise(F.col("input_coverage"))},
+        "summary": {"summary": F.when(long & (k % 9 == 0), "").otherwise(F.col("summary"))},
+        "memory": {"peak_memory_gb": F.when(k % 9 == 0, 6.0).otherwise(F.col("peak_memory_gb"))},
+        "unmeasured": {"peak_memory_gb": F.when(k % 9 > 0, F.col("peak_memory_gb"))},
+        "direct rows": {"summary": F.when(long, F.col("summary")).otherwise("")},
+        "no gain": {"rouge1_recall": k % 7 / 16.0, "critical": k % 4 + 1.0},
+        "worse": {"rougeL": F.when(long, 0.0).otherwise(F.col("rougeL"))},
+    }
+    scored, out = _scored(spark, sf_dir), None
+    for name, fault in faults.items():
+        rows = scored.withColumns(fault) if fault else scored
+        one = evaluation.gates(rows, evaluation.paired(rows)).withColumn("fault", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def group_counts(spark, sf_dir):
@@ -333,13 +353,18 @@ def mode_extremes(spark, sf_dir):
     return evaluation.extremes(_scored(spark, sf_dir).withColumns(uneven))
 
 
+def interval_report(spark, sf_dir):
+    out = evaluation.interval_report(evaluation.paired(_scored(spark, sf_dir)))
+    return out.select("eval_type", "n", "rougeL_delta", "rougeL_low", "rougeL_high", "rouge1_recall_delta", "critical_delta", "critical_relative_change")
+
+
 def bootstrap_ci(spark, sf_dir):
-    """The published method over the paired deltas of all orders."""
-    return evaluation.bootstrap_ci(evaluation.paired(_scored(spark, sf_dir)), "d_critical")
+    """The published method over the paired deltas of all documents."""
+    return bootstrap.bootstrap_ci(evaluation.paired(_document_scores(spark, sf_dir)), "d_critical")
 
 
 def poisson_bootstrap_ci(spark, sf_dir):
-    return evaluation.poisson_bootstrap_ci(evaluation.paired(_scored(spark, sf_dir)), "d_critical")
+    return bootstrap.poisson_bootstrap_ci(evaluation.paired(_document_scores(spark, sf_dir)), "d_critical")
 
 
 def topk_longest(spark, sf_dir):
@@ -399,7 +424,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentence_split_a, sentence_units_b, complete_sentences_c, incomplete_flag, content_words, action_words, primary_speaker,
         route_mode, long_filter, collapse_repeated, token_windows, chunk_pack, chunk_coverage, direct_truncate,
         reliability_flags, reliability_reasons, risk_histogram, reason_display, number_support, duplicate_pairs, attribution_conflicts,
-        attribution_repair, repair_log, rouge_1_2, rouge_l, error_proxies, mode_means, paired_delta_report, gates, group_counts, mode_extremes,
-        bootstrap_ci, poisson_bootstrap_ci, topk_longest, resume_anti_join, blinded_sheet, synthetic_builder, summarize_pipeline, evaluate_modes,
+        attribution_repair, repair_log, rouge_1_2, rouge_stemmed, rouge_l, error_proxies, mode_means, paired_delta_report, gates, group_counts, mode_extremes,
+        interval_report, bootstrap_ci, poisson_bootstrap_ci, topk_longest, resume_anti_join, blinded_sheet, synthetic_builder, summarize_pipeline, evaluate_modes,
     )
 }

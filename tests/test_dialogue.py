@@ -1,6 +1,5 @@
 """Structure, reliability, repair, generation and evaluation on golden rows."""
 
-import inspect
 import json
 import random
 
@@ -103,9 +102,28 @@ def test_route():
         structure.route("other", F.lit(1))
 
 
+#: (name, dialogue, summary, repaired, records as reason:sentence numbers)
+GOLDEN = (
+    ("wrong actor and duplicate", "Mara: I will book the room for Friday.\nIvo: I will send the signed contract to the client.\nMara: Fine.\nIvo: Good.",
+     "Mara will send the signed contract to the client. Ivo will send the signed contract to the client.",
+     "Ivo will send the signed contract to the client.", "unsupported_explicit_attribution:1;near_duplicate_event:1>2"),
+    ("two wrong actors", "Mara: I will paint the fence.\nIvo: I will water the garden.",
+     "Ivo will paint the fence. Mara will water the garden.", "Mara will paint the fence. Ivo will water the garden.",
+     "unsupported_explicit_attribution:1;unsupported_explicit_attribution:2"),
+    ("told to", "Mara: Ivo, please order the new chairs.\nIvo: Sure.", "Ivo will order the new chairs.", "Ivo will order the new chairs.", ""),
+    ("no speakers", "just a note", "Nobody will do it. Unfinished", "Nobody will do it.", ""),
+    ("decimal split", "Mara: It costs 3.30 today.", "It costs 3.30 today.", "It costs 3. 30 today.", ""),
+    ("nothing left", "Mara: Hi.", "no stop here ", "no stop here", ""),
+    ("opposed duplicate", "Mara: I repaired the broken kitchen window yesterday.\nIvo: Great news.",
+     "Ivo repaired the broken kitchen window yesterday. Mara repaired the broken kitchen window yesterday.",
+     "Mara repaired the broken kitchen window yesterday.", "unsupported_duplicate_attribution:1>2"),
+)
+
+
 def test_repair_golden(spark):
-    got = {r.name: (r.repaired, r.log) for r in Q.attribution_repair(spark, "").collect()}
-    assert got == {name: (repaired, log) for name, _, _, repaired, log in Q.GOLDEN}
+    rows = spark.createDataFrame([g[:3] for g in GOLDEN], "name string, dialogue string, summary string")
+    repaired = attribution.repair(rows).select("name", "repaired", Q._log_text(F.col("attribution_repairs")).alias("log"))
+    assert {r.name: (r.repaired, r.log) for r in repaired.collect()} == {name: (repaired, log) for name, _, _, repaired, log in GOLDEN}
 
 
 def test_reliability(spark):
@@ -214,50 +232,6 @@ def test_synthetic_builder(spark):
         evaluation.synthetic_dialogues(df.limit(80), "val").collect()
 
 
-def test_bootstrap_equals_numpy(spark):
-    x = np.arange(12) / 7.0
-    df = spark.createDataFrame([(f"{i:02d}", "real_long", float(v)) for i, v in enumerate(x)], "source_index string, eval_type string, d double")
-    r = evaluation.bootstrap_ci(df, "d").head()
-    rng = np.random.default_rng(42)
-    low, high = np.quantile(x[rng.integers(0, 12, size=(10000, 12))].mean(1), [0.025, 0.975])
-    assert (r.low, r.high) == (low, high)
-    p = evaluation.poisson_bootstrap_ci(df, "d", samples=400).head()
-    assert p.low < x.mean() < p.high and abs(p.low - low) < 0.15
-
-
-def test_bootstrap_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(evaluation, "DRAWN", 64)  # blocks of 1 to 5 of the 200 resamples
-    rows = [(f"{i:02d}", "a" if i < 13 else "b", i % 5 / 7.0) for i in range(50)]
-    df = spark.createDataFrame(rows, "source_index string, eval_type string, d double")
-    got = evaluation.bootstrap_ci(df, "d", groups=("a", "b"), samples=200).collect()
-    rng = np.random.default_rng(42)
-    for r, x in zip(got, (np.array([v for _, g, v in rows if g == "a"]), np.array([v for _, g, v in rows if g == "b"]))):
-        low, high = np.quantile(x[rng.integers(0, len(x), size=(200, len(x)))].mean(1), [0.025, 0.975])
-        assert (r.n, r.low, r.high) == (len(x), low, high)
-
-
-def test_bootstrap_query_takes_all_orders(spark):
-    pairs = evaluation.paired(Q._scored(spark, DATA)).select(F.col("source_index").cast("string").alias("k"), "d_critical").toPandas()
-    x = pairs.sort_values("k")["d_critical"].to_numpy()
-    rng, n = np.random.default_rng(42), spark.read.parquet(f"{DATA}/orders.parquet").count()
-    low, high = np.quantile([x[rng.integers(0, len(x), size=len(x))].mean() for _ in range(10000)], [0.025, 0.975])
-    r = Q.bootstrap_ci(spark, DATA).head()
-    assert (r.n, r.low, r.high) == (n, low, high)
-
-
-def test_poisson_query_takes_the_default_samples(spark, monkeypatch):
-    real, seen = evaluation.poisson_bootstrap_ci, []
-
-    def spy(*args, **options):
-        call = inspect.signature(real).bind(*args, **options)
-        call.apply_defaults()
-        seen.append(call.arguments["samples"])
-        return real(*args, **options)
-
-    monkeypatch.setattr(evaluation, "poisson_bootstrap_ci", spy)
-    assert Q.poisson_bootstrap_ci(spark, DATA).columns == ["mean", "low", "high"] and seen == [1000]
-
-
 def test_blinded_sheet(spark):
     rows = [(i, "real_long" if i < 20 else "synthetic_stress", 500 + i, "d", "r", f"D{i}", f"H{i}") for i in range(40)]
     df = spark.createDataFrame(rows, "source_index int, eval_type string, input_tokens int, dialogue string, reference string, direct_summary string, hierarchical_summary string")
