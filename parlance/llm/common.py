@@ -117,11 +117,16 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Re
         at = stop
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part of a path, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def carried(columns: list[str], but: str) -> Column:
     """A struct of these columns without one, which travels beside it."""
-    return F.struct(*[F.col(f"`{c}`") for c in columns if c != but], F.lit(0).alias(fresh(columns, "_none")))
+    return F.struct(*[F.col(quoted(c)) for c in columns if c != but], F.lit(0).alias(fresh(columns, "_none")))
 
 
 def restored(columns: list[str], text_col: str) -> list[Column]:
     """The columns again, from ``row`` (see carried) and ``text``."""
-    return [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]
+    return [F.col("text").alias(c) if c == text_col else F.col(f"row.{quoted(c)}").alias(c) for c in columns]

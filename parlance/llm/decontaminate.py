@@ -8,9 +8,10 @@ wavelet ranks, occurrences are located by sampled suffix positions, and overlapp
 into removal spans.
 
 There is no shuffle: each document is read once, and only the phrases are sent to the tasks. A
-benchmark of more than ``max_benchmark_words`` is taken in pieces of that size, read one after another:
-each is a pass over the documents that merges its finds into those before and is written, and its
-phrases leave driver and tasks before the next.
+benchmark of more than ``max_benchmark_words`` is taken in pieces of that size, read one after another.
+The documents are then numbered and written once; each piece is a pass over them that writes only the numbers,
+spans and items of documents it hits (the first also every number of words), and its phrases leave
+driver and tasks before the next. No text is shuffled or written again.
 
 Cases: a null or wordless text has no words and no hits; a null or wordless item has no phrase; a
 null item_id counts as the empty string. Items that share an id count once. Repeated rows are
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import carried, restored, text_slices, written
+from parlance.llm.common import carried, numbered, restored, text_slices, written
 from parlance.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -159,6 +160,55 @@ def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int, most:
         yield Phrases(items, window)
 
 
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", _SPAN)]
+
+
+def _searched(rows: DataFrame, phrases: Phrases, carry: list[str]) -> DataFrame:
+    """rows: two columns, the second of them text. The columns ``carry``, the first or both, and n_words, items, spans of each row."""
+    shared = rows.sparkSession.sparkContext.broadcast(phrases)
+    names, kind = [*carry, *[f.name for f in _FOUND]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in text_slices(b, 1, SLICE_BYTES)):
+            found = search_texts([x.as_buffer().to_pybytes() if x.is_valid else None for x in part.column(1)], shared.value)
+            spans = [[{"start": a, "end": b} for a, b in s] for _, s, _ in found]
+            columns = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([i for _, _, i in found], pa.list_(pa.string())), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *columns], names)
+
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in carry], *_FOUND]))
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """at, n_words, items, spans, the last two of all pieces, as sets and merged."""
+    for batch in batches:
+        items = [sorted(set(x)) for x in batch.column(2).to_pylist()]
+        spans = [[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in row])] for row in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.string())), pa.array(spans, batch.schema.field(3).type)], batch.schema.names)
+
+
+def _judged(found: DataFrame, share: int) -> DataFrame:
+    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    found = found.withColumn("n_hit", hits)
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+
+
+def _contamination(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, share: int, max_benchmark_words: int, texts: bool) -> tuple[DataFrame, DataFrame | None]:
+    """rows: row, text. For a benchmark of one piece (row, with ``texts`` the text, and what was found; None);
+    else (at, row, text; at and what was found)."""
+    pieces = _pieces(benchmark, item_col, item_text_col, window, max_benchmark_words)
+    first, second = next(pieces), next(pieces, None)
+    if second is None:
+        return _judged(_searched(rows, first, ["row", "text"] if texts else ["row"]), share), None
+    base = numbered(spark, rows, "contamination-rows", "at")
+    finds = written(spark, _searched(base.select("at", "text"), first, ["at"]), "contamination")
+    for piece in itertools.chain([second], pieces):
+        more = _searched(base.select("at", "text"), piece, ["at"]).filter("size(items) > 0")
+        finds = finds.unionByName(written(spark, more, "contamination"))
+    grouped = finds.groupBy("at").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return base, _judged(written(spark, grouped.mapInArrow(_together, grouped.schema), "contamination-found"), share)
+
+
 def find_contamination(
     spark: SparkSession,
     docs: DataFrame,
@@ -170,54 +220,32 @@ def find_contamination(
     window: int = WINDOW,
     share: int = 20,
     max_benchmark_words: int = MAX_BENCHMARK_WORDS,
-    keep: list[str] | None = None,
 ) -> DataFrame:
     """Per document: id_col, n_words, n_hit, items (ids found, as strings, sorted), spans (merged,
-    of word positions, end exclusive), contaminated (n_hit > 0 and share * n_hit >= n_words).
-
-    keep: these columns of docs come along, in place of id_col: the text as ``text``, the others in the
-    struct ``row``.
-    """
-    row = F.col(id_col) if keep is None else carried(keep, text_col)
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    now = docs.select(row.alias("row"), F.col(text_col).alias("text"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = T.StructType([*now.schema.fields[:2], *[T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", span), ("contaminated", T.BooleanType()))]])
-    names, kind = schema.names, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def judge(shared, carry: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
-            for part in (p for b in batches for p in text_slices(b, 1, SLICE_BYTES)):
-                found = search_texts([x.as_buffer().to_pybytes() if x.is_valid else None for x in part.column(1)], phrases)
-                spans = [merged([*((x["start"], x["end"]) for x in before), *s]) for before, (_, s, _) in zip(part.column(2).to_pylist(), found)]
-                items = [sorted({*before, *i}) for before, (_, _, i) in zip(part.column(3).to_pylist(), found)]
-                hits = [sum(b - a for a, b in s) for s in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns[:carry],
-                        pa.array([n for n, _, _ in found], pa.int64()),
-                        pa.array(hits, pa.int64()),
-                        pa.array(items, pa.list_(pa.string())),
-                        pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind),
-                        pa.array([h > 0 and share * h >= n for h, (n, _, _) in zip(hits, found)], pa.bool_()),
-                    ],
-                    names[:carry] + names[2:],
-                )
-
-        return run
-
-    before = None
-    for phrases in _pieces(benchmark, item_col, item_text_col, window, max_benchmark_words):
-        if before is not None:  # there is another piece
-            now = written(spark, now.mapInArrow(judge(before, 2), schema), "contamination").select("row", "text", "spans", "items")
-            before.destroy()
-        before = spark.sparkContext.broadcast(phrases)
-    if keep is not None:
-        return now.mapInArrow(judge(before, 2), schema)
-    return now.mapInArrow(judge(before, 1), T.StructType(schema.fields[:1] + schema.fields[2:])).withColumnRenamed("row", id_col)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    of word positions, end exclusive), contaminated (n_hit > 0 and share * n_hit >= n_words)."""
+    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
+    found, later = _contamination(spark, rows, benchmark, item_col, item_text_col, window, share, max_benchmark_words, False)
+    if later is not None:
+        found = found.select("at", "row").join(later, "at")
+    return found.select(F.col("row").alias(id_col), "n_words", "n_hit", "items", "spans", "contaminated")
+
+
+def drop_contaminated(
+    spark: SparkSession,
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    share: int = 20,
+    max_benchmark_words: int = MAX_BENCHMARK_WORDS,
+) -> DataFrame:
     """docs without the contaminated ones; all columns as they were."""
-    found = find_contamination(spark, docs, benchmark, keep=docs.columns, **options)
-    return found.filter(~F.col("contaminated")).select(*restored(docs.columns, options.get("text_col", "text")))
+    rows = docs.select(carried(docs.columns, text_col).alias("row"), F.col(text_col).alias("text"))
+    found, later = _contamination(spark, rows, benchmark, item_col, item_text_col, window, share, max_benchmark_words, True)
+    if later is None:
+        kept = found.filter(~F.col("contaminated"))
+    else:
+        kept = found.join(written(spark, later.filter("contaminated").select("at"), "contamination-gone"), "at", "left_anti")
+    return kept.select(*restored(docs.columns, text_col))

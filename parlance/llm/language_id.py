@@ -249,9 +249,12 @@ def fit_parser(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     useful = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     ids = useful.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.length(text_col)).alias("key"))
     ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).filter(F.col("rank") <= sample_docs)
-    chosen = F.broadcast(ranked.select("lang", "id").distinct())  # sample_docs per language at most
+    chosen = F.broadcast(ranked.select("lang", "id", "key").distinct())  # sample_docs per language at most
     own = useful.select(F.col(lang_col).alias("lang_"), F.col(id_col).alias("id_"), F.substring(F.col(text_col), 1, sample_chars).alias("text"), F.xxhash64(F.col(id_col), F.length(text_col)).alias("key"))
-    rows = own.join(chosen, own.id_.eqNullSafe(chosen.id) & (own.lang_ == chosen.lang), "left_semi").collect()
+    own = own.join(chosen, own.id_.eqNullSafe(chosen.id) & (own.lang_ == chosen.lang) & (own.key == chosen.key), "left_semi")
+    # rows that share id and length come along together: the sample is cut again, before it is shuffled
+    last = F.row_number().over(Window.partitionBy("lang_").orderBy("key", "text"))
+    rows = own.select("lang_", "key", "text").withColumn("rank", last).filter(F.col("rank") <= sample_docs).collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang_"], r["key"], r["text"])):
         have = samples.get(r["lang_"], "")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import fresh, written
+from parlance.llm.common import fresh, quoted, written
 
 RATIO = 0.05
 
@@ -61,9 +61,9 @@ def drop_boilerplate(
     found = boilerplate(docs, text_col, host_col, ratio).groupBy("host").agg(F.collect_set("mark").alias("marks"))
     # written: its true size decides whether it is broadcast; a large one is joined by shuffle
     found = written(spark, found, "boilerplate")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = keyed.join(found, F.col(f"row.`{host_col}`").eqNullSafe(F.col("host")), "left")
-    text = F.col(f"row.`{text_col}`")
+    keyed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+    keyed = keyed.join(found, F.col(f"row.{quoted(host_col)}").eqNullSafe(F.col("host")), "left")
+    text = F.col(f"row.{quoted(text_col)}")
     lines = _lines(text)
 
     def is_boilerplate(line: Column) -> Column:
@@ -76,8 +76,8 @@ def drop_boilerplate(
     keyed = keyed.select("row", kept.alias("kept"), size.alias("n_lines"), dropped.alias("n_dropped"))
     changed = {text_col: F.col("kept")}
     if length_col:
-        old = F.col(f"row.`{length_col}`")
+        old = F.col(f"row.{quoted(length_col)}")
         changed[length_col] = F.when(text != F.col("kept"), F.length("kept")).otherwise(old)
-    out = [changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    out = [changed.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns]
     out += [F.col(c).alias(fresh(docs.columns, c)) for c in ("n_lines", "n_dropped")] if report else []
     return keyed.select(*out)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import fresh, written
+from parlance.llm.common import fresh, quoted, written
 
 #: Characters that part words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +65,20 @@ def targets(sizes: DataFrame, cycle: int = 3, max_repeat: int = 3) -> DataFrame:
     return w.select("source", "source_size", F.when(open_, share).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
+def _starts(parts: DataFrame, digits: int) -> DataFrame:
+    """parts: source, bucket (``digits`` digits of the key), part (words). source, bucket and the words of the
+    source's buckets before it: digit by digit, those of the at most 16 groups that share all digits but the
+    last, so no window has a source's buckets together."""
+    starts = parts.select("source", "bucket", F.lit(0).cast("long").alias("start"))
+    for k in range(1, digits + 1):
+        groups = parts.groupBy("source", F.substring("bucket", 1, k).alias("head")).agg(F.sum("part").alias("part"))
+        siblings = Window.partitionBy("source", F.substring("head", 1, k - 1)).orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+        groups = groups.select(F.col("source").alias("g_source"), "head", F.coalesce(F.sum("part").over(siblings), F.lit(0)).alias("before"))
+        starts = starts.join(groups, F.col("source").eqNullSafe(F.col("g_source")) & (F.substring("bucket", 1, k) == F.col("head")))
+        starts = starts.select("source", "bucket", (F.col("start") + F.col("before")).alias("start"))
+    return starts
+
+
 def _placed(
     spark: SparkSession,
     docs: DataFrame,
@@ -92,9 +106,7 @@ def _placed(
     rows = rows.withColumn("bucket", F.substring("key", 1, digits))
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     sized = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), cycle, max_repeat)
-    queue = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("start", F.coalesce(F.sum("part").over(queue), F.lit(0))).drop("part")
-    starts = starts.alias("a").join(sized.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target")
+    starts = _starts(parts, digits).alias("a").join(sized.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target")
     starts = written(spark, starts, "mix-starts").withColumnsRenamed({"source": "s_source", "bucket": "s_bucket"})
 
     # a hot source has many buckets, so this key is even; ids, sizes and keys only, no texts
@@ -137,13 +149,13 @@ def apply_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     last = F.coalesce(*[F.when(F.col("all") == k, F.col(f"end{k}")) for k in range(max_repeat)])
     cuts = written(spark, cuts.select(F.col("source").alias("cut_source"), "all", last.alias("last")), "mix-cuts")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"),
         F.struct(shuffle_key(id_col, seed).alias("key"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie")).alias("at"),
-    ).filter(F.col(f"row.`{text_col}`").rlike(WORD))
-    joined = rows.join(cuts, F.col(f"row.`{source_col}`").eqNullSafe(F.col("cut_source")))
+    ).filter(F.col(f"row.{quoted(text_col)}").rlike(WORD))
+    joined = rows.join(cuts, F.col(f"row.{quoted(source_col)}").eqNullSafe(F.col("cut_source")))
     copies = F.col("all") + F.when(F.col("last").isNotNull() & (F.col("at") <= F.col("last")), 1).otherwise(0)
     taken = joined.withColumn("copies", copies).filter("copies > 0")
-    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias(fresh(docs.columns, "copy")))
+    return taken.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias(fresh(docs.columns, "copy")))
 
 
 def _truncated(spark: SparkSession, copies: DataFrame, budget: int, most: int) -> float | None:

@@ -94,6 +94,23 @@ def test_decontamination_equals_brute_force(spark, odd, monkeypatch):
     assert decontaminate.find_contamination(spark, odd, empty(bench)).filter("n_hit > 0").count() == 0
 
 
+def test_pieces_of_a_benchmark_write_the_texts_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 4, f"w{k} w{k + 1} w{k + 2} tail {k}") for k in range(12)] + [(None, None)], "doc_id int, text string")
+    bench = spark.createDataFrame([(k, f"w{k} w{k + 1}") for k in range(12)], "item_id int, text string")
+    tables = []
+    real = common.written
+    note = lambda s, df, name, *a: tables.append(df.columns) or real(s, df, name, *a)
+    monkeypatch.setattr(common, "written", note)
+    monkeypatch.setattr(decontaminate, "written", note)
+    whole = decontaminate.find_contamination(spark, docs, bench, window=2)
+    assert tables == []
+    cut = decontaminate.find_contamination(spark, docs, bench, window=2, max_benchmark_words=4)  # 6 pieces
+    assert sum("text" in t for t in tables) == 1 and len(tables) == 8
+    assert sorted(cut.collect(), key=str) == sorted(whole.collect(), key=str)
+    kept = [decontaminate.drop_contaminated(spark, docs, bench, window=2, max_benchmark_words=m).collect() for m in (4, 10**6)]
+    assert sorted(kept[0], key=str) == sorted(kept[1], key=str) and len(kept[0]) == 1
+
+
 # ---- exact dedup ---------------------------------------------------------------------------
 
 
@@ -356,6 +373,38 @@ def test_many_languages_and_small_tables():
     assert found[0] == found[1] == found[2] and found[0][32][0] == "l07" and {x[0] for x in found[0][33:]} == {"und"}
 
 
+def test_sample_of_rows_without_ids_is_bounded(spark, monkeypatch):
+    rows = [(None, "same letters again", "en")] * 400 + [(None, f"autres lettres {k:03}", "fr") for k in range(300)] + [(7, "id twice", "de")] * 90
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(5)
+    sizes, real = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sizes.append(len(out := real(self))) or out)
+    parser = language_id.fit_parser(docs, sample_docs=20)
+    monkeypatch.undo()
+    assert sizes == [60] and sorted(parser.langs) == ["de", "en", "fr"]
+
+
+def test_small_slices_and_lanes_predict_alike(spark, monkeypatch):
+    rows = [(k, ("the cat and the dog " if k % 2 else "le chat et le chien ") * (k % 7) + f"x{k}", "en" if k % 2 else "fr") for k in range(60)] + [(90, "the le " * 500, None), (91, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(3)
+    want = sorted(language_id.identify(spark, docs).collect())
+    monkeypatch.setattr(language_id, "SLICE_BYTES", 64)
+    monkeypatch.setattr(language_id, "LANE_CELLS", 50)
+    assert sorted(language_id.identify(spark, docs).collect()) == want
+
+
+def test_stages_take_any_column_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k, f"the same line\nand number {k} of the text that is long enough to be kept as it is", "s", "en", 3, k, None) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, `a``b.c` int, `row.``` string")
+    spark.createDataFrame([(1, "nothing of that")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[-2:] == ["a`b.c", "row.`"]
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert out and all(r["a`b.c"] == r["doc_id"] for r in out)
+
+
 def test_coding_in_parts(monkeypatch):
     parser = language_id.Parser.fit({"x": "the cat sat", "y": "le chat est"})
     texts = ["the cat, the cat! " * 50, "", None, "a", "é" * 40, "  le   chat  "]
@@ -454,7 +503,7 @@ def test_scores(spark, odd):
 def test_scores_equal_all_paths(spark, monkeypatch):
     """The whole query against a model trained in plain loops over all documents and all state paths."""
     monkeypatch.setattr(hmm_score, "SLICE_BYTES", 60)  # many slices
-    monkeypatch.setattr(hmm_score, "PART_BYTES", 5)
+    monkeypatch.setattr(hmm_score.word_parts, "__defaults__", (5,))  # parts of a text
     rng = random.Random(9)
     rows = [(i, " ".join(f"{rng.choice('xyz')}{rng.randint(0, 5)}" for _ in range(rng.randint(0, 4)))) for i in range(60)] + [(90, None), (91, "Never seen x0"), (91, "Never seen x0")]
     df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)

@@ -188,6 +188,22 @@ def test_mix_serves_until_the_budget(spark):
         assert {r.doc_id: r.taken for r in out} == plain_mix(rows, targets)
 
 
+def test_mix_of_many_buckets_and_ranges(spark, monkeypatch):
+    rows = [(k, "w " * (k % 9), "big" if k % 3 else None if k % 2 else "small") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(4)
+    want = sorted(mixing.mix_sources(spark, docs).collect())
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    assert sorted(mixing.mix_sources(spark, docs).collect()) == want
+    parts = spark.createDataFrame([(s, f"{k:03x}", k % 5) for s in ("a", None) for k in range(0, 4096, 7)], "source string, bucket string, part long")
+    got = {(r.source, r.bucket): r.start for r in mixing._starts(parts, 3).collect()}
+    for s in ("a", None):
+        upto = 0
+        for k in range(0, 4096, 7):
+            assert got[s, f"{k:03x}"] == upto
+            upto += k % 5
+
+
 def test_mix_odd_rows(spark, odd):
     out = mixing.mix_sources(spark, odd).collect()
     assert len(out) == len(ODD) and sum(r.size for r in out) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in ODD)
@@ -225,7 +241,7 @@ def test_slices_of_token_counts(spark, odd, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark, odd, path).collect()}
     monkeypatch.setattr(token_counts, "SLICE_BYTES", 10)
-    monkeypatch.setattr(token_counts, "REMEMBERED", 2)
+    monkeypatch.setattr(token_counts.Counter.__init__, "__defaults__", (2,))  # what it remembers
     assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark, odd, path).collect()} == whole
 
 
