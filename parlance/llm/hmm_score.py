@@ -10,7 +10,8 @@ words: every training word is emitted with its own count, and the parameters tha
 
 Training is Baum-Welch: each of the ``rounds`` iterations, the first included, runs the scaled forward
 and backward recursions over every training document in its task and sums the expected counts per
-bucket across partitions. The score is the scaled forward recursion's log10 likelihood of the whole
+bucket across partitions, and with them the log-likelihood. From the round after ``LEAST_ROUNDS`` on, training
+ends once the mean of a token has risen by less than ``GAIN`` nats. The score is the scaled forward recursion's log10 likelihood of the whole
 text, end token included. Training recurses in single precision, as do a task's counts on their way;
 sums are in double. Scoring is in double precision throughout.
 
@@ -46,6 +47,8 @@ _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b
 END = b""  # no word is empty
 TOP_WORDS, TAIL_BUCKETS, STATES = 16_384, 4096, 8
 ROUNDS = 14
+#: From this round on, training ends once a round has raised the mean log-likelihood of a token by less than GAIN (nats).
+LEAST_ROUNDS, GAIN = 8, 0.01
 #: Bytes of text of a slice, whose documents run in lockstep.
 SLICE_BYTES = 16 << 20
 #: Bytes of text that are split into words at once.
@@ -219,9 +222,10 @@ def _span_forward(ahead: np.ndarray, ratio: np.ndarray, move: np.ndarray, active
     return alpha, scale
 
 
-def expected_counts(model: Hmm, block: Lockstep, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expected_counts(model: Hmm, block: Lockstep, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected counts of first states, moves (states x states) and emissions (buckets x
-    states) over all lanes. Values recurse in ``kind`` and are summed in double precision.
+    states) over all lanes, and the block's log-likelihood and symbols. Values recurse in ``kind`` and are
+    summed in double precision.
 
     Emissions enter divided by their bucket's greatest, which changes no posterior. A block of more
     than CELLS symbols runs in spans of steps: the forward values at their heads are kept, and each
@@ -229,7 +233,9 @@ def expected_counts(model: Hmm, block: Lockstep, kind: type = np.float64) -> tup
     states = len(model.start)
     move = model.move.astype(kind)
     back = np.ascontiguousarray(move.T)
-    ratio = (model.emit / model.emit.max(1, keepdims=True)).astype(kind)
+    greatest = model.emit.max(1, keepdims=True)
+    ratio = (model.emit / greatest).astype(kind)
+    likely = float(np.bincount(block.symbols, minlength=len(greatest)) @ np.log(greatest[:, 0]))
     spans, ends = step_runs(block.active, CELLS), np.concatenate(([0], np.cumsum(block.active)))
     moves, emits = np.zeros((states, states)), np.zeros(ratio.T.shape)
     heads = [np.tile(model.start.astype(kind), (int(block.active[0]), 1))] if spans else []
@@ -259,16 +265,19 @@ def expected_counts(model: Hmm, block: Lockstep, kind: type = np.float64) -> tup
                     moves += np.dot(here[:m].T, ahead)
                     np.dot(ahead, back, out=beta[:m])
                 if m < n:  # lanes that end here
-                    beta[m:] = 1 / here[m:].sum(1, keepdims=True)
+                    last_sums = here[m:].sum(1, keepdims=True)
+                    likely += float(np.log(last_sums).sum(dtype=np.float64))
+                    beta[m:] = 1 / last_sums
                 ahead = seen[at - head : at - head + n]
                 ahead *= beta
                 here *= beta  # the posteriors, in place
+        likely += float(np.log(scale).sum(dtype=np.float64))
         for k in range(0, len(symbols), PART_CELLS):
             cells, posts = symbols[k : k + PART_CELLS].astype(np.int64), alpha[k : k + PART_CELLS].T.astype(np.float64, order="C")
             for state in range(states):
                 emits[state] += np.bincount(cells, posts[state], emits.shape[1])
     start = alpha[: int(block.active[0])].sum(0, dtype=np.float64) if spans else np.zeros(states)
-    return start, moves * model.move, emits.T.copy()
+    return start, moves * model.move, emits.T.copy(), np.array([likely, len(block.symbols)])
 
 
 def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,8 +359,8 @@ def _blocks(active: pa.Array, symbols: pa.Array, kind: type) -> Iterator[Lockste
 
 
 def _train_map(model, buckets):
-    """Map over (active, symbols): the task's expected counts of first states, moves and emissions, one
-    after the other, PACKED to a row; rows of zeros are left out."""
+    """Map over (active, symbols): the task's expected counts of first states, moves and emissions, its
+    log-likelihood and symbols, one after the other, PACKED to a row; rows of zeros are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kind = model.value, buckets.value.kind
@@ -378,11 +387,12 @@ def _packed_names() -> list[str]:
 
 
 def train(spark: SparkSession, blocks: DataFrame, buckets, weight: np.ndarray, states: int, rounds: int) -> Hmm:
-    """blocks: active and symbols of all training documents, which every round reads."""
-    model = Hmm.draw(weight, states)
-    names, shapes = _packed_names(), [x.shape for x in (model.start, model.move, model.emit)]
+    """blocks: active and symbols of all training documents, which every round reads. Ends after ``rounds``,
+    or earlier (see GAIN), with what the last round read has taught."""
+    model, before = Hmm.draw(weight, states), -np.inf
+    names, shapes = _packed_names(), [x.shape for x in (model.start, model.move, model.emit)] + [(2,)]
     ends = np.cumsum([int(np.prod(x)) for x in shapes])
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         shared = spark.sparkContext.broadcast(model)
         counts = blocks.mapInArrow(_train_map(shared, buckets), "key long, " + ", ".join(f"{n} float" for n in names))
         rows = counts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # the model's size
@@ -390,8 +400,12 @@ def train(spark: SparkSession, blocks: DataFrame, buckets, weight: np.ndarray, s
         if rows.num_rows:
             flat = np.zeros((-(-int(ends[-1]) // PACKED), PACKED))
             flat[rows.column("key").to_numpy()] = np.stack([rows.column(n).to_numpy() for n in names], axis=1)
-            start, move, emit = (x.reshape(shape) for x, shape in zip(np.split(flat.ravel(), ends), shapes))
+            start, move, emit, (likely, symbols) = (x.reshape(shape) for x, shape in zip(np.split(flat.ravel(), ends), shapes))
             model = model.learn(start, move, emit, weight)
+            mean = likely / symbols
+            if done > LEAST_ROUNDS and mean - before < GAIN:
+                break
+            before = mean
     return model
 
 

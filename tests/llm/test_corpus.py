@@ -459,6 +459,8 @@ def test_recursions_equal_all_paths(monkeypatch):
         monkeypatch.setattr(hmm_score, "CELLS", cells)
         assert hmm_score.log10_likelihoods(model, block) == pytest.approx(want)
         for kind, near in ((np.float64, 1e-9), (np.float32, 1e-5)):
+            likely, symbols = hmm_score.expected_counts(model, block, kind)[3]
+            assert likely == pytest.approx(float(hmm_score.log10_likelihoods(model, block).sum()) * math.log(10), rel=1e-5) and symbols == len(block.symbols)
             for got, exact in zip(hmm_score.expected_counts(model, block, kind), (start, move, emit)):
                 assert np.allclose(got, exact, rtol=near, atol=near)
 
@@ -544,6 +546,20 @@ def test_scores_equal_all_paths(spark, monkeypatch):
     assert [x for _, x in out] == pytest.approx([x for _, x in sorted(want)], rel=1e-4)
 
 
+def test_training_ends_when_rounds_teach_little(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.choice('xyz')}{rng.randint(0, 5)}" for _ in range(9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+
+    def scores(rounds):
+        return {r.doc_id: r.score for r in hmm_score.score_documents(spark, df, states=3, top_words=9, tails=3, rounds=rounds).collect()}
+
+    three, nine = scores(3), scores(9)
+    monkeypatch.setattr(hmm_score, "LEAST_ROUNDS", 2)
+    monkeypatch.setattr(hmm_score, "GAIN", 1e9)
+    assert scores(9) == pytest.approx(three) and nine != pytest.approx(three)
+
+
 def test_model_is_a_distribution():
     """The probabilities of all next buckets sum to 1: over one-token texts."""
     model = hmm_score.Hmm.draw(np.ones(7) / 7, 2)
