@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
@@ -93,10 +93,11 @@ def summarize(
         }
     )
     common = [key, "dialogue", "clean", "deduplicated_turns", "source_facts", "requested_mode", "actual_mode", "error_code", "summary", "truncated", "input_coverage", "chunks", "chunk_summaries", "generated"]
-    both = lineage.named(cut, direct.select(*common).unionByName(long.select(*common)), "drafts")
-    done = lineage.named(cut, generation.complete(both.filter("error_code is null"), "summary", generator, tokens), "completed")
-    done = attribution.repair(done, "clean", "summary", "_repaired").withColumn("summary", F.col("_repaired")).drop("_repaired")
-    done = lineage.named(cut, done, "repaired")  # what follows looks at the repaired text many times
+    # completed and repaired before they are cut: what follows asks no model and reads the final text many times
+    both = generation.complete(direct.select(*common).unionByName(long.select(*common)), "summary", generator, tokens)
+    both = attribution.repair(both, "clean", "summary", "_repaired").withColumn("summary", F.col("_repaired")).drop("_repaired")
+    both = lineage.named(cut, both, "drafts")
+    done = both.filter("error_code is null")
     done = done.withColumn("error_code", F.when(F.col("summary") == "", "EMPTY_SUMMARY"))
     done = reliability.assess(done, "clean", "summary", F.col("truncated"))
     failed = ready.filter("error_code is not null").select(key, "requested_mode", "actual_mode", "error_code").unionByName(both.filter("error_code is not null").select(key, "requested_mode", "actual_mode", "error_code"))
@@ -110,44 +111,58 @@ def summarize(
     return cut(result, "finish") if isinstance(cut, lineage.Stages) else result
 
 
-def evaluate(spark: SparkSession, rows: DataFrame, generator: generation.Generator = generation.extractive, done: DataFrame | None = None, cut=None, peak: generation.PeakMemory | None = None, tokens=BUILT_IN) -> DataFrame:
+MODES = ("direct", "hierarchical")
+
+
+def evaluate_mode(spark: SparkSession, rows: DataFrame, mode: str, generator: generation.Generator = generation.extractive, cut=None, peak: generation.PeakMemory | None = None, tokens=BUILT_IN) -> DataFrame:
+    """One mode of every row, scored. For the parameters see ``evaluate``."""
+    result = summarize(spark, rows.select("source_index", "input"), generator, "source_index", "input", mode, cut=cut, tokens=tokens)
+    if peak is not None:  # known once the mode has run
+        result = lineage.named(cut or lineage.cut, result, mode)
+    gb = F.lit(peak.gb if peak is not None else None).cast("double")
+    result = result.select("source_index", F.lit(mode).alias("mode"), "summary", "input_coverage", "error_code", gb.alias("peak_memory_gb"))
+    texts = rows.select("source_index", "eval_type", "input_tokens", F.col("input").alias("dialogue"), F.col("output").alias("reference"))
+    return evaluation.score(result.join(texts, "source_index"))
+
+
+def evaluate(spark: SparkSession, rows: DataFrame, generator: generation.Generator = generation.extractive, done: DataFrame | None = None, **options) -> DataFrame:
     """rows: source_index, eval_type, input_tokens, input, output. Both modes of every row that has no
-    record yet, scored: one row per (source_index, mode). peak: the one that the generator notes its
-    workers' memory in; peak_memory_gb is then what a mode's run has reached, for all its rows. Without it
-    the memory is unknown, peak_memory_gb null, and the gate on memory fails."""
+    record yet, scored: one row per (source_index, mode). Options: cut and tokens, as for ``summarize``; peak: the
+    one that the generator notes its workers' memory in; peak_memory_gb is then what a mode's run has reached,
+    for all its rows. Without it the memory is unknown, peak_memory_gb null, and the gate on memory fails."""
     rows = evaluation.pending(rows, done) if done is not None else rows
-    out: DataFrame | None = None
-    for mode in ("direct", "hierarchical"):
-        result = summarize(spark, rows.select("source_index", "input"), generator, "source_index", "input", mode, cut=cut, tokens=tokens)
-        if peak is not None:  # known once the mode has run
-            result = lineage.named(cut or lineage.cut, result, mode)
-        gb = F.lit(peak.gb if peak is not None else None).cast("double")
-        result = result.select("source_index", F.lit(mode).alias("mode"), "summary", "input_coverage", "error_code", gb.alias("peak_memory_gb"))
-        out = result if out is None else out.unionByName(result)
-    joined = out.join(rows.select("source_index", "eval_type", "input_tokens", F.col("input").alias("dialogue"), F.col("output").alias("reference")), "source_index")
-    return evaluation.score(joined)
+    direct, hierarchical = (evaluate_mode(spark, rows, mode, generator, **options) for mode in MODES)
+    return direct.unionByName(hierarchical)
 
 
 def resume(
     spark: SparkSession, rows: DataFrame, path: str, generator: generation.Generator = generation.extractive, batches: int = 8, split: str = "val", tell: Callable[[str], None] = print, **options
 ) -> dict:
-    """Evaluates the rows that ``path`` has no records of, batch by batch, and adds each batch's records
-    there; a run that is stopped goes on where it was. tell: gets a line ``n/N`` after each batch. Returns
-    split, count, complete (every row has its records), seconds_this_run, test_split_read."""
+    """Evaluates what ``path`` has no records of, a batch of rows and a mode at a time, each of which is written
+    there as a part of its own (``files.Ledger``). A run that is stopped, wherever, goes on where it was: a part
+    that was not finished is made anew, so each (row, mode) has one record. tell: gets a line ``n/N`` after each
+    part, n the rows that have both records. Returns split, count (n), complete (all have both),
+    seconds_this_run, test_split_read."""
     began = time.perf_counter()
     files.check_split(split)
-    keys = StructType([rows.schema["source_index"]])
-    total = rows.select("source_index").distinct().count()
-    count = 0
+    ledger = files.Ledger(spark, path)
+    keys = StructType([rows.schema["source_index"], StructField("mode", StringType())])
+    wanted, both = rows.select("source_index").distinct().count(), 0
     for k in range(batches):
-        done = files.read_if_there(spark, path, keys)
-        part = rows.filter(F.pmod(F.xxhash64("source_index"), F.lit(batches)) == k)
-        todo = evaluation.pending(part, done)
-        if not todo.isEmpty():
-            files.append_records(evaluate(spark, todo, generator, **options), path)
-        count = rows.select("source_index").distinct().join(files.read_if_there(spark, path, keys), "source_index", "left_semi").count()
-        tell(f"{count}/{total}")
-    return {"split": split, "count": count, "complete": count == total, "seconds_this_run": time.perf_counter() - began, "test_split_read": split == "test"}
+        for mode in MODES:
+            part = rows.filter(F.pmod(F.xxhash64("source_index"), F.lit(batches)) == k)
+            todo = evaluation.pending(part, ledger.read(keys).filter(F.col("mode") == mode))
+            if not todo.isEmpty():
+                ledger.add(f"{k}-{mode}", evaluate_mode(spark, todo, mode, generator, **options))
+            both = _recorded(rows, ledger.read(keys))
+            tell(f"{both}/{wanted}")
+    return {"split": split, "count": both, "complete": both == wanted, "seconds_this_run": time.perf_counter() - began, "test_split_read": split == "test"}
+
+
+def _recorded(rows: DataFrame, records: DataFrame) -> int:
+    """How many of the rows have a record of each mode."""
+    whole = records.groupBy("source_index").agg(F.count_distinct("mode").alias("modes")).filter(F.col("modes") == len(MODES))
+    return rows.select("source_index").distinct().join(whole, "source_index", "left_semi").count()
 
 
 def smoke(spark: SparkSession, df: DataFrame, generator: generation.Generator = generation.extractive, key: str = "conv_id", dialogue: str = "dialogue", peak: generation.PeakMemory | None = None) -> dict[str, bool]:

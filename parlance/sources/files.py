@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 import os
-from pathlib import Path
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from parlance.sources import arrays
 
 ROOT_VARIABLE = "PARLANCE_ROOT"
 SPLITS = ("val", "test")
@@ -39,8 +47,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str = DATASET) -> DataFrame:
-    """A JSON array of rows, with an explicit schema."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A JSON array of rows, with an explicit schema; a large one is read by several tasks."""
+    return arrays.read_array(spark, path, schema)
 
 
 def read_split(spark: SparkSession, folder: str, split: str, prepared: bool = False) -> DataFrame:
@@ -70,20 +78,95 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
 
 
+class Ledger:
+    """Records in parts, each written once. A part is a folder of its own; it counts when its write has
+    ended (Spark's marker _SUCCESS), and is written anew if it has not. For one writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def parts(self) -> list[str]:
+        """Names of the parts that count."""
+        if not self._files.exists(self._folder):
+            return []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        names = sorted(x.getPath().getName() for x in self._files.listStatus(self._folder) if x.isDirectory())
+        return [n.removeprefix("part=") for n in names if self._files.exists(path(f"{self.path}/{n}/_SUCCESS"))]
+
+    def read(self, schema: str | StructType | None = None) -> DataFrame:
+        """The records (of a part at least, if no schema is given)."""
+        folders = [f"{self.path}/part={n}" for n in self.parts()]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*folders)
+
+    def add(self, name: str, records: DataFrame) -> None:
+        """Writes a part; ``name`` gets the number of its parts so far, so later rows have parts of their own."""
+        many = sum(n.rpartition(".")[0] == name for n in self.parts())
+        records.write.mode("overwrite").parquet(f"{self.path}/part={name}.{many}")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, one file per partition, overwriting."""
     df.write.mode("overwrite").json(path)
 
 
-def write_report(df: DataFrame, path: str) -> str:
-    """A report of a few rows as one pretty UTF-8 JSON document; folders are made."""
-    import json
-
-    rows = [json.loads(r) for r in df.toJSON().collect()]
-    text = json.dumps(rows[0] if len(rows) == 1 else rows, ensure_ascii=False, indent=2)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
-    return text
+def _one_file(lines: DataFrame, path: str, separator: str, head: bytes, tail: bytes, drop: int = 0) -> None:
+    """lines: one string column. A single file of their texts, each followed by the separator, in the order of
+    the frame: tasks write parts beside it, which are then copied behind one another as streams of bytes,
+    without the last ``drop`` bytes; no row reaches the driver. The file replaces an older one when it is whole."""
+    spark = lines.sparkSession
+    java, parts, new = spark._jvm, f"{path}.parts-{uuid.uuid4().hex}", f"{path}.new-{uuid.uuid4().hex}"
+    place = java.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        lines.write.option("lineSep", separator).text(parts)
+        found = sorted((x.getPath().getName(), x.getLen()) for x in files.listStatus(place(parts)) if x.getPath().getName().startswith("part-") and x.getLen())
+        left = max(0, sum(size for _, size in found) - drop)
+        out = files.create(place(new), True)
+        try:
+            out.write(bytearray(head))
+            for name, size in found:
+                source = files.open(place(f"{parts}/{name}"))
+                try:
+                    java.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, min(size, left))
+                finally:
+                    source.close()
+                left -= min(size, left)
+            out.write(bytearray(tail))
+        finally:
+            out.close()
+        files.delete(place(path), True)
+        if not files.rename(place(new), place(path)):
+            raise OSError(f"{path} could not be written")
+    finally:
+        files.delete(place(parts), True)
+        files.delete(place(new), True)
+
+
+def write_report(df: DataFrame, path: str) -> str | None:
+    """A report as one pretty UTF-8 JSON document, overwriting: the object of a single row, whose text is
+    returned, or an array of any number."""
+
+    def pretty(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            texts = [json.dumps(json.loads(x), ensure_ascii=False, indent=2) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+
+    lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(pretty, "value string")
+    first = lines.limit(2).collect()
+    if len(first) == 1:
+        _one_file(lines, path, "\n", b"", b"", 1)
+        return first[0]["value"]
+    if not first:
+        _one_file(lines, path, "\n", b"[]", b"")
+    else:
+        indented = lines.select(F.regexp_replace("value", "(?m)^", "  ").alias("value"))
+        _one_file(indented, path, ",\n", b"[\n", b"\n]", 2)
+    return None
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -91,15 +174,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+def _field(value: Column) -> Column:
+    """A CSV field: quoted if it holds a comma, a quote or a line end. Null is empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
 def write_sheet(df: DataFrame, path: str) -> None:
-    """A small sheet as one CSV file with a byte order mark, as spreadsheets expect."""
-    import csv
-
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", newline="", encoding="utf-8-sig") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        out.writerows(df.collect())
+    """A sheet as one CSV file with a byte order mark, as spreadsheets expect, overwriting. Line feeds within
+    fields stay."""
+    header = io.StringIO()
+    csv.writer(header).writerow(df.columns)
+    fields = [_field(F.col("`" + c.replace("`", "``") + "`")) for c in df.columns]
+    line = F.array_join(F.array(*fields), ",")
+    if len(fields) == 1:  # an empty line would be no row
+        line = F.when(line == "", '""').otherwise(line)
+    _one_file(df.select(line.alias("value")), path, "\r\n", ("\ufeff" + header.getvalue()).encode(), b"")
 
 
 EXAMPLES = (

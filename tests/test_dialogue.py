@@ -396,3 +396,108 @@ def test_records_prepared_sets_and_examples(spark, tmp_path, monkeypatch):
     assert files.root() == "/a" and files.root("/b") == "/b"
     monkeypatch.delenv(files.ROOT_VARIABLE)
     assert files.root().startswith("/")
+
+
+def test_sheets_and_reports_of_many_rows(spark, tmp_path):
+    import csv
+    import io
+
+    rows = [(k, ['a "b"', "line\nfeed", "", "x,y", "é 中", None, "cr\rhere"][k % 7], k / 4 if k % 3 else None) for k in range(500)]
+    df = spark.createDataFrame(rows, "k int, `te`` xt` string, z double").repartitionByRange(5, "k").sortWithinPartitions("k")
+    place = str(tmp_path / "new" / "sheet.csv")
+    for _ in range(2):  # overwrites
+        files.write_sheet(df, place)
+    raw = (tmp_path / "new" / "sheet.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfk,te` xt,z\r\n") and raw.count(b"\r\n") == 501
+    want = io.StringIO()
+    csv.writer(want).writerows([["k", "te` xt", "z"], *[["" if v is None else v for v in r] for r in rows]])
+    assert raw.decode("utf-8-sig") == want.getvalue()
+    assert files.write_report(df, str(tmp_path / "r.json")) is None
+    want = [{"k": k, "te` xt": t, "z": z} for k, t, z in rows]
+    assert (tmp_path / "r.json").read_text(encoding="utf-8") == json.dumps(want, ensure_ascii=False, indent=2)
+    files.write_report(df.filter("k < 0"), str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == []
+    files.write_sheet(df.filter("k < 0"), str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_bytes() == b"\xef\xbb\xbfk,te` xt,z\r\n"
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["new", "none.csv", "r.json"]
+
+
+@pytest.mark.parametrize("step", [7, 150, 1000])
+def test_ranges_of_a_json_array(spark, tmp_path, step):
+    from parlance.sources import arrays
+
+    texts = ['plain', 'quote " and \\ back', '\\\\', '[{"k": 1}]', "é 中 \n end", "", "}{][,", '\\"', "x" * 70]
+    rows = [{"k": k, "text": texts[k % 9], "inner": {"a": [k, k + 1], "t": texts[(k * 4) % 9]}, "gone": None} for k in range(0 if step == 7 else 25 if step < 1000 else 90)]
+    for indent in (None, 2):
+        path = tmp_path / f"{indent}.json"
+        path.write_text(json.dumps(rows, ensure_ascii=bool(indent), indent=indent), encoding="utf-8")
+        schema = "k int, text string, inner struct<a: array<int>, t: string>, gone string"
+        got = arrays.read_array(spark, str(path), schema, range_bytes=step)
+        assert got.rdd.getNumPartitions() > 1 or len(rows) == 0
+        want = spark.read.schema(schema).option("multiLine", True).json(str(path))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == len(rows)
+
+
+def test_states_of_ranges_chain_up():
+    from parlance.sources import arrays
+
+    rng = random.Random(2)
+    for _ in range(200):
+        value = [{"a": "".join(rng.choice('ab"\\{}[]') for _ in range(rng.randint(0, 6))), "b": [{}, []]} for _ in range(rng.randint(0, 4))]
+        data = json.dumps(value).encode()
+        step = rng.randint(1, 9)
+        state, depth, found = arrays.OUTSIDE, 0, []
+        for at in range(0, len(data), step):
+            end = min(len(data), at + step)
+            found += arrays.objects(lambda a, b: data[a:b], at, end, len(data), state, depth)
+            change, state = arrays.effect(data[at:end], state)
+            depth += change
+        assert [json.loads(x) for x in found] == value and (state, depth) == (arrays.OUTSIDE, 0)
+
+
+def test_table_function_equals_chunks(spark):
+    rows = [(k, "\n".join(f"{'Ann' if i % 2 else 'Bob'}: " + f"word{i} " * (5 + 37 * i % 90) + "end. " * (i % 3) + " tail" for i in range(k))) for k in range(12)] + [(20, None), (21, " \n ")]
+    spark.createDataFrame(rows, "conv_id long, dialogue string").createOrReplaceTempView("talk")
+    assert sql.register_tables(spark) == ["chunk_dialogue"]
+    for budget in (60, 280):
+        got = spark.sql(f"SELECT * FROM chunk_dialogue(TABLE(SELECT conv_id, dialogue FROM talk) PARTITION BY (conv_id), {budget})").collect()
+        want = structure.chunk_dialogues(spark.table("talk"), budget=budget).collect()
+        assert {(r.key, r.chunk): (r.text, r.turn_indices, r.token_count) for r in got} == {(str(r.conv_id), k): (c.text, c.turn_indices, c.token_count) for r in want for k, c in enumerate(r.chunks)}
+
+
+def test_views_of_pairs(spark):
+    sql.pair_views(spark.createDataFrame([("Mara: I will paint the fence.\nIvo: I will water the garden.", "Ivo will paint the fence.")], "dialogue string, summary string"))
+    assert spark.sql("SELECT repaired FROM repaired_pairs").head()[0] == "Mara will paint the fence."
+    assert spark.sql("SELECT reliability.risk FROM checked_pairs").head()[0] == "low"
+
+
+def test_runs_killed_anywhere_have_each_record_once(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(str(i), "real_long", 9, f"Ann: I will pack {i} boxes.", f"Ann will pack {i} boxes.") for i in range(5)], "source_index string, eval_type string, input_tokens int, input string, output string")
+    path, real = str(tmp_path / "records"), files.Ledger.add
+
+    class Killed(Exception):
+        pass
+
+    for step in range(2):  # killed before the second part it has to do, and with that one half written
+        calls = []
+
+        def add(self, name, records, step=step, calls=calls):
+            calls.append(name)
+            if len(calls) > 1 and step % 2:
+                records.limit(1).write.mode("overwrite").parquet(f"{self.path}/part={name}.0")
+                (tmp_path / "records" / f"part={name}.0" / "_SUCCESS").unlink()
+                raise Killed
+            if len(calls) > 1:
+                raise Killed
+            real(self, name, records)
+
+        monkeypatch.setattr(files.Ledger, "add", add)
+        with pytest.raises(Killed):
+            summarize.resume(spark, rows, path, batches=2, tell=lambda _: None)
+    monkeypatch.setattr(files.Ledger, "add", real)
+    status = summarize.resume(spark, rows, path, batches=2, tell=lambda _: None)
+    assert status["complete"] and status["count"] == 5
+    records = files.Ledger(spark, path).read().groupBy("source_index", "mode").count().collect()
+    assert len(records) == 10 and all(r["count"] == 1 for r in records)
+    more = rows.unionByName(rows.withColumn("source_index", F.concat(F.lit("more"), "source_index")))
+    assert summarize.resume(spark, more, path, batches=2, tell=lambda _: None)["count"] == 10
