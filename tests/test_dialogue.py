@@ -501,3 +501,20 @@ def test_runs_killed_anywhere_have_each_record_once(spark, tmp_path, monkeypatch
     assert len(records) == 10 and all(r["count"] == 1 for r in records)
     more = rows.unionByName(rows.withColumn("source_index", F.concat(F.lit("more"), "source_index")))
     assert summarize.resume(spark, more, path, batches=2, tell=lambda _: None)["count"] == 10
+
+
+def test_rows_by_rank_and_lazy_drawing(spark):
+    rows = spark.createDataFrame([(k * 7 % 1000, f"s{k}") for k in range(1000)], "position int, source_index string").repartition(6)
+    ranked = evaluation.Ranked(rows, "position")
+    assert len(ranked) == 1000 and [r.position for r in ranked.take([999, 0, 500, 37])] == [999, 0, 500, 37] and ranked.take([]) == []
+    full = rows.select("source_index", "position", F.when(F.col("position") % 5 > 0, F.array(F.concat(F.lit("n"), (F.col("position") % 40).cast("string")))).otherwise(X.no_strings()).alias("names"), F.lit(150).alias("n"))
+    lazy = evaluation.Drawn(evaluation.Ranked(full, "position"), 42, block=16)
+    groups = list(evaluation.disjoint_groups(lazy, lazy.sizes, lazy.drawn(), 400))
+    table = {r.position: r for r in full.collect()}
+    order = list(range(1000))
+    random.Random(42).shuffle(order)
+    speakers = {table[k].source_index: set(table[k].names) for k in order if table[k].names}
+    want = list(evaluation.disjoint_groups(speakers, {r.source_index: r.n for r in table.values()}, [table[k].source_index for k in order], 400))
+    assert groups == want and len(groups) > 50
+    few = evaluation.Drawn(evaluation.Ranked(full, "position"), 42, block=16)
+    assert next(evaluation.disjoint_groups(few, few.sizes, few.drawn(), 400)) == want[0] and len(few._keys) == 16
