@@ -4,9 +4,9 @@
 of 10,000 resamples, group after group. The generator is a stream of 32-bit words, and whether a word
 is drawn or rejected depends on the word alone. So tasks jump ahead to blocks of the stream and count what they
 would accept; prefix sums of the counts say at which word each resample begins; other tasks draw their
-resamples from there. Values travel in ranges of ``RANGE`` rows, not through the driver, which sees counts only.
-With up to RANGE rows the results equal numpy's to the last bit; beyond that a resample's sum is added up from
-ranges, which each draw the same words again.
+resamples from there. Values travel as packed doubles, once to each task, in ranges of ``RANGE`` rows, and not through
+the driver, which sees counts only. With up to RANGE rows the results equal numpy's to the last bit; beyond that a
+resample's sum is added up from ranges, which each draw the same words again. A task holds 16 bytes a row of its range.
 
 ``poisson_bootstrap_ci`` has another order of draws: a row's weights come from a hash of its key, so any
 number of rows is read once and a task sends a sum per resample.
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from parlance.operators import lineage
 
 SAMPLES, SEED = 10_000, 42
-#: Words of a counted block, draws of a task, rows of a range.
-BLOCK, TASK_DRAWS, RANGE = 1 << 22, 1 << 25, 1 << 22
-#: Words that a task holds at once; resamples of a task of the other form.
-HELD, WEIGHTS = 1 << 20, 1 << 20
+#: Words of a counted block, least draws of a task, tasks of a group for each core, rows of a range.
+BLOCK, TASK_DRAWS, TASKS_A_CORE, RANGE = 1 << 22, 1 << 25, 4, 1 << 24
+#: Words that a task draws at once; resamples of a task of the other form.
+HELD, WEIGHTS = 1 << 16, 1 << 20
 
 
 class Stream:
@@ -55,31 +55,41 @@ class Stream:
     def accepted(self, first: int, count: int) -> int:
         if not self.least:
             return count
-        return sum(int(np.count_nonzero((w.astype(np.uint64) * np.uint64(self.n)) & np.uint64(0xFFFFFFFF) >= np.uint64(self.least))) for w in self.words(first, count))
+        n, least = np.uint32(self.n), np.uint32(self.least)
+        return sum(int(np.count_nonzero(w * n >= least)) for w in self.words(first, count))  # the product's lower half
+
+    def generator(self, first: int) -> np.random.Generator:
+        """numpy's generator, with word ``first`` as the next one."""
+        bits = np.random.PCG64(self.seed)
+        bits.advance(first // 2)
+        if first % 2:  # the upper half of a draw that was begun
+            raw = int(bits.random_raw())
+            bits.state = bits.state | {"has_uint32": 1, "uinteger": raw >> 32}
+        return np.random.Generator(bits)
 
     def drawn(self, first: int) -> Iterator[np.ndarray]:
         """The numbers from word ``first`` on, without end."""
+        draw = self.generator(first)
         while True:
-            for w in self.words(first, HELD):
-                product = w.astype(np.uint64) * np.uint64(self.n)
-                value = (product >> np.uint64(32)).astype(np.int64)
-                yield value[(product & np.uint64(0xFFFFFFFF)) >= np.uint64(self.least)] if self.least else value
-            first += HELD
-
-    def resamples(self, first: int, skip: int, count: int) -> Iterator[np.ndarray]:
-        """``count`` runs of n numbers, after ``skip`` of those from word ``first`` on."""
-        held, source = np.zeros(0, np.int64), self.drawn(first)
-        while skip:
-            held = next(source)
-            held, skip = held[skip:], max(0, skip - len(held))
+            yield draw.integers(0, self.n, size=HELD)
+
+    def sums(self, x: np.ndarray, low: int, first: int, skip: int, count: int) -> Iterator[float]:
+        """Of ``count`` resamples, after ``skip`` numbers from word ``first`` on: what they take from x, the values
+        of the rows from ``low`` on, summed."""
+        draw = self.generator(first)
+        for at in range(0, skip, HELD):
+            draw.integers(0, self.n, size=min(HELD, skip - at))
+        taken = np.empty(self.n if len(x) == self.n else 0)
         for _ in range(count):
-            parts, have = [held], len(held)
-            while have < self.n:
-                parts.append(next(source))
-                have += len(parts[-1])
-            whole = np.concatenate(parts) if len(parts) > 1 else held
-            held = whole[self.n :]
-            yield whole[: self.n]
+            total = 0.0
+            for at in range(0, self.n, HELD):
+                v = draw.integers(0, self.n, size=min(HELD, self.n - at))
+                if len(taken):
+                    np.take(x, v, out=taken[at : at + len(v)], mode="clip")
+                else:
+                    v -= low
+                    total += x[v[(v >= 0) & (v < len(x))]].sum()
+            yield taken.sum() if len(taken) else total
 
 
 def _accepted_blocks(spark, stream: Stream, first: int, draws: int) -> list[int]:
@@ -105,7 +115,7 @@ def _plan(spark, sizes: list[tuple[str, int]], samples: int, seed: int) -> list[
     """Tasks: (group, n, task, first resample, resamples, first word, draws to skip)."""
     out, word = [], 0
     for k, (group, n) in enumerate(sizes):
-        each = max(1, TASK_DRAWS // n)
+        each = max(1, TASK_DRAWS // n, -(-samples // (TASKS_A_CORE * spark.sparkContext.defaultParallelism)))
         if n == 1:  # one row needs no draw
             out.append((group, n, len(out), 0, samples, 0, 0))
             continue
@@ -148,25 +158,46 @@ def bootstrap_ci(pairs: DataFrame, metric: str, key: str = "source_index", group
         return spark.createDataFrame([], schema)
     offsets = F.broadcast(spark.createDataFrame(shifts, "g string, p long, shift long"))
     placed = placed.withColumn("p", part).join(offsets, ["g", "p"]).select("g", "x", (F.col("i") + F.col("shift")).alias("i"))
-    ranges = placed.groupBy("g", F.floor(F.col("i") / RANGE).alias("q")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("values"))
     plan = _plan(spark, order, samples, seed)
-    tasks = F.broadcast(spark.createDataFrame(plan, "g string, n long, task long, at long, count long, word long, skip long"))  # samples rows per group at most
+    tasks = F.broadcast(spark.createDataFrame(plan, "g string, n long, task long, at long, count long, word long, skip long"))  # TASKS_A_CORE a core and group, samples at most
     many = len(plan) * max(-(-n // RANGE) for _, n in order)
-    work = ranges.join(tasks, "g").repartitionById(many, F.pmod(F.col("task") + F.col("q") * len(plan), F.lit(many)).cast("int"))
+    size = RANGE
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Values of rows that follow one another within a range: (group, range, first row, doubles)."""
+        for batch in batches:
+            g, x, i = pa.array(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            code = g.dictionary_encode().indices.to_numpy()
+            cuts = np.flatnonzero((np.diff(i) != 1) | (np.diff(code) != 0) | (np.diff(i // size) != 0)) + 1
+            first, last = np.concatenate(([0], cuts)), np.append(cuts, len(i))
+            if len(i):
+                packed = pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary())
+                yield pa.RecordBatch.from_arrays([g.take(pa.array(first)), pa.array(i[first] // size), pa.array(i[first]), packed], ["g", "q", "i", "values"])
+
+    parts = placed.select("g", "x", "i").mapInArrow(pack, "g string, q long, i long, values binary")
+    work = parts.join(tasks, "g").repartitionById(many, F.pmod(F.col("task") + F.col("q") * len(plan), F.lit(many)).cast("int"))  # a task and range each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(group, resample, sum of its values in this range); resample -1 is the sum of the range itself."""
-        for row in (r for b in batches for r in pa.Table.from_batches([b]).to_batches(max_chunksize=1)):
-            one = {c: row.column(c)[0].as_py() for c in ("g", "n", "q", "at", "count", "word", "skip")}
-            x, n, low = row.column("values").flatten().to_numpy(zero_copy_only=False), one["n"], one["q"] * RANGE
-            sums = []
-            for v in Stream(seed, n).resamples(one["word"], one["skip"], one["count"]) if n > 1 else ():
-                sums.append((x[v] if len(x) == n else x[v[(v >= low) & (v < low + RANGE)] - low]).sum())
-            sums = sums if n > 1 else [x.sum()] * one["count"]
-            at = np.arange(one["at"], one["at"] + one["count"])
-            if one["at"] == 0:
-                sums, at = [*sums, x.sum()], np.append(at, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([one["g"]] * len(at)), pa.array(at), pa.array(sums, pa.float64()), pa.array([n] * len(at))], ["g", "r", "s", "n"])
+        one = x = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if one is None:
+                one = {c: batch.column(c)[0].as_py() for c in ("g", "n", "q", "at", "count", "word", "skip")}
+                n, low = one["n"], one["q"] * size
+                x = np.empty(min(size, n - low))
+            for i, values in zip(batch.column("i").to_pylist(), batch.column("values")):
+                v = np.frombuffer(values.as_buffer(), np.float64)
+                x[i - low : i - low + len(v)] = v
+        if one is None:
+            return
+        batch = None
+        sums = list(Stream(seed, n).sums(x, low, one["word"], one["skip"], one["count"])) if n > 1 else [x.sum()] * one["count"]
+        at = np.arange(one["at"], one["at"] + one["count"])
+        if one["at"] == 0:
+            sums, at = [*sums, x.sum()], np.append(at, -1)
+        yield pa.RecordBatch.from_arrays([pa.array([one["g"]] * len(at)), pa.array(at), pa.array(sums, pa.float64()), pa.array([n] * len(at))], ["g", "r", "s", "n"])
 
     means = work.mapInArrow(run, "g string, r long, s double, n long").groupBy("g", "r").agg((F.sum("s") / F.first("n")).alias("m"), F.first("n").alias("n"))
 
