@@ -1,7 +1,9 @@
-"""ROUGE-1, ROUGE-2 and ROUGE-L as Column expressions."""
+"""ROUGE-1, ROUGE-2 and ROUGE-L of token arrays as Column expressions, and of texts in one Arrow pass."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,6 +98,71 @@ def rouge(reference: Column, prediction: Column) -> Column:
     )
 
 
+def _longest(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a row of the classic table is a whole number, a bit per token of
+    the shorter side, and zeros count the length."""
+    if len(a) < len(b):
+        a, b = b, a
+    masks: dict[str, int] = {}
+    for k, t in enumerate(b):
+        masks[t] = masks.get(t, 0) | 1 << k
+    full = row = (1 << len(b)) - 1
+    for t in a:
+        m = masks.get(t)
+        if m is not None:
+            u = row & m
+            row = (row + u | row - u) & full
+    return len(b) - row.bit_count()
+
+
+def counts(reference: Column, prediction: Column, stem: bool = False, longest: bool = True) -> Column:
+    """struct<r, p, one, two, longest> of two texts: tokens of each, common tokens and pairs of tokens, length of the
+    longest common subsequence (null unless asked for); null where a text that it needs is."""
+
+    @F.pandas_udf("struct<r:int,p:int,one:int,two:int,longest:int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        from parlance.functions import stem as porter
+
+        find, known = re.compile("[a-z0-9]+").findall, {}
+
+        def tokens(text: str) -> list[str]:
+            found = find(text)
+            if stem:
+                for w in set(found).difference(known):
+                    known[w] = porter.stem(w) if len(w) > 3 else w
+                found = [known[w] for w in found]
+            return found
+
+        def one(a: str | None, b: str | None) -> tuple:
+            r, p = (None if x is None else tokens(x) for x in (a, b))
+            if r is None or p is None:
+                return (None if r is None else len(r), None if p is None else len(p), None, None, None)
+            shared = []
+            for x, y in ((r, p), (zip(r, r[1:]), zip(p, p[1:]))):
+                has = Counter(x)
+                shared.append(sum(min(n, has[g]) for g, n in Counter(filter(has.__contains__, y)).items()))
+            return (len(r), len(p), *shared, _longest(p, r) if longest else None)
+
+        for references, predictions in batches:
+            if len(known) > 1 << 18:
+                known.clear()
+            rows = [one(a, b) for a, b in zip(references, predictions)]
+            yield pd.DataFrame(rows, columns=["r", "p", "one", "two", "longest"]).astype("Int32")
+
+    return run(F.lower(reference), F.lower(prediction))
+
+
+def of_counts(c: Column) -> Column:
+    """struct<rouge1, rouge2, rougeL>, each with precision, recall, fmeasure."""
+
+    def pairs(n: Column) -> Column:
+        return F.greatest(n - 1, F.lit(0))
+
+    return F.struct(
+        scores(c["one"], c["r"], c["p"]).alias("rouge1"), scores(c["two"], pairs(c["r"]), pairs(c["p"])).alias("rouge2"), scores(c["longest"], c["r"], c["p"]).alias("rougeL")
+    )
+
+
 def _stemmed(tokens: Column) -> Column:
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
