@@ -37,9 +37,13 @@ def evidence(dialogue: Column, speakers: Column, names: Column) -> Column:
 def _by_speaker(said: Column, speakers: Column) -> Column:
     def of(name: Column) -> Column:
         addressed = F.concat(F.lit(r"(?iU)^\s*\Q"), name, F.lit(r"\E" + L.DIRECTIVES))
-        mine = F.filter(said, lambda x: x["owner"].eqNullSafe(name) | F.rlike(x["utterance"], addressed))
-        return F.struct(
-            name.alias("name"), F.transform(mine, lambda x: x["actions"]).alias("actions"), F.array_distinct(F.flatten(F.transform(mine, lambda x: x["words"]))).alias("words")
+        # regexp_extract keeps the last pattern compiled, rlike does not
+        mine = X.let(addressed, lambda pattern: F.filter(said, lambda x: x["owner"].eqNullSafe(name) | (F.call_function("regexp_extract", x["utterance"], pattern, F.lit(0)) != "")))
+        return X.let(
+            mine,
+            lambda own: F.struct(
+                name.alias("name"), F.transform(own, lambda x: x["actions"]).alias("actions"), F.array_distinct(F.flatten(F.transform(own, lambda x: x["words"]))).alias("words")
+            ),
         )
 
     return F.transform(speakers, of)
@@ -59,22 +63,29 @@ def _reassign(unit: Column, index: Column, evid: Column) -> Column:
     assigned, sentence = unit["speaker"], unit["text"]
     claim = F.concat(F.lit(r"(?iU)^\s*\Q"), assigned, F.lit(r"\E\s+" + L.MODALS + r"\s+([A-Za-z'-]+)"))
     verb = F.lower(F.call_function("regexp_extract", sentence, claim, F.lit(1)))
-    supported = F.array_contains(_of(evid, assigned)["words"], verb)
-    others = F.filter(evid, lambda e: (e["name"] != assigned) & F.array_contains(e["words"], verb))
-    best = F.array_max(F.transform(others, lambda e: F.struct(support(unit["words"], e["actions"]).alias("support"), e["name"].alias("name"))))
-    wrong = assigned.isNotNull() & (verb != "") & ~supported & (best["support"] >= L.BEST_SUPPORT)
+
+    def better(verb: Column) -> Column:
+        """struct<support, name, verb> of the speaker whose words support the claim best, if its own do not."""
+        unsupported = assigned.isNotNull() & (verb != "") & ~F.array_contains(_of(evid, assigned)["words"], verb)
+        others = F.filter(evid, lambda e: (e["name"] != assigned) & F.array_contains(e["words"], verb))
+        return F.when(unsupported, F.array_max(F.transform(others, lambda e: F.struct(support(unit["words"], e["actions"]).alias("support"), e["name"].alias("name"), verb.alias("verb")))))
+
     leading = F.concat(F.lit(r"(?iU)^\s*\Q"), assigned, F.lit(r"\E\b"))
-    record = F.struct(
-        (index + 1).cast("int").alias("sentence"),
-        assigned.alias("from"),
-        best["name"].alias("to"),
-        verb.alias("action"),
-        F.lit(None).cast("int").alias("removed_sentence"),
-        F.lit(None).cast("int").alias("kept_sentence"),
-        F.lit(L.WRONG_ACTOR).alias("reason"),
-    )
-    wrong = F.coalesce(wrong, F.lit(False))
-    return F.struct(F.when(wrong, F.regexp_replace(sentence, leading, best["name"])).otherwise(sentence).alias("text"), F.when(wrong, record.cast(RECORD)).alias("record"))
+
+    def result(best: Column) -> Column:
+        wrong = F.coalesce(best["support"] >= L.BEST_SUPPORT, F.lit(False))
+        record = F.struct(
+            (index + 1).cast("int").alias("sentence"),
+            assigned.alias("from"),
+            best["name"].alias("to"),
+            best["verb"].alias("action"),
+            F.lit(None).cast("int").alias("removed_sentence"),
+            F.lit(None).cast("int").alias("kept_sentence"),
+            F.lit(L.WRONG_ACTOR).alias("reason"),
+        )
+        return F.struct(F.when(wrong, F.regexp_replace(sentence, leading, best["name"])).otherwise(sentence).alias("text"), F.when(wrong, record.cast(RECORD)).alias("record"))
+
+    return X.let(X.let(verb, better), result)
 
 
 def repair(df: DataFrame, dialogue: str = "dialogue", summary: str = "summary", into: str = "repaired", log: str = "attribution_repairs") -> DataFrame:
@@ -85,12 +96,13 @@ def repair(df: DataFrame, dialogue: str = "dialogue", summary: str = "summary",
     work = work.withColumn("_names", X.speaker_words(F.col("_speakers")))
     work = work.withColumn("_evidence", evidence(F.col("_d"), F.col("_speakers"), F.col("_names")))
 
-    def unit(text: Column) -> Column:
-        return F.struct(text.alias("text"), X.primary_speaker(text, F.col("_speakers")).alias("speaker"), X.action_words(text, F.col("_names")).alias("words"))
+    def unit(text: Column, named: Column) -> Column:
+        return F.struct(text.alias("text"), X.first_named(text, named).alias("speaker"), X.action_words(text, F.col("_names")).alias("words"))
 
-    work = work.withColumn("_units", F.transform(X.sentence_units(F.col("_s")), unit))
+    work = work.withColumn("_units", X.let(X.naming(F.col("_speakers")), lambda named: F.transform(X.sentence_units(F.col("_s")), lambda text: unit(text, named))))
     work = work.withColumn("_step", F.transform("_units", lambda u, i: _reassign(u, i, F.col("_evidence"))))
-    work = work.withColumn("_units", F.transform("_step", lambda x: unit(x["text"])))
+    again = X.let(X.naming(F.col("_speakers")), lambda named: F.zip_with("_units", "_step", lambda u, x: F.when(x["record"].isNull(), u).otherwise(unit(x["text"], named))))
+    work = work.withColumn("_units", again)
 
     def measured(u: Column) -> Column:
         return F.struct(u["words"].alias("words"), u["speaker"].alias("speaker"), support(u["words"], _of(F.col("_evidence"), u["speaker"])["actions"]).alias("support"))

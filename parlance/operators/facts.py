@@ -30,14 +30,13 @@ def norm_number(value: Column) -> Column:
 
 def mentioned_people(dialogue: Column, names: Column) -> Column:
     """Capitalised words that are neither ignored nor a whole speaker name, in order, once each."""
-    low = F.transform(names, F.lower)
-    return F.array_distinct(F.filter(X.find_all(dialogue, L.CAPITALISED), lambda w: ~w.isin(*L.IGNORED_IN_FACTS) & ~F.array_contains(low, F.lower(w))))
+    found = X.find_all(dialogue, L.CAPITALISED)
+    return X.let(F.transform(names, F.lower), lambda low: F.array_distinct(F.filter(found, lambda w: ~w.isin(*L.IGNORED_IN_FACTS) & ~F.array_contains(low, F.lower(w)))))
 
 
 def fact_struct(dialogue: Column) -> Column:
     """struct<speakers, numbers, mentioned_people>."""
-    names = speakers(dialogue)
-    return F.struct(names.alias("speakers"), numbers(dialogue).alias("numbers"), mentioned_people(dialogue, names).alias("mentioned_people"))
+    return X.let(speakers(dialogue), lambda names: F.struct(names.alias("speakers"), numbers(dialogue).alias("numbers"), mentioned_people(dialogue, names).alias("mentioned_people")))
 
 
 def facts_lines(facts: Column) -> Column:
@@ -54,4 +53,4 @@ def facts_lines(facts: Column) -> Column:
 
 
 def facts_text(facts: Column) -> Column:
-    return F.array_join(facts_lines(facts), "\n")
+    return X.let(facts, lambda bound: F.array_join(facts_lines(bound), "\n"))

@@ -18,16 +18,20 @@ def unsupported_people(summary: Column, dialogue_words: Column) -> Column:
 def numbers_without(found: Column, other: Column) -> Column:
     """Of ``found`` (raw spellings), those whose normal form ``other`` lacks: in the order of first
     occurrence of the normal form, in the spelling of the last."""
-    there = F.transform(other, facts.norm_number)
     keyed = F.transform(found, lambda x: F.struct(facts.norm_number(x).alias("key"), x.alias("raw")))
-    keys = F.filter(F.array_distinct(F.transform(keyed, lambda x: x["key"])), lambda k: ~F.array_contains(there, k))
-    return F.transform(keys, lambda k: F.element_at(F.filter(keyed, lambda x: x["key"] == k), -1)["raw"])
+
+    def without(keyed: Column) -> Column:
+        keys = F.array_except(F.transform(keyed, lambda x: x["key"]), F.transform(other, facts.norm_number))
+        return F.transform(keys, lambda k: F.element_at(F.filter(keyed, lambda x: x["key"] == k), -1)["raw"])
+
+    return X.let(keyed, without)
 
 
 def with_evidence(df: DataFrame, dialogue: str, summary: str) -> DataFrame:
     """Adds ``_speakers``, ``_numbers``, ``_words``, ``_pairs``: what the flags are made of."""
     df = df.withColumns({"_speakers": facts.speakers(F.col(dialogue)), "_numbers": facts.numbers(F.col(dialogue)), "_words": F.array_distinct(F.transform(X.words(F.col(dialogue)), F.lower))})
-    df = df.withColumn("_units", F.transform(X.sentences(F.col(summary)), lambda s: F.struct(X.content_words(s).alias("words"), X.primary_speaker(s, F.col("_speakers")).alias("speaker"))))
+    units = X.let(X.naming(F.col("_speakers")), lambda named: F.transform(X.sentences(F.col(summary)), lambda s: F.struct(X.content_words(s).alias("words"), X.first_named(s, named).alias("speaker"))))
+    df = df.withColumn("_units", units)
     return df.withColumn("_pairs", similar.pairs(F.col("_units"), min(L.DUPLICATE, L.CONFLICT))).drop("_units")
 
 

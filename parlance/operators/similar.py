@@ -67,13 +67,13 @@ def _indexed_pairs(units, least: float) -> list[dict]:
 
 
 def pairs(units: Column, least: float) -> Column:
-    """units: array<struct<words, speaker>>. array<PAIR> of the pairs i < j (from 1) whose words are similar by
+    """units: array<struct<words, speaker>>, each word once. array<PAIR> of the pairs i < j (from 1) whose words are similar by
     ``least`` (above 0) or more, in order."""
 
     def all_after(left: Column, i: Column) -> Column:
         found = F.transform(
             F.slice(units, i + 2, F.size(units)),
-            lambda right, k: F.struct((i + 1).alias("i"), (i + k + 2).alias("j"), X.jaccard(left["words"], right["words"]).alias("similarity"), left["speaker"].alias("a"), right["speaker"].alias("b")),
+            lambda right, k: F.struct((i + 1).alias("i"), (i + k + 2).alias("j"), X.set_jaccard(left["words"], right["words"]).alias("similarity"), left["speaker"].alias("a"), right["speaker"].alias("b")),
         )
         return F.filter(found, lambda p: p["similarity"] >= least)
 
@@ -111,12 +111,12 @@ def _indexed_drops(units) -> list[dict]:
 
 
 def drops(units: Column) -> Column:
-    """units: array<struct<words, speaker, support>>. array<DROP>: the sentences (from 1) that go because another
+    """units: array<struct<words, speaker, support>>, each word once. array<DROP>: the sentences (from 1) that go because another
     stays, pair by pair in order of (i, j); a pair with a sentence that is gone already does nothing."""
 
     def all_after(left: Column, i: Column) -> Column:
         found = F.transform(
-            F.slice(units, i + 2, F.size(units)), lambda right, k: F.struct((i + 1).alias("i"), (i + k + 2).alias("j"), X.jaccard(left["words"], right["words"]).alias("similarity"), left.alias("a"), right.alias("b"))
+            F.slice(units, i + 2, F.size(units)), lambda right, k: F.struct((i + 1).alias("i"), (i + k + 2).alias("j"), X.set_jaccard(left["words"], right["words"]).alias("similarity"), left.alias("a"), right.alias("b"))
         )
         return F.filter(found, lambda p: p["a"]["speaker"].isNotNull() & p["b"]["speaker"].isNotNull() & (p["similarity"] >= min(L.SAME_SPEAKER, L.CONFLICT)))
 
