@@ -8,6 +8,7 @@ texts compare all pairs in the JVM, longer ones use the index, in an Arrow UDF t
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -51,13 +52,15 @@ class Index:
                     yield j, similarity
 
 
-def _udf(work, kind: str):
+def _udf(work, kind: str, units: Column) -> Column:
+    """work on each of the units that are not null. They travel as JSON: Arrow sizes a column of lists anew with each
+    row, which is quadratic in a batch even of nulls."""
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([None if x is None else work(x) for x in batch], dtype=object)
+            yield pd.Series([None if x is None else work(json.loads(x)) for x in batch], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, kind)
+    return F.pandas_udf(run, kind)(F.to_json(units, {"ignoreNullFields": "false"}))
 
 
 def _indexed_pairs(units, least: float) -> list[dict]:
@@ -78,7 +81,7 @@ def pairs(units: Column, least: float) -> Column:
         return F.filter(found, lambda p: p["similarity"] >= least)
 
     short = F.size(units) <= SHORT
-    indexed = _udf(lambda x: _indexed_pairs(x, least), f"array<{PAIR}>")(F.when(~short, units))
+    indexed = _udf(lambda x: _indexed_pairs(x, least), f"array<{PAIR}>", F.when(~short, units))
     return F.when(short, F.flatten(F.transform(units, all_after)).cast(f"array<{PAIR}>")).otherwise(indexed)
 
 
@@ -133,5 +136,5 @@ def drops(units: Column) -> Column:
 
     short = F.size(units) <= SHORT
     none = F.array().cast(f"array<{DROP}>")
-    indexed = _udf(_indexed_drops, f"array<{DROP}>")(F.when(~short, units))
+    indexed = _udf(_indexed_drops, f"array<{DROP}>", F.when(~short, units))
     return F.when(short, F.aggregate(F.flatten(F.transform(units, all_after)), none, step)).otherwise(indexed)
