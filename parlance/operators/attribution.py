@@ -1,8 +1,19 @@
-"""Repair of actions that a summary gives to the wrong speaker, and of repeated events."""
+"""Repair of actions that a summary gives to the wrong speaker, and of repeated events.
+
+Speakers are found in the JVM. Who said what, claims, and sentences that go are compared in one Arrow pass, a pair of
+texts at a time: nested arrays in the JVM are interpreted, and every word of every sentence meets every speaker. Patterns
+there have the classes of Java's (?U), as those of all operators.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import lexicon as L
@@ -10,117 +21,167 @@ from parlance.functions import text as X
 from parlance.operators import facts, similar
 
 RECORD = "struct<sentence:int,`from`:string,`to`:string,action:string,removed_sentence:int,kept_sentence:int,reason:string>"
+RESULT = f"struct<repaired:string,log:array<{RECORD}>>"
+_NOTHING = dict.fromkeys(("sentence", "from", "to", "action", "removed_sentence", "kept_sentence", "reason"))
+#: Texts whose words a worker remembers, and their most characters.
+REMEMBERED, BRIEF = 1 << 14, 200
+
+#: White space, and the categories and further characters of words, by (?U).
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"[{_WHITE}]"
+_IN_WORDS = frozenset(("Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "Nd", "Mn", "Mc", "Me", "Pc"))
+_LETTERLIKE = ((0x200C, 0x200D), (0x24B6, 0x24E9), (0x1F130, 0x1F149), (0x1F150, 0x1F169), (0x1F170, 0x1F189))
+#: What equals an ASCII letter if case is ignored, besides its own other case.
+_FOLDED = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
+
+_OWNER = re.compile(L.OWNER_LINE.removeprefix("(?dU)").replace(r"\s", _SPACE))
+_DIRECTED = re.compile(L.DIRECTIVES.replace(r"\s", _SPACE), re.I)
+_CLAIM = re.compile((r"\s+" + L.MODALS + r"\s+").replace(r"\s", _SPACE) + r"([A-Za-z'-]+)", re.I)
+_WORDS = re.compile(L.WORD)
+_UNIT = re.compile(r"[^.!?]+[.!?]?")
+_STOP_WORDS = frozenset(L.ACTION_STOP)
+
+
+def _in_word(text: str, at: int) -> bool:
+    if not 0 <= at < len(text):
+        return False
+    c = text[at]
+    if c.isascii():
+        return c.isalnum() or c == "_"
+    return unicodedata.category(c) in _IN_WORDS or any(a <= ord(c) <= b for a, b in _LETTERLIKE)
+
+
+def _ends(text: str, at: int) -> bool:
+    """A word begins or ends here."""
+    return _in_word(text, at - 1) != _in_word(text, at)
+
+
+def _folded(text: str) -> str:
+    """In lower case, as long as before where it equals an ASCII text if case is ignored."""
+    return (text if text.isascii() else text.translate(_FOLDED)).lower()
+
+
+def _opened(text: str, low: str) -> int:
+    """Where the name ends that the text begins with, whatever its case; -1 if it does not."""
+    at = len(text) - len(text.lstrip(_WHITE))
+    return at + len(low) if _folded(text[at : at + len(low)]) == low else -1
+
+
+def _first_named(sentence: str, named: list[tuple[str, str]]) -> str | None:
+    """As ``text.primary_speaker``. named: (lower case, name), sorted by name."""
+    low, best = sentence.lower(), None
+    place = len(low)
+    for key, name in named:
+        at = low.find(key, 0, place + len(key) - 1)
+        while at >= 0 and not ((at == 0 or _ends(low, at)) and _ends(low, at + len(key))):
+            at = low.find(key, at + 1, place + len(key) - 1)
+        if 0 <= at < place:
+            best, place = name, at
+    return best
+
+
+def _found(text: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The lower-cased words, and those of them that may tell of an action."""
+    words = frozenset(_WORDS.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORDS.findall(text)])
+    return words, frozenset(w for w in words if len(w) > 2) - _STOP_WORDS
+
+
+def _told(line: str) -> tuple[str | None, str, str]:
+    """Whose line it is, in lower case, what is said, and its first character; nothing without a colon."""
+    found = _OWNER.match(line)
+    return (found[1].strip(L.WHITE).lower(), found[2], _folded(found[2].lstrip(_WHITE)[:1])) if found else (None, "", "")
+
+
+def _remembering(work):
+    """work, with the results of the last brief texts kept: people repeat themselves, and each other."""
+    kept = lru_cache(REMEMBERED)(work)
+    return lambda text: kept(text) if len(text) <= BRIEF else work(text)
+
+
+_words, _line = _remembering(_found), _remembering(_told)
+
+
+class Evidence:
+    """What each speaker said or was told to do. A line counts for the speaker before its colon, and for a speaker it
+    opens by addressing."""
+
+    def __init__(self, dialogue: str, speakers: list[str], names: frozenset[str]):
+        lows = {s: s.lower() for s in speakers}
+        owners = {low: s for s, low in reversed(lows.items())}  # of equals the first
+        firsts = {low[0] for low in owners}
+        self.actions: dict[str, list[frozenset[str]]] = {s: [] for s in speakers}
+        self.words: dict[str, list[frozenset[str]]] = {s: [] for s in speakers}
+        for line in dialogue.splitlines() if speakers else ():
+            by, said, first = _line(line)
+            owner = owners.get(by)
+            mine = [] if owner is None else [owner]
+            if first in firsts:
+                mine += [s for s, low in lows.items() if s != owner and (end := _opened(said, low)) >= 0 and _DIRECTED.match(said, end)]
+            if mine:
+                words, telling = _words(said)
+                for s in mine:
+                    self.actions[s].append(telling - names)
+                    self.words[s].append(words)
+
+    def has(self, name: str, verb: str) -> bool:
+        for said in self.words[name]:
+            if verb in said:
+                return True
+        return False
+
+    def support(self, unit: dict) -> float:
+        return self.share(unit["words"], unit["speaker"])
+
+    def share(self, words: frozenset[str], name: str | None) -> float:
+        """The largest share of the words that one of the speaker's utterances has; 0 without utterances."""
+        return max((len(words & u) for u in self.actions.get(name, ())), default=0) / max(1, len(words))
+
+    def better(self, words: frozenset[str], assigned: str, verb: str) -> str | None:
+        """The speaker whose words support the claim best, and enough, if the assigned one's do not."""
+        if self.has(assigned, verb):
+            return None
+        most, name = max(((self.share(words, s), s) for s in self.words if s != assigned and self.has(s, verb)), default=(0.0, None))
+        return name if most >= L.BEST_SUPPORT else None
+
+
+def _repaired(dialogue: str, summary: str, speakers: list[str]) -> tuple[str, list[dict]]:
+    named = [(s.lower(), s) for s in sorted(speakers)]
+    names = frozenset(w for low, _ in named for w in low.split(" "))
+    evidence = Evidence(dialogue, speakers, names)
+    texts = [t for u in _UNIT.findall(summary.strip(L.WHITE)) if u[-1] in ".!?" and (t := u.strip(L.WHITE))]
+    units, log = [], []
 
+    def unit(text: str) -> dict:
+        return {"text": text, "speaker": _first_named(text, named), "words": _words(text)[1] - names}
 
-def evidence(dialogue: Column, speakers: Column, names: Column) -> Column:
-    """array<struct<name, actions array<array<string>>, words array<string>>>: what each speaker said
-    or was told to do. A line counts for the speaker before its colon, and for a speaker it opens by
-    addressing."""
-    said = F.transform(
-        X.lines(dialogue),
-        lambda line: F.struct(F.lower(X.strip(F.regexp_extract(line, L.OWNER_LINE, 1))).alias("owner"), F.regexp_extract(line, L.OWNER_LINE, 2).alias("utterance")),
-    )
-    said = F.filter(said, lambda x: x["utterance"] != "")
-    said = F.transform(
-        said,
-        lambda x: F.struct(
-            F.get(F.filter(speakers, lambda s: F.lower(s) == x["owner"]), F.lit(0)).alias("owner"),
-            x["utterance"].alias("utterance"),
-            X.action_words(x["utterance"], names).alias("actions"),
-            F.transform(X.words(x["utterance"]), F.lower).alias("words"),
-        ),
-    )
-
-    return X.let(said, lambda lines: _by_speaker(lines, speakers))
-
-
-def _by_speaker(said: Column, speakers: Column) -> Column:
-    def of(name: Column) -> Column:
-        addressed = F.concat(F.lit(r"(?iU)^\s*\Q"), name, F.lit(r"\E" + L.DIRECTIVES))
-        # regexp_extract keeps the last pattern compiled, rlike does not
-        mine = X.let(addressed, lambda pattern: F.filter(said, lambda x: x["owner"].eqNullSafe(name) | (F.call_function("regexp_extract", x["utterance"], pattern, F.lit(0)) != "")))
-        return X.let(
-            mine,
-            lambda own: F.struct(
-                name.alias("name"), F.transform(own, lambda x: x["actions"]).alias("actions"), F.array_distinct(F.flatten(F.transform(own, lambda x: x["words"]))).alias("words")
-            ),
-        )
-
-    return F.transform(speakers, of)
-
-
-def support(words: Column, actions: Column) -> Column:
-    """The largest share of the words that one utterance has; 0 without utterances."""
-    return F.coalesce(F.array_max(F.transform(actions, lambda u: X.share(words, u))), F.lit(0.0))
-
-
-def _of(evid: Column, name: Column) -> Column:
-    return F.get(F.filter(evid, lambda e: e["name"] == name), F.lit(0))
-
-
-def _reassign(unit: Column, index: Column, evid: Column) -> Column:
-    """Step 1 for one sentence: struct<text, record>."""
-    assigned, sentence = unit["speaker"], unit["text"]
-    claim = F.concat(F.lit(r"(?iU)^\s*\Q"), assigned, F.lit(r"\E\s+" + L.MODALS + r"\s+([A-Za-z'-]+)"))
-    verb = F.lower(F.call_function("regexp_extract", sentence, claim, F.lit(1)))
-
-    def better(verb: Column) -> Column:
-        """struct<support, name, verb> of the speaker whose words support the claim best, if its own do not."""
-        unsupported = assigned.isNotNull() & (verb != "") & ~F.array_contains(_of(evid, assigned)["words"], verb)
-        others = F.filter(evid, lambda e: (e["name"] != assigned) & F.array_contains(e["words"], verb))
-        return F.when(unsupported, F.array_max(F.transform(others, lambda e: F.struct(support(unit["words"], e["actions"]).alias("support"), e["name"].alias("name"), verb.alias("verb")))))
-
-    leading = F.concat(F.lit(r"(?iU)^\s*\Q"), assigned, F.lit(r"\E\b"))
-
-    def result(best: Column) -> Column:
-        wrong = F.coalesce(best["support"] >= L.BEST_SUPPORT, F.lit(False))
-        record = F.struct(
-            (index + 1).cast("int").alias("sentence"),
-            assigned.alias("from"),
-            best["name"].alias("to"),
-            best["verb"].alias("action"),
-            F.lit(None).cast("int").alias("removed_sentence"),
-            F.lit(None).cast("int").alias("kept_sentence"),
-            F.lit(L.WRONG_ACTOR).alias("reason"),
-        )
-        return F.struct(F.when(wrong, F.regexp_replace(sentence, leading, best["name"])).otherwise(sentence).alias("text"), F.when(wrong, record.cast(RECORD)).alias("record"))
-
-    return X.let(X.let(verb, better), result)
+    for k, text in enumerate(texts, 1):
+        one = unit(text)
+        who = one["speaker"]
+        end = -1 if who is None else _opened(text, who.lower())
+        claim = _CLAIM.match(text, end) if end >= 0 else None
+        to = evidence.better(one["words"], who, claim[1].lower()) if claim else None
+        if to is not None:
+            log.append(_NOTHING | {"sentence": k, "from": who, "to": to, "action": claim[1].lower(), "reason": L.WRONG_ACTOR})
+            one = unit(to + text[end:] if _ends(text, end) else text)
+        units.append(one)
+    drops = similar.dropped(units, evidence.support)
+    log += [_NOTHING | {"removed_sentence": d["drop"], "kept_sentence": d["keep"], "reason": d["reason"]} for d in drops]
+    gone = {d["drop"] for d in drops}
+    return " ".join(u["text"] for k, u in enumerate(units, 1) if k not in gone) or summary.strip(L.WHITE), log
+
+
+def _pass(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for dialogues, summaries, speakers in batches:
+        rows = [_repaired(d, s, names.split("\n") if names else []) for d, s, names in zip(dialogues, summaries, speakers)]
+        yield pd.DataFrame({"repaired": pd.Series([r[0] for r in rows], dtype=object), "log": pd.Series([r[1] for r in rows], dtype=object)})
+
+
+_pass.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
 
 
 def repair(df: DataFrame, dialogue: str = "dialogue", summary: str = "summary", into: str = "repaired", log: str = "attribution_repairs") -> DataFrame:
     """Adds the repaired summary and the records of what was done. Null texts count as empty."""
     columns = df.columns
-    work = df.withColumns({"_d": F.coalesce(F.col(dialogue), F.lit("")), "_s": F.coalesce(F.col(summary), F.lit(""))})
-    work = work.withColumn("_speakers", facts.speakers(F.col("_d")))
-    work = work.withColumn("_names", X.speaker_words(F.col("_speakers")))
-    work = work.withColumn("_evidence", evidence(F.col("_d"), F.col("_speakers"), F.col("_names")))
-
-    def unit(text: Column, named: Column) -> Column:
-        return F.struct(text.alias("text"), X.first_named(text, named).alias("speaker"), X.action_words(text, F.col("_names")).alias("words"))
-
-    work = work.withColumn("_units", X.let(X.naming(F.col("_speakers")), lambda named: F.transform(X.sentence_units(F.col("_s")), lambda text: unit(text, named))))
-    work = work.withColumn("_step", F.transform("_units", lambda u, i: _reassign(u, i, F.col("_evidence"))))
-    again = X.let(X.naming(F.col("_speakers")), lambda named: F.zip_with("_units", "_step", lambda u, x: F.when(x["record"].isNull(), u).otherwise(unit(x["text"], named))))
-    work = work.withColumn("_units", again)
-
-    def measured(u: Column) -> Column:
-        return F.struct(u["words"].alias("words"), u["speaker"].alias("speaker"), support(u["words"], _of(F.col("_evidence"), u["speaker"])["actions"]).alias("support"))
-
-    work = work.withColumn("_measured", F.transform("_units", measured))
-
-    work = work.withColumn("_drops", similar.drops(F.col("_measured")))
-    reassigned = F.filter(F.transform("_step", lambda x: x["record"]), lambda r: r.isNotNull())
-    none = F.lit(None)
-    dropped = F.transform(
-        "_drops",
-        lambda d: F.struct(
-            none.cast("int").alias("sentence"), none.cast("string").alias("from"), none.cast("string").alias("to"), none.cast("string").alias("action"),
-            d["drop"].alias("removed_sentence"), d["keep"].alias("kept_sentence"), d["reason"].alias("reason"),
-        ),
-    )
-    work = work.withColumn("_log", F.concat(reassigned.cast(f"array<{RECORD}>"), dropped.cast(f"array<{RECORD}>")))
-    work = work.withColumn("_removed", F.transform("_drops", lambda d: d["drop"]))
-    left = F.filter(F.transform("_units", lambda u, i: F.when(~F.array_contains("_removed", i + 1), u["text"])), lambda t: t.isNotNull())
-    joined = F.array_join(left, " ")
-    return work.withColumns({into: F.when(joined == "", X.strip(F.col("_s"))).otherwise(joined), log: F.col("_log")}).select(*[c for c in columns if c not in (into, log)], into, log)
+    said = F.coalesce(F.col(dialogue), F.lit(""))
+    found = F.pandas_udf(_pass, RESULT)(said, F.coalesce(F.col(summary), F.lit("")), F.array_join(facts.speakers(said), "\n"))  # names have no line ends
+    return df.withColumn("_repair", found).withColumns({into: F.col("_repair.repaired"), log: F.col("_repair.log")}).select(*[c for c in columns if c not in (into, log)], into, log)

@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,7 +30,7 @@ DROP = "struct<drop:int,keep:int,reason:string>"
 class Index:
     """The sets, and where their first words occur."""
 
-    def __init__(self, sets: list[list[str]], least: float):
+    def __init__(self, sets: list[Collection[str]], least: float):
         self.sets, self.least = [frozenset(s) for s in sets], least
         often = Counter(w for s in self.sets for w in s)
         self.first = [sorted(s, key=lambda w: (often[w], w))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1] for s in self.sets]
@@ -52,6 +53,22 @@ class Index:
                     yield j, similarity
 
 
+class Every:
+    """The same of a few sets: all pairs are compared."""
+
+    def __init__(self, sets: list[Collection[str]], least: float):
+        self.sets, self.least = [frozenset(s) for s in sets], least
+
+    def after(self, i: int) -> Iterator[tuple[int, float]]:
+        own = self.sets[i]
+        for j in range(i + 1, len(self.sets)):
+            shared = len(own & self.sets[j])
+            if shared:
+                similarity = shared / (len(own) + len(self.sets[j]) - shared)
+                if similarity >= self.least:
+                    yield j, similarity
+
+
 def _udf(work, kind: str, units: Column) -> Column:
     """work on each of the units that are not null. They travel as JSON: Arrow sizes a column of lists anew with each
     row, which is quadratic in a batch even of nulls."""
@@ -85,25 +102,26 @@ def pairs(units: Column, least: float) -> Column:
     return F.when(short, F.flatten(F.transform(units, all_after)).cast(f"array<{PAIR}>")).otherwise(indexed)
 
 
-def _verdict(a: dict, b: dict, similarity: float) -> tuple[bool, str] | None:
+def _verdict(a: dict, b: dict, similarity: float, support) -> tuple[bool, str] | None:
     """(the first goes, reason), or nothing, for two sentences of named speakers."""
     if a["speaker"] == b["speaker"]:
         return (len(a["words"]) <= len(b["words"]), L.REPEATED_EVENT) if similarity >= L.SAME_SPEAKER else None
     if similarity >= L.CONFLICT:
         for first, (weak, strong) in ((True, (a, b)), (False, (b, a))):
-            if weak["support"] <= L.WEAK and strong["support"] >= L.STRONG:
+            if support(weak) <= L.WEAK and support(strong) >= L.STRONG:
                 return first, L.OPPOSED_EVENT
     return None
 
 
-def _indexed_drops(units) -> list[dict]:
-    """The pairs in order, as long as both sentences are there."""
-    index, gone, out = Index([u["words"] if u["speaker"] is not None else [] for u in units], min(L.SAME_SPEAKER, L.CONFLICT)), set(), []
+def dropped(units, support=itemgetter("support")) -> list[dict]:
+    """What ``drops`` gives, of the units of one text: the pairs in order, as long as both sentences are there."""
+    kind = Every if len(units) <= SHORT else Index
+    index, gone, out = kind([u["words"] if u["speaker"] is not None else [] for u in units], min(L.SAME_SPEAKER, L.CONFLICT)), set(), []
     for i, unit in enumerate(units):
         if i in gone or unit["speaker"] is None:
             continue
         for j, similarity in index.after(i):
-            found = None if j in gone else _verdict(unit, units[j], similarity)
+            found = None if j in gone else _verdict(unit, units[j], similarity, support)
             if found:
                 drop, keep = (i, j) if found[0] else (j, i)
                 gone.add(drop)
@@ -136,5 +154,5 @@ def drops(units: Column) -> Column:
 
     short = F.size(units) <= SHORT
     none = F.array().cast(f"array<{DROP}>")
-    indexed = _udf(_indexed_drops, f"array<{DROP}>", F.when(~short, units))
+    indexed = _udf(dropped, f"array<{DROP}>", F.when(~short, units))
     return F.when(short, F.aggregate(F.flatten(F.transform(units, all_after)), none, step)).otherwise(indexed)
