@@ -53,6 +53,9 @@ def _in_word(text: str, at: int) -> bool:
 
 def _ends(text: str, at: int) -> bool:
     """A word begins or ends here."""
+    around = text[max(0, at - 1) : at + 1]
+    if at and len(around) == 2 and around[0].isalpha() and around[1] == " ":
+        return True
     return _in_word(text, at - 1) != _in_word(text, at)
 
 
@@ -63,6 +66,8 @@ def _folded(text: str) -> str:
 
 def _opened(text: str, low: str) -> int:
     """Where the name ends that the text begins with, whatever its case; -1 if it does not."""
+    if text[: len(low)].lower() == low:
+        return len(low)
     at = len(text) - len(text.lstrip(_WHITE))
     return at + len(low) if _folded(text[at : at + len(low)]) == low else -1
 
@@ -77,6 +82,8 @@ def _first_named(sentence: str, named: list[tuple[str, str]]) -> str | None:
             at = low.find(key, at + 1, place + len(key) - 1)
         if 0 <= at < place:
             best, place = name, at
+            if at == 0:
+                break
     return best
 
 
